@@ -129,3 +129,35 @@ SELECT event_id AS response_id,
   concat('Prd', CAST(1003 + event_id % 2 AS STRING)) AS id_b
 FROM events
 """
+
+# The catalog as a careless export would hold it: text prices and ratings, padded
+# and missing fields.
+DIRTY_CATALOG = f"""
+SELECT ordinal, product_id, concat(chr(160), ' ', product_name, chr(9)) AS product_name,
+  CASE WHEN ordinal % 9 = 4 THEN 'NA' WHEN ordinal % 9 = 5 THEN CAST(NULL AS STRING) ELSE concat(' ', category) END AS category,
+  subcategory, gender, CASE WHEN ordinal % 8 = 3 THEN 'N/A' ELSE color END AS color, size,
+  CASE WHEN ordinal % 10 = 3 THEN 'None' ELSE fit END AS fit, material,
+  CASE WHEN ordinal % 10 = 7 THEN 'na' ELSE brand END AS brand,
+  CASE CAST(ordinal % 13 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '1,999' WHEN 3 THEN 'NaN'
+    WHEN 4 THEN '-5' WHEN 5 THEN '0' WHEN 6 THEN '1999d' WHEN 7 THEN ' 1499 ' WHEN 8 THEN '1e3'
+    WHEN 9 THEN '.5' ELSE CAST(CAST(price_inr AS INT) AS STRING) END AS price_inr,
+  CASE CAST(ordinal % 7 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'good' WHEN 2 THEN CAST(NULL AS STRING)
+    ELSE CAST(rating AS STRING) END AS rating,
+  season, description
+FROM ({CATALOG}) AS c
+"""
+
+# The catalog with repeated products: some rows come again, later, at another
+# price, in another color or with another rating.
+REPEATED_CATALOG = f"""
+SELECT * FROM ({CATALOG}) AS c
+UNION ALL
+SELECT ordinal + 1000000 AS ordinal, product_id, product_name, category, subcategory, gender,
+  CASE WHEN ordinal % 3 = 0 THEN 'Blue' ELSE color END AS color, size, fit, material, brand,
+  CASE WHEN ordinal % 2 = 0 THEN price_inr + 1000 ELSE price_inr END AS price_inr,
+  5e0 AS rating, season, description
+FROM ({CATALOG}) AS c WHERE ordinal % 4 < 3
+"""
+
+# Products the order lines ask for.
+WANTED = "SELECT concat('PRD', CAST(l_partkey + 1001 AS STRING)) AS product_id FROM lineitem"
