@@ -23,7 +23,7 @@ from weft.plans.explain import explain, explanation_requests, shared_requests
 from weft.plans.ingest import (
     attribute_store, build_store, ingest_statistics, product_chunks,
 )
-from weft.plans.search import SearchResult, distinct_requests, prepare, search, with_constraints
+from weft.plans.search import SearchResult, asked, distinct_requests, search, with_constraints
 from weft.session import checkpoint_folder, cut_lineage
 from weft.sources.catalog import clean_catalog, load_catalog, products_by_id, write_csv
 from weft.sources.store import Store, report_line
@@ -152,8 +152,7 @@ def filter_record(spark, sf_dir):
 
 
 def _asks(spark, sf_dir):
-    prepared = prepare(search_log(spark, sf_dir).select("query_id", "raw_query"))
-    return distinct_requests(prepared).select("request_id", "ask")
+    return distinct_requests(asked(search_log(spark, sf_dir))).select("request_id", "ask")
 
 
 def strict_matches(spark, sf_dir):
@@ -181,8 +180,8 @@ def brand_matches(spark, sf_dir):
 
 def _candidates(spark, sf_dir, sql):
     store = attribute_store(view(spark, sf_dir, sql))
-    prepared = prepare(search_log(spark, sf_dir).select("query_id", "raw_query"))
-    return with_constraints(distinct_requests(prepared), store.variants).select(
+    requests = distinct_requests(asked(search_log(spark, sf_dir)))
+    return with_constraints(requests, store.variants).select(
         "request_id", "relaxed", "candidates"
     )
 
@@ -335,10 +334,6 @@ def answers(spark, sf_dir, dense: bool = False) -> SearchResult:
     )
 
 
-def with_ask(result: SearchResult) -> DataFrame:
-    return result.items.join(result.requests.select("request_id", "ask"), "request_id")
-
-
 def search_items(spark, sf_dir):
     hits = F.array_join(F.col("matched_chunks.chunk_id"), ",")
     return answers(spark, sf_dir).items.select(*ITEM_COLUMNS, "distance", hits.alias("hits"))
@@ -386,7 +381,7 @@ def reduced_vectors(spark, sf_dir):
 
 def evidence(spark, sf_dir):
     result = answers(spark, sf_dir)
-    made = explanation_requests(result.requests, with_ask(result))
+    made = explanation_requests(result.requests, result.items)
     return made.select(
         "request_id", "request_key", "context", F.array_join("allowed_ids", ",").alias("allowed_ids")
     )
@@ -394,13 +389,13 @@ def evidence(spark, sf_dir):
 
 def explanations(spark, sf_dir):
     result = answers(spark, sf_dir)
-    return explain(result.requests, with_ask(result)).select("request_id", "source", "text")
+    return explain(result.requests, result.items).select("request_id", "source", "text")
 
 
 def answered_explanations(spark, sf_dir):
     """Outside answers, accepted or replaced; one answer serves equal requests."""
     result = answers(spark, sf_dir)
-    asked = explanation_requests(result.requests, with_ask(result))
+    asked = explanation_requests(result.requests, result.items)
     first = F.element_at("allowed_ids", 1)
     place = F.crc32(F.col("request_key").cast("binary")) % 4
     responses = shared_requests(asked).select(
@@ -410,7 +405,7 @@ def answered_explanations(spark, sf_dir):
         .when(place == 2, F.concat(F.lit("  PRD0 and "), first, F.lit(" match this request.")))
         .otherwise("No product in the evidence supports a recommendation. ").alias("text"),
     )
-    return explain(result.requests, with_ask(result), responses).select(
+    return explain(result.requests, result.items, responses).select(
         "request_id", "source", "text"
     )
 
@@ -428,7 +423,7 @@ def response_check(spark, sf_dir):
 
 
 def violations(spark, sf_dir):
-    return audit.violation_audit(with_ask(answers(spark, sf_dir)))
+    return audit.violation_audit(answers(spark, sf_dir).items)
 
 
 def order_violations(spark, sf_dir):
@@ -437,7 +432,8 @@ def order_violations(spark, sf_dir):
         F.col("l_orderkey").alias("query_id"),
         F.concat(F.lit("PRD"), (F.col("l_partkey") + 1001).cast("string")).alias("product_id"),
     )
-    asks = prepare(search_log(spark, sf_dir).select("query_id", "raw_query")).select("query_id", "ask")
+    parsed = parse_searches(search_log(spark, sf_dir).select("query_id", "raw_query"))
+    asks = parsed.select("query_id", ask_struct(parsed.columns).alias("ask"))
     items = bought.join(asks, "query_id").join(catalog(spark, sf_dir), "product_id")
     return audit.violation_audit(items, "query_id")
 

@@ -16,48 +16,65 @@ ALL_TERMS = (
     "max_price", "min_price", "gender", "category", "subcategory", "color", "fit",
     "material", "season", "brand",
 )
+NUMBER_TERMS = ("max_price", "min_price")
 # Product columns the filters read.
 FILTER_COLUMNS = (
     "price_inr", "gender", "category", "subcategory", "color", "fit", "material",
     "season", "brand",
 )
-NUMBER_TERMS = ("max_price", "min_price")
 
 
-def target(value: Column) -> Column:
-    """Comparison form of a wanted text."""
-    return F.lower(strip(value))
+def folded_product(name: str) -> Column:
+    """Product column in the form the filters compare."""
+    return F.col(name) if name == "price_inr" else F.lower(name)
+
+
+def folded_term(term: str, value: Column) -> Column:
+    """Constraint in the form the filters compare; null where it is not set.
+
+    Prices count when present (zero too), texts when not empty. Folding is done
+    once per constraint record, so that a pair costs plain comparisons.
+    """
+    if term in NUMBER_TERMS:
+        return value.cast("double")
+    return F.when(is_set(value), F.lower(strip(value)))
+
+
+def folded_terms(want: Callable[[str], Column], terms: tuple[str, ...] = ALL_TERMS) -> Column:
+    """Folded constraints as one struct of all terms; those not listed are null."""
+    return F.struct(
+        *[
+            (
+                folded_term(t, want(t)) if t in terms
+                else F.lit(None).cast("double" if t in NUMBER_TERMS else "string")
+            ).alias(t)
+            for t in ALL_TERMS
+        ]
+    )
 
 
 def term_matches(term: str, want: Column, product: Callable[[str], Column]) -> Column:
-    """One constraint that is set, against one product."""
+    """One folded constraint against one folded product."""
     if term == "max_price":
         return product("price_inr") <= want
     if term == "min_price":
         return product("price_inr") >= want
-    value = F.lower(product(term))
+    value = product(term)
     if term == "subcategory":
-        return F.contains(value, target(want))
-    equal = value == target(want)
+        return F.contains(value, want)
     if term == "gender":
-        return equal | (value == vocab.ANY_GENDER)
+        return (value == want) | (value == vocab.ANY_GENDER)
     if term == "season":
-        return equal | (value == vocab.ANY_SEASON)
-    return equal
-
-
-def term_active(term: str, want: Column) -> Column:
-    """Prices count when present (zero too), texts when not empty."""
-    return want.isNotNull() if term in NUMBER_TERMS else is_set(want)
+        return (value == want) | (value == vocab.ANY_SEASON)
+    return value == want
 
 
 def passes(
     want: Callable[[str], Column], product: Callable[[str], Column] = F.col,
     terms: tuple[str, ...] = ALL_TERMS,
 ) -> Column:
-    """All terms hold; a term that is not set holds for every product."""
+    """All folded terms hold; a null term holds for every product."""
     result = F.lit(True)
     for term in terms:
-        matches = term_matches(term, want(term), product)
-        result = result & (~term_active(term, want(term)) | matches)
+        result = result & (want(term).isNull() | term_matches(term, want(term), product))
     return result

@@ -54,10 +54,13 @@ def style_flags(product: Callable[[str], Column] = F.col) -> Column:
     return flags
 
 
-def flag_of(flags: Column, style: Column) -> Column:
-    """Read one known style's bit."""
-    place = F.array_position(F.array(*[F.lit(s) for s in KNOWN_STYLES]), style)
-    return F.getbit(flags, (place - 1).cast("int")) == 1
+def style_place(style: Column) -> Column:
+    """Bit of a known style."""
+    return (F.array_position(F.array(*[F.lit(s) for s in KNOWN_STYLES]), style) - 1).cast("int")
+
+
+def has_flag(flags: Column, place: Column) -> Column:
+    return F.getbit(flags, place) == 1
 
 
 def effective_style(intent: Column, style: Column) -> Column:

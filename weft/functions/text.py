@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -70,34 +70,21 @@ def plain_number(value: Column) -> Column:
     return F.when(whole == value, whole.cast("string")).otherwise(value.cast("string"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` applied to a value that is computed once.
-
-    The optimizer copies an expression into every filter pushed below it; a
-    lambda's argument is not copied per mention.
-    """
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def round_exact(value: Column, digits: int) -> Column:
     """Round a non-negative double by its exact binary value, ties to even.
 
     Spark's ``round`` works on the shortest decimal text and moves ties up. Here
     the scaled value's rounding error is recovered with a split product, so a
-    value just below a decimal tie stays below it.
+    value just below a decimal tie stays below it. ``value`` is mentioned often:
+    give a column, and do not filter on the result (the optimizer would copy the
+    whole expression below every projection it passes).
     """
     scale = float(10**digits)
-
-    def rounded(x: Column) -> Column:
-        scaled = x * scale
-        spread = x * 134217729.0
-        high = spread - (spread - x)
-        error = (high * scale - scaled) + (x - high) * scale
-        floor = F.floor(scaled)
-        rest = scaled - floor
-        up = (rest > 0.5) | (
-            (rest == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 == 1)))
-        )
-        return (floor + F.when(up, 1).otherwise(0)).cast("double") / scale
-
-    return let(value, rounded)
+    scaled = value * scale
+    spread = value * 134217729.0
+    high = spread - (spread - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    floor = F.floor(scaled)
+    rest = scaled - floor
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 == 1))))
+    return (floor + F.when(up, 1).otherwise(0)).cast("double") / scale

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weft import vocab
-from weft.functions.text import is_set, plain_number, strip, whole_number
+from weft.functions.text import is_set, plain_number, round_exact, strip, whole_number
 
 
 def evidence_line(rank: str = "rank", hits: str = "matched_chunks") -> Column:
@@ -129,13 +129,18 @@ def request_key(query: Column, ids: Column) -> Column:
     return F.concat(F.lower(strip(query)), F.lit("|"), F.array_join(ids, "|"))
 
 
+def four_digits(value: Column) -> Column:
+    """Text with four decimals; formatting alone would move ties up."""
+    return F.format_string("%.4f", round_exact(value, 4))
+
+
 def result_table(items: DataFrame, key: str = "request_id") -> DataFrame:
     """Ranked items as the display table shows them."""
     return items.select(
         key, "rank", "product_id", "brand", "product_name",
         F.concat(F.lit("₹"), whole_number(F.col("price_inr"))).alias("price"),
         F.size("matched_chunks").alias("matched_chunks"),
-        F.format_string("%.4f", F.coalesce("distance", F.lit(1.0))).alias("best_distance"),
-        F.format_string("%.4f", "semantic_similarity").alias("semantic_sim"),
+        four_digits(F.coalesce("distance", F.lit(1.0))).alias("best_distance"),
+        four_digits(F.col("semantic_similarity")).alias("semantic_sim"),
         F.concat(F.col("match_percentage").cast("string"), F.lit("%")).alias("hybrid_score"),
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weft import vocab
 from weft.functions.predicates import (
-    ALL_TERMS, CORE_TERMS, FILTER_COLUMNS, NUMBER_TERMS, OPTIONAL_TERMS, passes,
+    ALL_TERMS, CORE_TERMS, FILTER_COLUMNS, NUMBER_TERMS, OPTIONAL_TERMS, folded_product,
+    folded_terms, passes, term_matches,
 )
 from weft.functions.text import is_set
 from weft.operators.joins import Measure, join_by_category, measure
@@ -23,14 +24,15 @@ def term_type(term: str) -> str:
 
 def filter_products(catalog: DataFrame, filters: dict[str, Any]) -> DataFrame:
     """Catalog rows that pass one filter record; empty entries are skipped."""
-    given = {
-        term: value for term, value in filters.items()
-        if term in ALL_TERMS
-        and (value is not None if term in NUMBER_TERMS else bool(value))
-    }
-    return catalog.filter(
-        passes(lambda t: F.lit(given[t]).cast(term_type(t)), terms=tuple(given))
-    )
+    kept = catalog
+    for term in ALL_TERMS:
+        value = filters.get(term)
+        if term in NUMBER_TERMS and value is not None:
+            kept = kept.filter(term_matches(term, F.lit(float(value)), F.col))
+        elif term not in NUMBER_TERMS and value:
+            wanted = F.lit(str(value).strip().lower())
+            kept = kept.filter(term_matches(term, wanted, folded_product))
+    return kept
 
 
 def ask_struct(columns: list[str], prefix: str = "") -> Column:
@@ -89,17 +91,6 @@ def merge_filters(parsed: DataFrame, prefix: str = "ui_") -> DataFrame:
     return parsed.withColumns(merged) if merged else parsed
 
 
-def relaxed(want: str) -> Column:
-    """The same constraints without the optional ones; style and intent stay."""
-    return F.struct(
-        *[
-            (F.lit(None).cast("string") if n in OPTIONAL_TERMS else F.col(f"{want}.{n}"))
-            .alias(n)
-            for n in (*ALL_TERMS, "intent", "style")
-        ]
-    )
-
-
 def relaxable(want: str) -> Column:
     """Some optional constraint is set."""
     result = F.lit(False)
@@ -113,19 +104,18 @@ def candidate_counts(
 ) -> DataFrame:
     """Distinct products per ask under all terms and under the core terms.
 
-    ``asks`` has ``ask_id`` and ``ask``. Products of one filter profile meet every
-    ask alike, so they are counted before the join; only ids that occur with
-    several profiles join one by one.
+    ``asks`` has ``ask_id`` and the folded terms ``used``. Products of one filter
+    profile meet every ask alike, so they are counted before the join; only ids
+    that occur with several profiles join one by one.
     """
     plain, changing = split_variants(variants)
     profiles = plain.groupBy(*FILTER_COLUMNS).agg(F.count(F.lit(1)).alias("products"))
-    core = passes(lambda t: F.col(f"ask.{t}"), terms=CORE_TERMS)
-    strict = passes(lambda t: F.col(f"ask.{t}"))
+    core = passes(lambda t: F.col(f"used.{t}"), terms=CORE_TERMS)
+    optional = passes(lambda t: F.col(f"used.{t}"), terms=OPTIONAL_TERMS)
 
     def join(products: DataFrame, spread: str) -> DataFrame:
-        return join_by_category(
-            asks, products, core, "ask", "category", size, spread, salts
-        ).withColumn("_strict", strict)
+        pairs = join_by_category(asks, products, core, "used", size, spread, salts)
+        return pairs.withColumn("_strict", optional)
 
     spread = profiles.withColumn("_profile", F.xxhash64(*FILTER_COLUMNS))
     plain_counts = join(spread, "_profile").groupBy("ask_id").agg(
@@ -145,32 +135,51 @@ def candidate_counts(
 
 
 def choose_constraints(asks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add ``used`` (constraints in force), ``relaxed`` and ``candidates``.
+    """Cut ``used`` to the constraints in force; add ``relaxed`` and ``candidates``.
 
     An ask without any strict candidate falls back to its core terms, if it set
     an optional one.
     """
     strict = F.coalesce(F.col("strict"), F.lit(0))
-    use_core = (strict == 0) & relaxable("ask")
+    core_only = F.struct(
+        *[
+            (F.col(f"used.{t}") if t in CORE_TERMS else F.lit(None).cast(term_type(t))).alias(t)
+            for t in ALL_TERMS
+        ]
+    )
     return (
         asks.join(counts, "ask_id", "left")
-        .withColumn("relaxed", use_core)
-        .withColumn("used", F.when(use_core, relaxed("ask")).otherwise(F.col("ask")))
+        .withColumn("relaxed", (strict == 0) & relaxable("ask"))
+        .withColumn("used", F.when(F.col("relaxed"), core_only).otherwise(F.col("used")))
         .withColumn(
             "candidates",
-            F.when(use_core, F.coalesce(F.col("core"), F.lit(0))).otherwise(strict),
+            F.when(F.col("relaxed"), F.coalesce(F.col("core"), F.lit(0))).otherwise(strict),
         )
         .drop("strict", "core")
     )
 
 
+def fold_ask(asks: DataFrame, want: str = "ask") -> DataFrame:
+    """Add the folded terms of an ask as ``used``."""
+    return asks.withColumn("used", folded_terms(lambda t: F.col(f"{want}.{t}")))
+
+
+def fold_catalog(catalog: DataFrame, *keep: str) -> DataFrame:
+    """The filter columns in compared form, with the columns to keep."""
+    return catalog.select(*keep, *[folded_product(c).alias(c) for c in FILTER_COLUMNS])
+
+
 def match_products(
-    asks: DataFrame, catalog: DataFrame, want: str = "ask", salts: int | None = None,
-    size: Measure | None = None,
+    asks: DataFrame, catalog: DataFrame, salts: int | None = None, size: Measure | None = None
 ) -> DataFrame:
-    """Every (ask, product) pair whose product passes the ask's constraints."""
-    size = size or measure(asks)
-    return join_by_category(
-        asks, catalog, passes(lambda t: F.col(f"{want}.{t}")), want, "category", size,
-        "ordinal", salts,
+    """Every (ask, product) pair whose product passes the ask's constraints.
+
+    Keeps the ask columns, ``ordinal`` and ``product_id``.
+    """
+    folded = fold_ask(asks)
+    products = fold_catalog(catalog, "ordinal", "product_id")
+    pairs = join_by_category(
+        folded, products, passes(lambda t: F.col(f"used.{t}")), "used",
+        size or measure(asks), "ordinal", salts,
     )
+    return pairs.select(*asks.columns, "ordinal", "product_id")

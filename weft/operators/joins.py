@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.functions.predicates import target, term_active
 from weft.session import default_salts
 
 BROADCAST_BYTES = 64 << 20
@@ -39,27 +38,25 @@ def measure(df: DataFrame, most: str | None = None) -> Measure:
 
 
 def join_by_category(
-    asks: DataFrame, products: DataFrame, condition: Column, want: str, category: str,
-    size: Measure, spread: str, salts: int | None = None,
+    asks: DataFrame, products: DataFrame, condition: Column, want: str, size: Measure,
+    spread: str, salts: int | None = None,
 ) -> DataFrame:
-    """Pairs of an ask and a product that meet ``condition``.
+    """Pairs of an ask and a folded product that meet ``condition``.
 
     An equi join on the category: products appear under their own category and
-    under ``*`` for asks without one. A measured-small ask table is broadcast and
-    nothing else moves. A large one is copied per salt, so that the products of
-    one category (or all of them, under ``*``) spread over that many tasks.
+    under ``*`` for asks without one. The products are spread evenly by the
+    ``spread`` column first, because a few bytes of products can make many pairs.
+    A measured-small ask table is then broadcast. A large one is copied per salt,
+    so that the products of one category (or all, under ``*``) meet it in that
+    many tasks.
     """
-    wanted = F.col(f"{want}.category")
-    keyed = asks.withColumn(
-        "_key", F.when(term_active("category", wanted), target(wanted)).otherwise(ANY)
-    )
-    both = products.withColumn("_key", F.explode(F.array(F.lower(category), F.lit(ANY))))
-    if size.small:
-        pairs = both.join(F.broadcast(keyed), ["_key"])
-        return pairs.filter(condition).drop("_key")
     salts = salts or default_salts(asks.sparkSession)
+    keyed = asks.withColumn("_key", F.coalesce(F.col(f"{want}.category"), F.lit(ANY)))
+    if size.small:
+        even = products.repartition(salts, spread)
+        both = even.withColumn("_key", F.explode(F.array(F.col("category"), F.lit(ANY))))
+        return both.join(F.broadcast(keyed), "_key").filter(condition).drop("_key")
+    salted = products.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    both = salted.withColumn("_key", F.explode(F.array(F.col("category"), F.lit(ANY))))
     keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    both = both.withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    )
     return both.join(keyed, ["_key", "_salt"]).filter(condition).drop("_key", "_salt")

@@ -159,10 +159,9 @@ def nearest_chunks(
         q_side.groupBy("_qb", "_cb").cogroup(c_side.groupBy("_qb", "_cb"))
         .applyInPandas(search, schema)
     )
-    many = blocks.chunks > 64
     hits = top_n(
         local, ["_query"], [F.col("distance"), F.col("_chunk")], n, rank="hit_rank",
-        spread=["_chunk"] if many else None,
+        merge_tasks=64 if blocks.chunks > 1024 else None,
     ).select(F.col("_query").alias(query), F.col("_chunk").alias(chunk), "distance", "hit_rank")
     if own_n is None:
         return hits

@@ -25,8 +25,8 @@ def match_style(candidates: DataFrame, want: str = "ask") -> DataFrame:
 def rank_products(
     candidates: DataFrame, want: str = "ask", top_k: int = vocab.TOP_K,
     own_k: str | None = None, threshold: float = vocab.SCORE_THRESHOLD,
-    own_threshold: str | None = None, allow_unretrieved: bool = True,
-    few_per_query: bool = False, key: str = "query_id", position: str = "position",
+    allow_unretrieved: bool = True, few_per_query: bool = False, key: str = "query_id",
+    position: str = "position", keep: tuple[str, ...] = (),
     semantic_weight: float = vocab.SEMANTIC_WEIGHT,
     attribute_weight: float = vocab.ATTRIBUTE_WEIGHT,
 ) -> DataFrame:
@@ -35,7 +35,8 @@ def rank_products(
     Candidates carry the key, the ask struct, attributes, rating, position,
     ``distance`` (null without evidence) and ``style_match``. ``few_per_query``
     tells that a search limit bounds the rows of a query, so the style evidence
-    may be looked up in a window; otherwise it is aggregated first.
+    may be looked up in a window; otherwise it is aggregated first. The result
+    has the key, the position, the columns to ``keep`` and the scores.
     """
     if not allow_unretrieved:
         candidates = candidates.filter(F.col("distance").isNotNull())
@@ -45,31 +46,31 @@ def rank_products(
     else:
         per_query = candidates.groupBy(key).agg(styled.alias("_styled"))
         known = candidates.join(per_query, key)
-    return _score(
-        known, want, top_k, own_k, threshold, own_threshold, few_per_query, key, position,
-        semantic_weight, attribute_weight,
+    return _rank(
+        known, want, top_k, own_k, threshold, key, position, keep, semantic_weight,
+        attribute_weight,
     )
 
 
 def rank_by_attributes(
     candidates: DataFrame, want: str = "ask", top_k: int = vocab.TOP_K,
     own_k: str | None = None, threshold: float = vocab.SCORE_THRESHOLD,
-    own_threshold: str | None = None, key: str = "query_id", position: str = "position",
+    key: str = "query_id", position: str = "position", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Ranking without any vector evidence: no style gate and no fallback apply."""
     known = candidates.withColumns(
         {"distance": F.lit(None).cast("double"), "_styled": F.lit(False)}
     )
-    return _score(
-        known, want, top_k, own_k, threshold, own_threshold, False, key, position,
+    return _rank(
+        known, want, top_k, own_k, threshold, key, position, keep,
         vocab.SEMANTIC_WEIGHT, vocab.ATTRIBUTE_WEIGHT,
     )
 
 
-def _score(
+def _rank(
     known: DataFrame, want: str, top_k: int, own_k: str | None, threshold: float,
-    own_threshold: str | None, few: bool, key: str, position: str,
-    semantic_weight: float, attribute_weight: float,
+    key: str, position: str, keep: tuple[str, ...], semantic_weight: float,
+    attribute_weight: float,
 ) -> DataFrame:
     intent = F.col(f"{want}.intent")
     evidence = F.col("distance").isNotNull()
@@ -77,37 +78,39 @@ def _score(
     kept = known.filter(
         ~(specific & (intent != "") & F.col("_styled") & ~F.col("style_match"))
     )
-    scored = (
-        kept.withColumn("_sim", similarity(F.col("distance")))
-        .withColumn(
-            "_attributes",
-            attribute_score(lambda n: F.col(f"{want}.{n}"), F.col, F.col("style_match")),
-        )
-        .withColumn(
-            "_raw",
-            raw_score(
-                F.col("_sim"), F.col("_attributes"), rating_boost(F.col("rating")),
-                semantic_weight, attribute_weight,
-            ),
-        )
-        .withColumns(
-            {
-                "hybrid_score": round_exact(F.col("_raw"), 4),
-                "semantic_similarity": round_exact(F.col("_sim"), 4),
-                "has_retrieved_evidence": evidence,
-            }
-        )
+    attributes = attribute_score(
+        lambda n: F.col(f"{want}.{n}"), F.col, F.col("style_match")
+    )
+    carried = dict.fromkeys([key, position, *keep, *([own_k] if own_k else [])])
+    # Only narrow rows go on to the sort.
+    scored = kept.select(
+        *carried, "distance", similarity(F.col("distance")).alias("_sim"),
+        evidence.alias("has_retrieved_evidence"),
+        (evidence & ~F.col("_styled") & specific).alias("_fallback"),
+        raw_score(
+            similarity(F.col("distance")), attributes, rating_boost(F.col("rating")),
+            semantic_weight, attribute_weight,
+        ).alias("_raw"),
+    ).select(
+        *carried, "distance", "has_retrieved_evidence", "_sim", "_fallback",
+        round_exact(F.col("_raw"), 4).alias("hybrid_score"),
+    )
+    # Items below the threshold go behind all others instead of being filtered
+    # here: a filter would be pushed down and repeat the whole score.
+    judged = scored.withColumn(
+        "_passed",
+        (F.col("hybrid_score") >= threshold) | (F.col("_fallback") & (F.col("_sim") > 0)),
     )
-    limit = F.lit(threshold) if own_threshold is None else F.col(own_threshold)
-    fallback = evidence & ~F.col("_styled") & specific & (F.col("_sim") > 0)
-    passed = scored.filter((F.col("hybrid_score") >= limit) | fallback)
     ranked = top_n(
-        passed, [key], [F.desc("hybrid_score"), F.col(position)], top_k,
-        own_n=F.col(own_k) if own_k else None, spread=None if few else [position],
+        judged, [key], [F.desc("_passed"), F.desc("hybrid_score"), F.col(position)], top_k,
+        own_n=F.col(own_k) if own_k else None,
+    ).filter("_passed")
+    return ranked.select(
+        *[c for c in carried if c != own_k], "distance", "has_retrieved_evidence",
+        "hybrid_score", "rank",
+        round_exact(F.col("_sim"), 4).alias("semantic_similarity"),
+        (F.col("hybrid_score") * 100).cast("int").alias("match_percentage"),
     )
-    return ranked.withColumn(
-        "match_percentage", (F.col("hybrid_score") * 100).cast("int")
-    ).drop("_styled", "_sim", "_attributes", "_raw")
 
 
 def price_guard(items: DataFrame, want: str = "ask") -> DataFrame:

@@ -13,8 +13,7 @@ def recent_searches(log: DataFrame, user: str = "user_id", n: int = 5) -> DataFr
     """Last ``n`` distinct accepted searches per user, newest first.
 
     ``log`` has user, ``raw_query`` and ``ts``. A repeated search keeps its first
-    place. Each text is parsed once, and one user's rows are cut in buckets before
-    they meet.
+    place. Each text is parsed once.
     """
     first = (
         log.withColumn("raw_query", strip(F.col("raw_query")))
@@ -24,6 +23,5 @@ def recent_searches(log: DataFrame, user: str = "user_id", n: int = 5) -> DataFr
     accepted = texts.filter(is_domain_search()).select("raw_query")
     kept = first.join(accepted, "raw_query")
     return top_n(
-        kept, [user], [F.desc("first_ts"), F.col("raw_query")], n, rank="place",
-        spread=["raw_query"],
+        kept, [user], [F.desc("first_ts"), F.col("raw_query")], n, rank="place"
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weft.functions.predicates import FILTER_COLUMNS
+from weft.functions.predicates import FILTER_COLUMNS, folded_product
 from weft.functions.scoring import style_flags
 from weft.operators.topn import top_n
 
@@ -21,10 +21,11 @@ def product_variants(catalog: DataFrame) -> DataFrame:
     """One row per (product_id, filter profile).
 
     ``position`` is the first row's ordinal; ``ordinal``, ``rating`` and
-    ``styles`` are the last row's. Narrow: no product text is kept.
+    ``styles`` are the last row's. Texts are folded as the filters compare them.
     """
     narrow = catalog.select(
-        "product_id", *FILTER_COLUMNS, "ordinal", "rating", style_flags().alias("styles")
+        "product_id", *[folded_product(c).alias(c) for c in FILTER_COLUMNS], "ordinal",
+        "rating", style_flags().alias("styles"),
     )
     last = F.max(F.struct("ordinal", *SCORING_COLUMNS)).alias("_last")
     return (

@@ -8,28 +8,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft import vocab
 from weft.functions.constraints import parse_searches
-from weft.functions.predicates import FILTER_COLUMNS, passes
-from weft.functions.scoring import flag_of
+from weft.functions.predicates import passes
+from weft.functions.scoring import effective_style, has_flag, style_place
+from weft.functions.text import strip
 from weft.operators.chunking import product_of_chunk
 from weft.operators.filters import (
-    ask_struct, candidate_counts, choose_constraints, merge_filters, sanitize_top_k,
+    ask_struct, candidate_counts, choose_constraints, fold_ask, merge_filters, sanitize_top_k,
 )
 from weft.operators.joins import join_by_category, measure
 from weft.operators.nearest import Blocks, nearest_chunks
-from weft.operators.ranking import own_style, price_guard, rank_by_attributes, rank_products
+from weft.operators.ranking import price_guard, rank_by_attributes, rank_products
 from weft.operators.reduction import components_from, reduce_rows
 from weft.operators.terms import dense_terms, weigh
 from weft.operators.variants import fold_variants, leading_variants, split_variants
 from weft.session import cut_lineage
 from weft.sources.store import Store
 
-SCORES = (
-    "semantic_similarity", "has_retrieved_evidence", "hybrid_score", "match_percentage",
-    "rank",
-)
-KEY = ["raw_query", "ask_key", "top_k"]
-
-
 @dataclass(frozen=True)
 class SearchResult:
     """Answers per distinct request, and which search asked which request."""
@@ -46,36 +40,43 @@ class SearchResult:
         return self.routing.join(self.diagnostics, "request_id")
 
 
-def prepare(searches: DataFrame) -> DataFrame:
-    """Parsed and merged searches with ``ask``, its text form and ``top_k``."""
+def asked(searches: DataFrame) -> DataFrame:
+    """Searches as asked: stripped text, clean ``top_k``, explicit filters."""
     if "top_k" not in searches.columns:
         searches = searches.withColumn("top_k", F.lit(vocab.TOP_K))
-    merged = merge_filters(parse_searches(searches))
-    return merged.select(
-        "query_id", "raw_query", sanitize_top_k(F.col("top_k")).alias("top_k"),
-        ask_struct(merged.columns).alias("ask"),
-    ).withColumn("ask_key", F.to_json("ask"))
+    return searches.select(
+        "query_id", strip(F.col("raw_query")).alias("raw_query"),
+        sanitize_top_k(F.col("top_k")).alias("top_k"),
+        *[c for c in searches.columns if c.startswith("ui_")],
+    )
 
 
-def distinct_requests(prepared: DataFrame) -> DataFrame:
-    """One row per distinct request; a text searched by many is answered once."""
-    return prepared.groupBy(*KEY).agg(
-        F.min("query_id").alias("request_id"), F.first("ask").alias("ask")
-    )
+def request_keys(asked_searches: DataFrame) -> list[str]:
+    return [c for c in asked_searches.columns if c != "query_id"]
+
+
+def distinct_requests(asked_searches: DataFrame) -> DataFrame:
+    """One parsed row per distinct request; a text many search is parsed once."""
+    keys = request_keys(asked_searches)
+    distinct = asked_searches.groupBy(*keys).agg(F.min("query_id").alias("request_id"))
+    merged = merge_filters(parse_searches(distinct))
+    ask = ask_struct(merged.columns)
+    return merged.select("request_id", *keys, ask.alias("ask"))
 
 
 def with_constraints(requests: DataFrame, variants: DataFrame) -> DataFrame:
     """Requests with the constraints in force and their number of candidates."""
-    asks = requests.groupBy("ask_key").agg(
-        F.min("request_id").alias("ask_id"), F.first("ask").alias("ask")
+    folded = fold_ask(requests).withColumn("ask_key", F.to_json("used"))
+    asks = folded.groupBy("ask_key").agg(
+        F.min("request_id").alias("ask_id"), F.first("ask").alias("ask"),
+        F.first("used").alias("used"),
     )
-    counts = candidate_counts(
-        asks.select("ask_id", "ask"), variants, measure(asks.select("ask_id", "ask"))
-    )
-    chosen = choose_constraints(asks, counts)
-    return requests.join(
+    few = asks.select("ask_id", "used")
+    chosen = choose_constraints(asks, candidate_counts(few, variants, measure(few)))
+    style = effective_style(F.col("ask.intent"), F.col("ask.style"))
+    return folded.drop("used").join(
         chosen.select("ask_key", "used", "relaxed", "candidates"), "ask_key"
-    )
+    ).withColumn("style_place", style_place(style))
 
 
 def encode_requests(requests: DataFrame, store: Store, stop_words: tuple[str, ...]) -> DataFrame:
@@ -134,11 +135,11 @@ def rank_hits(
     )
     products = fold_variants(pairs, ["request_id"], {"distance": F.min("distance")})
     candidates = products.join(
-        requests.select("request_id", "ask", "top_k"), "request_id"
-    ).withColumn("style_match", flag_of(F.col("styles"), own_style()))
+        requests.select("request_id", "ask", "top_k", "style_place"), "request_id"
+    ).withColumn("style_match", has_flag(F.col("styles"), F.col("style_place")))
     return rank_products(
         candidates, top_k=most_k, own_k="top_k", threshold=threshold,
-        allow_unretrieved=False, few_per_query=True, key="request_id",
+        allow_unretrieved=False, few_per_query=True, key="request_id", keep=("ordinal",),
     )
 
 
@@ -147,34 +148,32 @@ def rank_attributes(
 ) -> DataFrame:
     """Ranked products without vectors, from each score group's leading products."""
     plain, changing = split_variants(variants)
-    asking = requests.filter(F.col("candidates") > 0).select("request_id", "ask", "used", "top_k")
+    asking = requests.filter(F.col("candidates") > 0).select(
+        "request_id", "ask", "used", "top_k", "style_place"
+    )
     size = measure(asking)
     condition = passes(lambda t: F.col(f"used.{t}"))
 
     def join(products: DataFrame) -> DataFrame:
-        return join_by_category(
-            asking, products, condition, "used", "category", size, "product_id"
-        )
+        return join_by_category(asking, products, condition, "used", size, "product_id")
 
-    repeated = fold_variants(
-        join(changing), ["request_id"],
-        {"ask": F.first("ask"), "top_k": F.first("top_k")},
-    )
+    kept = {c: F.first(c) for c in ("ask", "top_k", "style_place")}
+    repeated = fold_variants(join(changing), ["request_id"], kept)
     single = join(leading_variants(plain, most_k)).select(*repeated.columns)
     candidates = single.unionByName(repeated).withColumn(
-        "style_match", flag_of(F.col("styles"), own_style())
+        "style_match", has_flag(F.col("styles"), F.col("style_place"))
     )
     return rank_by_attributes(
-        candidates, top_k=most_k, own_k="top_k", threshold=threshold, key="request_id"
+        candidates, top_k=most_k, own_k="top_k", threshold=threshold, key="request_id",
+        keep=("ordinal",),
     )
 
 
-def attach_products(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Full catalog rows for the ranked products."""
-    chosen = price_guard(ranked).select(
-        "request_id", "ordinal", "distance", "position", *SCORES
-    )
-    return chosen.join(catalog, "ordinal")
+def attach_products(ranked: DataFrame, requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Full catalog rows and the ask for the ranked products."""
+    wanted = requests.select("request_id", "ask", F.struct("used.max_price", "used.min_price").alias("_bounds"))
+    items = ranked.join(catalog, "ordinal").join(wanted, "request_id")
+    return price_guard(items, "_bounds").drop("_bounds")
 
 
 def attach_chunks(items: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -191,10 +190,10 @@ def attach_chunks(items: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataF
 
 
 def diagnose(
-    requests: DataFrame, hits: DataFrame | None, items: DataFrame, store: Store
+    requests: DataFrame, hits: DataFrame | None, ranked: DataFrame, store: Store
 ) -> DataFrame:
     """Counts, first hits and message per request; requests without items stay."""
-    returned = items.groupBy("request_id").agg(F.count(F.lit(1)).alias("count"))
+    returned = ranked.groupBy("request_id").agg(F.count(F.lit(1)).alias("count"))
     base = requests.select(
         "request_id", "raw_query", "ask", "relaxed", F.col("candidates").alias("candidates_count")
     ).join(returned, "request_id", "left")
@@ -257,23 +256,23 @@ def search(
     The distinct requests and their hits are read by several later steps, so each
     is written once to the checkpoint folder; the log itself joins last.
     """
-    prepared = prepare(searches)
-    routing_key = prepared.select("query_id", *KEY)
-    requests = cut_lineage(with_constraints(distinct_requests(prepared), store.variants))
+    log = asked(searches)
+    requests = cut_lineage(with_constraints(distinct_requests(log), store.variants))
     most_k = measure(requests.select("top_k"), most="top_k").most or 0
     hits = None
     if store.has_vectors:
         hits = cut_lineage(find_hits(requests, store, most_k, stop_words, blocks))
         ranked = rank_hits(requests, hits, store.variants, most_k, threshold)
-        items = attach_chunks(attach_products(ranked, store.catalog), hits, store.chunks)
+        items = attach_chunks(attach_products(ranked, requests, store.catalog), hits, store.chunks)
     else:
         ranked = rank_attributes(requests, store.variants, most_k, threshold)
         empty = "array<struct<distance:double,chunk_id:string,text:string,chunk_type:string>>"
-        items = attach_products(ranked, store.catalog).withColumn(
+        items = attach_products(ranked, requests, store.catalog).withColumn(
             "matched_chunks", F.array().cast(empty)
         )
-    diagnostics = diagnose(requests, hits, price_guard(ranked), store)
-    routing = routing_key.join(requests.select(*KEY, "request_id"), KEY).select(
-        "query_id", "request_id"
-    )
+    diagnostics = diagnose(requests, hits, ranked, store)
+    keys = request_keys(log)
+    answered = requests.select("request_id", *[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    routing = log.join(answered, same).select("query_id", "request_id")
     return SearchResult(requests, routing, items, diagnostics)
