@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -70,6 +70,15 @@ def plain_number(value: Column) -> Column:
     return F.when(whole == value, whole.cast("string")).otherwise(value.cast("string"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a value computed once per row.
+
+    Inside a lambda over an array, an outer expression is evaluated again for
+    every element; as a lambda's own argument it is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def round_exact(value: Column, digits: int) -> Column:
     """Round a non-negative double by its exact binary value, ties to even.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from weft.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -14,11 +16,13 @@ def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def unit(vector: Column, length: Column | None = None) -> Column:
+def unit(vector: Column) -> Column:
     """Scale to length one; a zero vector stays as it is."""
-    length = norm(vector) if length is None else length
-    divisor = F.when(length == 0, 1.0).otherwise(length)
-    return F.transform(vector, lambda x: x.cast("double") / divisor)
+    length = norm(vector)
+    return let(
+        F.when(length == 0, 1.0).otherwise(length),
+        lambda n: F.transform(vector, lambda x: x.cast("double") / n),
+    )
 
 
 def fit_length(vector: Column, length: int) -> Column:
@@ -38,8 +42,10 @@ def densify(ids: Column, weights: Column, length: int) -> Column:
 
     Ids beyond the length are cut off, as ``fit_length`` does.
     """
-    lookup = F.map_from_arrays(ids, weights)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)),
+    places = F.sequence(F.lit(0), F.lit(length - 1))
+    return let(
+        F.map_from_arrays(ids, weights),
+        lambda lookup: F.transform(
+            places, lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0))
+        ),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weft import vocab
 from weft.functions.text import UNICODE
+from weft.functions.vectors import densify, unit
 
 TOKEN = UNICODE + r"\b\w\w+\b"
 
@@ -32,13 +33,14 @@ def document_terms(
 ) -> DataFrame:
     """(key, term, tf); a text without terms keeps one row with a null term.
 
-    The word arrays move once, by key; counting per text and building its vector
-    then need no further shuffle.
+    The texts move once, by key, before anything is read from them; counting per
+    text and building its vector then need no further shuffle, and tokens spread
+    evenly however the files were cut.
     """
-    words = df.select(key, terms_of(F.col(text), stop_words).alias("_words"))
-    placed = words.repartition(F.col(key))
+    placed = df.select(key, F.col(text).alias("_text")).repartition(F.col(key))
+    words = placed.select(key, terms_of(F.col("_text"), stop_words).alias("_words"))
     return (
-        placed.select(key, F.explode_outer(with_pairs(F.col("_words"))).alias("term"))
+        words.select(key, F.explode_outer(with_pairs(F.col("_words"))).alias("term"))
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -89,25 +91,16 @@ def weigh(
     terms = document_terms(df, key, text, stop_words)
     known = F.broadcast(vocabulary.select("term", "term_id", "idf"))
     weight = (1.0 + F.log("tf")) * F.col("idf")
-    rows = (
-        terms.join(known, "term", "left")
-        .groupBy(key)
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.when(F.col("term_id").isNotNull(), F.struct("term_id", weight.alias("w")))
-                )
-            ).alias("_entries")
-        )
+    weighted = terms.join(known, "term", "left").withColumn("_w", weight)
+    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", F.col("_w").alias("w")))
+    rows = weighted.groupBy(key).agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries"),
+        F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"),
     )
-    squares = F.aggregate("_entries", F.lit(0.0), lambda s, e: s + e.w * e.w)
-    return (
-        rows.withColumn("_norm", F.sqrt(squares))
-        .select(
-            key,
-            F.col("_entries.term_id").alias("ids"),
-            F.transform("_entries", lambda e: e.w / F.col("_norm")).alias("weights"),
-        )
+    return rows.select(
+        key,
+        F.col("_entries.term_id").alias("ids"),
+        F.transform("_entries", lambda e: e.w / F.col("_norm")).alias("weights"),
     )
 
 
@@ -117,8 +110,6 @@ def dense_terms(vectors: DataFrame, length: int = vocab.VECTOR_LENGTH) -> DataFr
     The form a corpus takes that is too small to factor. A vector whose head is
     all zero stays zero; others are scaled to length one again.
     """
-    from weft.functions.vectors import densify, unit
-
     return vectors.withColumn(
         "vector", densify(F.col("ids"), F.col("weights"), length)
     ).withColumn("vector", unit(F.col("vector")).cast("array<float>"))

@@ -9,6 +9,7 @@ from weft.operators.chunking import chunk_documents, product_documents
 from weft.operators.reduction import components_table, fit_reduction, reduce_rows
 from weft.operators.terms import dense_terms, fit_vocabulary, weigh
 from weft.operators.variants import product_variants
+from weft.session import cut_lineage
 from weft.sources.catalog import first_rows
 from weft.sources.store import CHUNK_SCHEMA, Store, load_store, write_table
 
@@ -22,20 +23,9 @@ def product_chunks(
 
 
 def attribute_store(catalog: DataFrame) -> Store:
-    """Store without vectors."""
+    """Store without vectors; the folded catalog is written once."""
     empty = catalog.sparkSession.createDataFrame([], CHUNK_SCHEMA)
-    return Store(catalog, product_variants(catalog), empty)
-
-
-def term_store(
-    catalog: DataFrame, chunks: DataFrame | None = None, max_terms: int = vocab.MAX_TERMS,
-    stop_words: tuple[str, ...] = vocab.TERM_STOP_WORDS,
-) -> Store:
-    """Lazy store over sparse term rows."""
-    chunks = product_chunks(catalog) if chunks is None else chunks
-    vocabulary = fit_vocabulary(chunks, "chunk_id", "text", max_terms, stop_words)
-    rows = weigh(chunks, "chunk_id", "text", vocabulary, stop_words)
-    return Store(catalog, product_variants(catalog), chunks.join(rows, "chunk_id"), vocabulary)
+    return Store(catalog, cut_lineage(product_variants(catalog), "variants"), empty)
 
 
 def build_store(

@@ -257,11 +257,12 @@ def search(
     is written once to the checkpoint folder; the log itself joins last.
     """
     log = asked(searches)
-    requests = cut_lineage(with_constraints(distinct_requests(log), store.variants))
+    parsed = cut_lineage(distinct_requests(log), "parsed")
+    requests = cut_lineage(with_constraints(parsed, store.variants), "requests")
     most_k = measure(requests.select("top_k"), most="top_k").most or 0
     hits = None
     if store.has_vectors:
-        hits = cut_lineage(find_hits(requests, store, most_k, stop_words, blocks))
+        hits = cut_lineage(find_hits(requests, store, most_k, stop_words, blocks), "hits")
         ranked = rank_hits(requests, hits, store.variants, most_k, threshold)
         items = attach_chunks(attach_products(ranked, requests, store.catalog), hits, store.chunks)
     else:
