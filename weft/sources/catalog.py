@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from weft import vocab
@@ -10,6 +12,9 @@ from weft.functions.text import strip
 # Numbers as a CSV reader takes them; Spark's cast alone also takes '1999d'.
 NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)\s*$"
 
+# Spark writes the same file's address with one or three slashes.
+SCHEME = "^[A-Za-z0-9]+:/+"
+
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All-text CSV scan with normalized headers and a file-order ``ordinal``.
@@ -44,13 +49,14 @@ def with_file_ordinal(named: DataFrame, raw: DataFrame) -> DataFrame:
     files = sorted(raw.inputFiles())
     if len(files) == 1:
         return place.withColumn("ordinal", F.col("_row")).drop("_file", "_row")
-    ranks = named.sparkSession.createDataFrame(
-        list(enumerate(files)), "_rank long, _file string"
-    )
+    names = [re.sub(SCHEME, "/", f) for f in files]
+    ranks = named.sparkSession.createDataFrame(list(enumerate(names)), "_rank long, _file string")
+    place = place.withColumn("_file", F.regexp_replace("_file", SCHEME, "/"))
     first = place.groupBy("_file").agg(F.min("_row").alias("_first"))
+    rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("unlisted file "), "_file")).cast("long"))
     return (
-        place.join(ranks.join(first, "_file"), "_file")
-        .withColumn("ordinal", F.shiftleft("_rank", 43) + F.col("_row") - F.col("_first"))
+        place.join(ranks.join(first, "_file"), "_file", "left")
+        .withColumn("ordinal", F.shiftleft(rank, 43) + F.col("_row") - F.col("_first"))
         .drop("_file", "_row", "_rank", "_first")
     )
 
