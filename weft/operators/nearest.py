@@ -130,9 +130,9 @@ def nearest_chunks(
     ).withColumn("_qb", every(blocks.queries)).repartition(tasks, "_qb", "_cb")
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_query": [], "_chunk": [], "distance": []})
         if n < 1 or q.empty or c.empty:
-            return empty
+            none = np.empty(0, object)
+            return pd.DataFrame({"_query": none, "_chunk": none, "distance": np.empty(0)})
         c = c.sort_values("_chunk", ignore_index=True)
         ids, names = q["_query"].to_numpy(), c["_chunk"].to_numpy()
         rows, picks, found = [], [], []
