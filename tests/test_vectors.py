@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions.vectors import cosine_distance, densify, fit_length, unit
+from weft.operators import nearest
 from weft.operators.nearest import Blocks, nearest_chunks
 from weft.operators.reduction import components_from, components_table, fit_reduction, reduce_rows
 from weft.operators.terms import dense_terms, fit_vocabulary, weigh
@@ -37,8 +38,14 @@ def as_found(rows):
     return found
 
 
+@pytest.fixture(params=[(256, 16384), (7, 33)])
+def tiles(request, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_TILE", request.param[0])
+    monkeypatch.setattr(nearest, "CHUNK_TILE", request.param[1])
+
+
 @pytest.mark.parametrize("blocks", [Blocks(1, 1), Blocks(3, 5), None])
-def test_dense_nearest(spark, blocks):
+def test_dense_nearest(spark, blocks, tiles):
     rng = np.random.default_rng(1)
     chunks, queries = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
     chunks[50:150] = chunks[50]  # a third of the chunks are copies: ties go by id
@@ -65,7 +72,7 @@ def sparse_rows(rng, count, terms, hot):
 
 
 @pytest.mark.parametrize("blocks", [Blocks(1, 1), Blocks(2, 7)])
-def test_sparse_nearest(spark, blocks):
+def test_sparse_nearest(spark, blocks, tiles):
     rng = np.random.default_rng(2)
     chunks, queries = sparse_rows(rng, 400, 30, 0.4), sparse_rows(rng, 30, 30, 0.4)
     dense = lambda rows: np.array([np.bincount(i, w, 30) if i else np.zeros(30) for i, w in rows])
@@ -91,7 +98,7 @@ def test_block_plan():
     assert Blocks.plan(10, 10, 8) == Blocks(1, 1)
     assert Blocks.plan(3000, 60000, 8) == Blocks(4, 4)
     big = Blocks.plan(10**6, 10**9, 4000)
-    assert 10**6 / big.queries <= 32768 and 10**9 / big.chunks <= 16384
+    assert 10**6 / big.queries <= 32768 and 10**9 / big.chunks <= 131072
 
 
 def tfidf(texts, stop, limit):

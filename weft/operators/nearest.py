@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.operators.topn import top_n
 
-CHUNKS_PER_BLOCK = 16384
-QUERIES_PER_BLOCK = 32768
+MOST_CHUNKS_PER_BLOCK = 131072
+LEAST_CHUNKS_PER_BLOCK = 16384
+MOST_QUERIES_PER_BLOCK = 32768
 LEAST_QUERIES_PER_BLOCK = 128
-TILE = 256
+# One product matrix holds this many queries and chunks.
+QUERY_TILE = 256
+CHUNK_TILE = 16384
 DIGITS = 6
 
 
@@ -35,54 +38,82 @@ class Blocks:
     def plan(queries: int, chunks: int, parallelism: int) -> "Blocks":
         """Blocks that fit a task's memory and give every core some.
 
-        More query blocks mean more copies of the chunks, so they go beyond the
-        memory bound only where there are too few chunk blocks to fill the cores.
+        A chunk block costs n rows per query, a query block one copy of the
+        chunks. So both are as large as memory allows, and smaller only where
+        there would be fewer blocks than cores.
         """
-        by_chunks = max(1, -(-chunks // CHUNKS_PER_BLOCK))
-        by_memory = max(1, -(-queries // QUERIES_PER_BLOCK))
-        to_fill = -(-2 * parallelism // by_chunks)
-        by_cores = min(to_fill, max(1, -(-queries // LEAST_QUERIES_PER_BLOCK)))
-        return Blocks(max(by_memory, by_cores), by_chunks)
+        few = int(np.ceil(np.sqrt(2 * parallelism)))
+        by_chunks = max(
+            1, -(-chunks // MOST_CHUNKS_PER_BLOCK),
+            min(few, -(-chunks // LEAST_CHUNKS_PER_BLOCK)),
+        )
+        by_queries = max(
+            1, -(-queries // MOST_QUERIES_PER_BLOCK),
+            min(-(-2 * parallelism // by_chunks), -(-queries // LEAST_QUERIES_PER_BLOCK)),
+        )
+        return Blocks(by_queries, by_chunks)
 
 
 def _flat(arrays: pd.Series, dtype: type) -> np.ndarray:
     return np.concatenate([np.asarray(a, dtype) for a in arrays]) if len(arrays) else np.empty(0, dtype)
 
 
-def _sparse_products(q: pd.DataFrame, c: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Tiles of the query x chunk products of sparse unit rows."""
-    c_rows = np.repeat(np.arange(len(c)), c["ids"].map(len).to_numpy())
-    c_ids, c_weights = _flat(c["ids"], np.int64), _flat(c["weights"], np.float64)
-    used = np.isin(c_ids, np.unique(_flat(q["ids"], np.int64)))
-    order = np.flatnonzero(used)[np.argsort(c_ids[used], kind="stable")]
-    c_rows, c_ids, c_weights = c_rows[order], c_ids[order], c_weights[order]
-    for start in range(0, len(q), TILE):
-        tile = q.iloc[start : start + TILE]
-        t_rows = np.repeat(np.arange(len(tile)), tile["ids"].map(len).to_numpy())
-        t_ids, t_weights = _flat(tile["ids"], np.int64), _flat(tile["weights"], np.float64)
-        products = np.zeros((len(tile), len(c)))
-        for term in np.unique(t_ids):
-            lo, hi = np.searchsorted(c_ids, [term, term + 1])
-            if lo < hi:
-                mine = t_ids == term
-                products[np.ix_(t_rows[mine], c_rows[lo:hi])] += np.outer(
-                    t_weights[mine], c_weights[lo:hi]
-                )
-        yield start, products
-
-
-def _dense_products(q: pd.DataFrame, c: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Tiles of the query x chunk cosines of dense rows."""
-
-    def units(vectors: pd.Series) -> np.ndarray:
+class SparseBlock:
+    """Sparse unit rows of one block, ready for products of tiles."""
+
+    def __init__(self, q: pd.DataFrame, c: pd.DataFrame):
+        self.q = q
+        wanted = np.unique(_flat(q["ids"], np.int64))
+        self.tiles = [
+            self._postings(c.iloc[start : start + CHUNK_TILE], wanted)
+            for start in range(0, len(c), CHUNK_TILE)
+        ]
+
+    @staticmethod
+    def _postings(rows: pd.DataFrame, wanted: np.ndarray | None):
+        """Rows, term ids and weights in term order, and the number of rows."""
+        places = np.repeat(np.arange(len(rows)), rows["ids"].map(len).to_numpy(np.int64))
+        ids, weights = _flat(rows["ids"], np.int64), _flat(rows["weights"], np.float64)
+        used = np.flatnonzero(np.isin(ids, wanted)) if wanted is not None else np.arange(len(ids))
+        order = used[np.argsort(ids[used], kind="stable")]
+        return places[order], ids[order], weights[order], len(rows)
+
+    def products(self, start: int) -> Iterator[np.ndarray]:
+        """Products of one query tile with every chunk tile."""
+        tile = self._postings(self.q.iloc[start : start + QUERY_TILE], None)
+        q_rows, q_ids, q_weights, n_queries = tile
+        terms = np.unique(q_ids)
+        for c_rows, c_ids, c_weights, n_chunks in self.tiles:
+            out = np.zeros((n_queries, n_chunks))
+            ends = zip(
+                np.searchsorted(q_ids, terms), np.searchsorted(q_ids, terms, "right"),
+                np.searchsorted(c_ids, terms), np.searchsorted(c_ids, terms, "right"),
+            )
+            for q_lo, q_hi, c_lo, c_hi in ends:
+                if c_lo < c_hi:
+                    out[np.ix_(q_rows[q_lo:q_hi], c_rows[c_lo:c_hi])] += np.outer(
+                        q_weights[q_lo:q_hi], c_weights[c_lo:c_hi]
+                    )
+            yield out
+
+
+class DenseBlock:
+    """Dense rows of one block, scaled to length one."""
+
+    def __init__(self, q: pd.DataFrame, c: pd.DataFrame):
+        self.left, self.right = self._units(q["vector"]), self._units(c["vector"])
+
+    @staticmethod
+    def _units(vectors: pd.Series) -> np.ndarray:
         rows = np.stack([np.asarray(v, np.float64) for v in vectors])
         lengths = np.linalg.norm(rows, axis=1, keepdims=True)
         lengths[lengths == 0] = 1.0
         return rows / lengths
 
-    left, right = units(q["vector"]), units(c["vector"])
-    for start in range(0, len(q), TILE):
-        yield start, left[start : start + TILE] @ right.T
+    def products(self, start: int) -> Iterator[np.ndarray]:
+        tile = self.left[start : start + QUERY_TILE]
+        for at in range(0, len(self.right), CHUNK_TILE):
+            yield tile @ self.right[at : at + CHUNK_TILE].T
 
 
 def _best(distances: np.ndarray, n: int) -> np.ndarray:
@@ -95,6 +126,26 @@ def _best(distances: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([below, ties])
 
 
+def _better(
+    places: np.ndarray, distances: np.ndarray, line: np.ndarray, offset: int, n: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The n best of those found so far and of a later tile's line.
+
+    A full list is beaten only by lesser distances: later chunks lose ties.
+    """
+    if len(places) < n:
+        new = _best(line, n)
+    else:
+        lesser = np.flatnonzero(line < distances.max())
+        new = lesser[_best(line[lesser], n)]
+    places = np.concatenate([places, new + offset])
+    distances = np.concatenate([distances, line[new]])
+    if len(places) > n:
+        kept = np.lexsort((places, distances))[:n]
+        places, distances = places[kept], distances[kept]
+    return places, distances
+
+
 def nearest_chunks(
     queries: DataFrame, chunks: DataFrame, n: int, sparse: bool, query: str = "query_id",
     chunk: str = "chunk_id", own_n: str | None = None, blocks: Blocks | None = None,
@@ -113,7 +164,7 @@ def nearest_chunks(
             queries.count(), chunks.count(), spark.sparkContext.defaultParallelism
         )
     values = ["ids", "weights"] if sparse else ["vector"]
-    products = _sparse_products if sparse else _dense_products
+    block = SparseBlock if sparse else DenseBlock
 
     def block_of(key: str, count: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
@@ -135,14 +186,20 @@ def nearest_chunks(
             return pd.DataFrame({"_query": none, "_chunk": none, "distance": np.empty(0)})
         c = c.sort_values("_chunk", ignore_index=True)
         ids, names = q["_query"].to_numpy(), c["_chunk"].to_numpy()
+        joined = block(q, c)
         rows, picks, found = [], [], []
-        for start, tile in products(q, c):
-            distances = np.round(1.0 - tile, digits) + 0.0
-            for i, line in enumerate(distances):
-                best = _best(line, n)
-                rows.append(np.full(len(best), start + i))
-                picks.append(best)
-                found.append(line[best])
+        for start in range(0, len(q), QUERY_TILE):
+            size = min(QUERY_TILE, len(q) - start)
+            best = [(np.empty(0, np.int64), np.empty(0))] * size
+            offset = 0
+            for products in joined.products(start):
+                distances = np.round(1.0 - products, digits) + 0.0
+                best = [_better(*b, line, offset, n) for b, line in zip(best, distances)]
+                offset += products.shape[1]
+            for i, (places, distances) in enumerate(best):
+                rows.append(np.full(len(places), start + i))
+                picks.append(places)
+                found.append(distances)
         return pd.DataFrame(
             {
                 "_query": ids[np.concatenate(rows)],

@@ -14,10 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from weft import vocab
-from weft.session import cut_lineage
-
-BUCKETS = 16
-
+from weft.session import cut_lineage, default_salts
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row starts, term ids and weights of a batch of sparse rows."""
@@ -76,7 +73,7 @@ def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     schema = "term_id long, part array<double>"
     summed = (
         rows.select("ids", "weights").mapInArrow(partial, schema)
-        .repartition(BUCKETS, "term_id").mapInArrow(add, schema)
+        .repartition(default_salts(spark), "term_id").mapInArrow(add, schema)
     )
     out = np.zeros_like(basis)
     table = summed.toArrow()

@@ -65,8 +65,13 @@ def distinct_requests(asked_searches: DataFrame) -> DataFrame:
 
 
 def with_constraints(requests: DataFrame, variants: DataFrame) -> DataFrame:
-    """Requests with the constraints in force and their number of candidates."""
-    folded = fold_ask(requests).withColumn("ask_key", F.to_json("used"))
+    """Requests with the constraints in force and their number of candidates.
+
+    The parsed requests are written first: several steps read them.
+    """
+    folded = cut_lineage(
+        fold_ask(requests).withColumn("ask_key", F.to_json("used")), "parsed"
+    )
     asks = folded.groupBy("ask_key").agg(
         F.min("request_id").alias("ask_id"), F.first("ask").alias("ask"),
         F.first("used").alias("used"),
@@ -257,8 +262,7 @@ def search(
     is written once to the checkpoint folder; the log itself joins last.
     """
     log = asked(searches)
-    parsed = cut_lineage(distinct_requests(log), "parsed")
-    requests = cut_lineage(with_constraints(parsed, store.variants), "requests")
+    requests = cut_lineage(with_constraints(distinct_requests(log), store.variants), "requests")
     most_k = measure(requests.select("top_k"), most="top_k").most or 0
     hits = None
     if store.has_vectors:
