@@ -32,21 +32,6 @@ def supported(hits: str = "matched_chunks") -> Column:
     return is_set(F.trim("product_id")) & F.coalesce(F.size(hits) > 0, F.lit(False))
 
 
-def ground(items: DataFrame, key: str = "request_id") -> DataFrame:
-    """Per request: ``context`` and ``allowed_ids`` of its first two items."""
-    top = items.filter(F.col("rank") <= vocab.EXPLAINED_ITEMS).withColumn("_ok", supported())
-    line = F.when(F.col("_ok"), F.struct("rank", evidence_line().alias("text")))
-    allowed = F.when(F.col("_ok"), F.struct("rank", F.trim("product_id").alias("id")))
-    return top.groupBy(key).agg(
-        F.sort_array(F.collect_list(line)).alias("_lines"),
-        F.sort_array(F.collect_list(allowed)).alias("_allowed"),
-    ).select(
-        key,
-        F.left(F.array_join("_lines.text", "\n\n"), F.lit(vocab.CONTEXT_CHARS)).alias("context"),
-        F.array_distinct("_allowed.id").alias("allowed_ids"),
-    )
-
-
 def cited_ids(text: Column) -> Column:
     return F.array_distinct(
         F.regexp_extract_all(F.upper(text), F.lit("(?U)" + vocab.CITED_ID), F.lit(0))
@@ -115,12 +100,22 @@ def reason(want: str = "ask", rank: str = "rank") -> Column:
     )
 
 
-def template_text(items: DataFrame, key: str = "request_id", want: str = "ask") -> DataFrame:
-    """Per request: the templated reasons of its first two items as one text."""
+def explained_items(items: DataFrame, key: str = "request_id") -> DataFrame:
+    """Per request, from its first two items in one pass: ``top_ids``,
+    ``context`` and ``allowed_ids`` of those with evidence, ``template`` reasons."""
+    entry = F.struct(
+        "rank", "product_id",
+        F.when(supported(), evidence_line()).alias("line"),
+        F.when(supported(), F.trim("product_id")).alias("allowed"),
+        reason().alias("reason"),
+    )
     top = items.filter(F.col("rank") <= vocab.EXPLAINED_ITEMS)
-    entry = F.struct("rank", reason(want).alias("text"))
-    return top.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_parts")).select(
-        key, F.array_join("_parts.text", "\n\n").alias("template")
+    grouped = top.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_items"))
+    return grouped.select(
+        key, F.col("_items.product_id").alias("top_ids"),
+        F.left(F.array_join("_items.line", "\n\n"), F.lit(vocab.CONTEXT_CHARS)).alias("context"),
+        F.array_distinct(F.array_compact("_items.allowed")).alias("allowed_ids"),
+        F.array_join("_items.reason", "\n\n").alias("template"),
     )
 
 

@@ -27,23 +27,25 @@ def product_variants(catalog: DataFrame) -> DataFrame:
         "product_id", *[folded_product(c).alias(c) for c in FILTER_COLUMNS], "ordinal",
         "rating", style_flags().alias("styles"),
     )
-    last = F.max(F.struct("ordinal", *SCORING_COLUMNS)).alias("_last")
-    return (
-        narrow.groupBy("product_id", *FILTER_COLUMNS)
-        .agg(F.min("ordinal").alias("position"), last)
-        .select("product_id", *FILTER_COLUMNS, "position", "_last.*")
+    # Plain numbers as buffers keep this a hash aggregate.
+    last = [F.max_by(c, "ordinal").alias(c) for c in SCORING_COLUMNS]
+    return narrow.groupBy("product_id", *FILTER_COLUMNS).agg(
+        F.min("ordinal").alias("position"), F.max("ordinal").alias("ordinal"), *last
     )
 
 
 def split_variants(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Variants of ids with one profile, and those of ids with several."""
-    row = F.struct(*[c for c in variants.columns if c != "product_id"])
-    per_id = variants.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("_profiles"), F.min(row).alias("_row")
+    """Variants of ids with one profile, and those of ids with several.
+
+    Only ids are shuffled to be counted. The ids with several profiles are few in
+    most catalogs; the plan then broadcasts them by their measured size.
+    """
+    several = (
+        variants.groupBy("product_id").agg(F.count(F.lit(1)).alias("_profiles"))
+        .filter(F.col("_profiles") > 1).select("product_id")
     )
-    plain = per_id.filter(F.col("_profiles") == 1).select("product_id", "_row.*")
-    several = per_id.filter(F.col("_profiles") > 1).select("product_id")
-    return plain, variants.join(several, "product_id")
+    plain = variants.join(several, "product_id", "left_anti")
+    return plain, variants.join(several, "product_id", "left_semi")
 
 
 def leading_variants(plain: DataFrame, k: int) -> DataFrame:

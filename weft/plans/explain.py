@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weft import vocab
-from weft.operators.evidence import acceptable, ground, request_key, template_text
+from weft.operators.evidence import acceptable, explained_items, request_key
 from weft.functions.text import strip
 
 
@@ -14,20 +14,11 @@ def explanation_requests(requests: DataFrame, items: DataFrame) -> DataFrame:
 
     ``items`` carry the ``ask`` they were ranked by.
     """
-    top = items.filter(F.col("rank") <= vocab.EXPLAINED_ITEMS)
-    ids = top.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "product_id"))).alias("_top")
-    ).select("request_id", F.col("_top.product_id").alias("top_ids"))
-    return (
-        requests.select("request_id", "raw_query")
-        .join(ids, "request_id", "left")
-        .join(ground(top), "request_id", "left")
-        .join(template_text(top), "request_id", "left")
-        .withColumn(
-            "request_key",
-            request_key(F.col("raw_query"), F.coalesce("top_ids", F.array().cast("array<string>"))),
-        )
+    made = requests.select("request_id", "raw_query").join(
+        explained_items(items), "request_id", "left"
     )
+    ids = F.coalesce("top_ids", F.array().cast("array<string>"))
+    return made.withColumn("request_key", request_key(F.col("raw_query"), ids))
 
 
 def shared_requests(explained: DataFrame) -> DataFrame:

@@ -258,8 +258,9 @@ def search(
 ) -> SearchResult:
     """Answer a table of searches (query_id, raw_query, optional top_k and ui_*).
 
-    The distinct requests and their hits are read by several later steps, so each
-    is written once to the checkpoint folder; the log itself joins last.
+    The distinct requests, their hits and the few ranked products are read by
+    several later steps, so each is written once to the checkpoint folder; the log
+    itself joins last.
     """
     log = asked(searches)
     requests = cut_lineage(with_constraints(distinct_requests(log), store.variants), "requests")
@@ -267,10 +268,14 @@ def search(
     hits = None
     if store.has_vectors:
         hits = cut_lineage(find_hits(requests, store, most_k, stop_words, blocks), "hits")
-        ranked = rank_hits(requests, hits, store.variants, most_k, threshold)
+        ranked = cut_lineage(
+            rank_hits(requests, hits, store.variants, most_k, threshold), "ranked"
+        )
         items = attach_chunks(attach_products(ranked, requests, store.catalog), hits, store.chunks)
     else:
-        ranked = rank_attributes(requests, store.variants, most_k, threshold)
+        ranked = cut_lineage(
+            rank_attributes(requests, store.variants, most_k, threshold), "ranked"
+        )
         empty = "array<struct<distance:double,chunk_id:string,text:string,chunk_type:string>>"
         items = attach_products(ranked, requests, store.catalog).withColumn(
             "matched_chunks", F.array().cast(empty)
