@@ -144,7 +144,7 @@ def rank_hits(
     ).withColumn("style_match", has_flag(F.col("styles"), F.col("style_place")))
     return rank_products(
         candidates, top_k=most_k, own_k="top_k", threshold=threshold,
-        allow_unretrieved=False, few_per_query=True, key="request_id", keep=("ordinal",),
+        allow_unretrieved=False, few_per_query=True, key="request_id", keep=("ordinal", "product_id"),
     )
 
 
@@ -170,28 +170,29 @@ def rank_attributes(
     )
     return rank_by_attributes(
         candidates, top_k=most_k, own_k="top_k", threshold=threshold, key="request_id",
-        keep=("ordinal",),
+        keep=("ordinal", "product_id"),
     )
 
 
 def attach_products(ranked: DataFrame, requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Full catalog rows and the ask for the ranked products."""
-    wanted = requests.select("request_id", "ask", F.struct("used.max_price", "used.min_price").alias("_bounds"))
-    items = ranked.join(catalog, "ordinal").join(wanted, "request_id")
+    wanted = requests.select(
+        "request_id", "ask", F.struct("used.max_price", "used.min_price").alias("_bounds")
+    )
+    products = catalog.drop("product_id")
+    items = ranked.join(products, "ordinal").join(wanted, "request_id")
     return price_guard(items, "_bounds").drop("_bounds")
 
 
-def attach_chunks(items: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Matched chunks per item, nearest first. A request has at most n hits."""
-    mine = hits.join(items.select("request_id", "product_id"), ["request_id", "product_id"])
+def matched_chunks(ranked: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks per ranked product, nearest first. A request has at most n hits, and
+    only hits of ranked products meet the chunk texts."""
+    mine = hits.join(ranked.select("request_id", "product_id"), ["request_id", "product_id"])
     texts = mine.join(chunks.select("chunk_id", "text"), "chunk_id")
     entry = F.struct("distance", "chunk_id", "text", "chunk_type")
-    grouped = texts.groupBy("request_id", "product_id").agg(
+    return texts.groupBy("request_id", "product_id").agg(
         F.sort_array(F.collect_list(entry)).alias("matched_chunks")
     )
-    return items.join(grouped, ["request_id", "product_id"], "left").withColumn(
-        "matched_chunks", F.coalesce("matched_chunks", F.array())
-    )
 
 
 def diagnose(
@@ -271,7 +272,10 @@ def search(
         ranked = cut_lineage(
             rank_hits(requests, hits, store.variants, most_k, threshold), "ranked"
         )
-        items = attach_chunks(attach_products(ranked, requests, store.catalog), hits, store.chunks)
+        found = matched_chunks(ranked, hits, store.chunks)
+        items = attach_products(
+            ranked.join(found, ["request_id", "product_id"]), requests, store.catalog
+        )
     else:
         ranked = cut_lineage(
             rank_attributes(requests, store.variants, most_k, threshold), "ranked"
