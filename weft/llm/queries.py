@@ -5,14 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.llm import byte_bpe, jaccard_join, mixing, pseudonyms, sharding, toxicity
+from weft.llm import (
+    byte_bpe, hamming_search, jaccard_join, mixing, pseudonyms, sharding, toxicity, vector_dedup,
+)
 from weft.llm.common import held_out, table
 
+NEAREST = 10
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PSEUDONYM_KEY = "a key of the caller"
 
 
+def op1_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20, against all rows."""
+    index = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming_search.search_codes(index, index.filter("id % 20 = 0"), NEAREST)
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on rows whose crc32(doc_id as text) mod 5 is not 0."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5))
@@ -29,6 +38,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(table(spark, sf_dir, "documents")).taken()
     return made.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -54,6 +67,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op4_jaccard_join, op6_mixing, op7_sharding, op8_pseudonyms, op10_byte_bpe)
+    for f in (
+        op1_hamming_search, op2_toxicity, op4_jaccard_join, op5_vector_dedup, op6_mixing, op7_sharding,
+        op8_pseudonyms, op10_byte_bpe,
+    )
 }
 ORACLES: dict[str, str] = {}
