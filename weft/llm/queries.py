@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.llm import (
-    byte_bpe, hamming_search, jaccard_join, mixing, pseudonyms, sharding, toxicity, vector_dedup,
+    byte_bpe, hamming_search, jaccard_join, language, mixing, pseudonyms, sharding, toxicity, vector_dedup,
 )
 from weft.llm.common import held_out, table
 
 NEAREST = 10
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 PSEUDONYM_KEY = "a key of the caller"
 
 
@@ -60,6 +61,14 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents, PSEUDONYM_KEY)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = documents.filter(~held_out(F.col("doc_id"), 5))
+    model = language.fit(learned, public_tokenizers.path(PIECES))
+    predicted = language.predict(documents.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(documents, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -69,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_hamming_search, op2_toxicity, op4_jaccard_join, op5_vector_dedup, op6_mixing, op7_sharding,
-        op8_pseudonyms, op10_byte_bpe,
+        op8_pseudonyms, op9_language, op10_byte_bpe,
     )
 }
 ORACLES: dict[str, str] = {}
