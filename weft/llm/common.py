@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 1 << 17
 
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
@@ -82,6 +83,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
+        end = min(end, start + SLICE_ROWS)
         yield batch.slice(start, end - start)
         start = end
 

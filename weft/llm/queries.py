@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.llm import (
-    byte_bpe, hamming_search, jaccard_join, language, mixing, pseudonyms, sharding, toxicity, vector_dedup,
+    byte_bpe, hamming_search, jaccard_join, katz, language, mixing, pseudonyms, sharding, toxicity, vector_dedup,
 )
 from weft.llm.common import held_out, table
 
@@ -35,6 +35,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
 
 
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_hamming_search, op2_toxicity, op4_jaccard_join, op5_vector_dedup, op6_mixing, op7_sharding,
+        op1_hamming_search, op2_toxicity, op3_katz_scores, op4_jaccard_join, op5_vector_dedup, op6_mixing, op7_sharding,
         op8_pseudonyms, op9_language, op10_byte_bpe,
     )
 }
