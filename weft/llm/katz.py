@@ -375,39 +375,59 @@ def backoff(total, high, reached, low, d: np.ndarray):
 
 
 def _finish(d: np.ndarray, late_ids: np.ndarray, late_weight: np.ndarray):
-    """Task: stored parts to rows (key, and what they add)."""
-    schema = ["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def rows(key, score, meta=None):
-        n = len(key)
-        nulls = [pa.nulls(n, t) for t in types[1:6]]
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(meta or nulls), pa.array(score, pa.float64())], names=schema)
+    """Task: stored parts to what each batch's documents gain by them."""
 
     def run(incoming):
         for batch in incoming:
-            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist()):
-                parts = unpack(payload)
+            made = []
+            for kind, own, payload in zip(*(batch.column(k).to_pylist() for k in ("kind", "batch", "payload"))):
                 if kind == "meta":
-                    key, ids, null, training, n, known, base = parts
-                    meta = [pa.array(ids, pa.int64(), mask=null), pa.array(~training.astype(bool)), pa.array(n), pa.array(known), pa.array(base)]
-                    yield rows(key, np.zeros(len(key)), meta)
-                elif kind == "sums":
-                    yield rows(parts[0], parts[1] + sum(parts[1 + r] * np.log10(d[r]) for r in range(1, MOST + 1)))
+                    made.append(("meta", -1, own, payload))
+                    continue
+                parts = unpack(payload)
+                if kind == "sums":
+                    key, gain = parts[0], parts[1] + sum(parts[1 + r] * np.log10(d[r]) for r in range(1, MOST + 1))
                 elif kind == "open":
                     weight = np.log10(backoff(parts[0], parts[1], parts[2], parts[3 : 3 + MOST], d))
                     at, doc, n = parts[3 + MOST :]
-                    key, inverse = np.unique(doc, return_inverse=True)
-                    yield rows(key, np.bincount(inverse, weight[at] * n, len(key)))
+                    key, gain = doc, weight[at] * n
+                elif len(late_ids):
+                    key, gain = parts[1], late_weight[np.searchsorted(late_ids, parts[0])] * parts[2]
                 else:
-                    key, inverse = np.unique(parts[1], return_inverse=True)
-                    weight = late_weight[np.searchsorted(late_ids, parts[0])] if len(late_ids) else np.zeros(len(parts[0]))
-                    yield rows(key, np.bincount(inverse, weight * parts[2], len(key)))
+                    continue
+                key, inverse = np.unique(key, return_inverse=True)
+                gain = np.bincount(inverse, gain, len(key))
+                part = key >> 18
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(key) else np.zeros(1, np.int64)
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    doc = (key[lo:hi] & ((1 << 18) - 1)).astype(np.uint32)
+                    made.append(("gain", -1, int(part[lo]), pack(doc, gain[lo:hi])))
+            yield _rows(made)
 
     return run
 
 
-PARTS = "key long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _add_up(group: pa.Table) -> pa.Table:
+    """One batch's documents with the sum of their gains."""
+    meta, gains = None, []
+    for kind, payload in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
+        if kind == "meta":
+            meta = unpack(payload)
+        else:
+            gains.append(unpack(payload))
+    _, ids, null, training, n, known, base = meta
+    total = np.zeros(len(ids))
+    for doc, gain in gains:
+        total[doc] += gain
+    return pa.table(
+        {
+            "id": pa.array(ids, pa.int64(), mask=null), "held_out": ~training.astype(bool), "n_tokens": n,
+            "n_known": known, "base_score": base, "score": total,
+        }
+    )
+
+
+PARTS = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def score(
@@ -498,18 +518,16 @@ def score(
             own[1] += count
         else:
             own[2 + count] += 1
-    full = frozenset(i for i in sums_of if counts_of[i] and not sums_of[i][3:].any())
+    full = frozenset(i for i in sums_of if i != END and counts_of[i] and not sums_of[i][3:].any())
     if full - whole:
         # A frequent word with no rare successor leaves no mass: keep it in one bucket, which adds a count.
         return score(documents, held, id_col, text_col, hot_least, whole | full, path and f"{path}-whole")
     late_weight = np.array([np.log10(backoff(counts_of[int(i)], *sums_of[int(i)][1:3], sums_of[int(i)][3:], d)) for i in hot_ids])
 
-    rows = stored.filter("kind in ('meta', 'sums', 'open', 'late')").select("kind", "payload").mapInArrow(
-        _finish(d, hot_ids, late_weight), PARTS
+    gains = stored.filter("kind in ('meta', 'sums', 'open', 'late')").select("kind", "batch", "payload").mapInArrow(
+        _finish(d, hot_ids, late_weight), ROWS
     )
-    summed = rows.groupBy("key").agg(
-        F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.max("n_known").alias("n_known"), F.lit(unigrams.tokens).cast("long").alias("train_tokens"),
-        F.max("base_score").alias("base_score"), F.sum("score").alias("score"),
+    return gains.groupBy("batch").applyInArrow(_add_up, PARTS).select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
+        F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
-    return summed.drop("key")
