@@ -43,7 +43,7 @@ from weft.session import checkpoint_folder, cut_lineage
 MOST = 5
 SHARE = 1024
 HOT_LEAST = 50_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 ROWS = "kind string, place long, batch long, payload binary"
 NAMES = ["kind", "place", "batch", "payload"]
 
