@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import slices, worker_state
+from weft.llm.common import bounded_batches, slices, tidy, worker_state
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 SLICE = 4 << 20
 GROUP = 256
 SEPARATOR = "\x00"
@@ -139,6 +139,7 @@ def coder(path: str, pattern: str) -> Coder:
 
 def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, starts, ends): token ids and their character offsets."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     kind = docs.schema[0].dataType.simpleString()
 
@@ -158,7 +159,7 @@ def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
                     names=[id_col, "ids", "starts", "ends"],
                 )
 
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>")
+    return docs.mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -178,7 +179,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
                 names=[id_col, "decoded", "text"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, decoded binary, text string")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, decoded binary, text string")
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,6 +187,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str, id_col: str = "doc
 
     Encodes and decodes in one pass, so that ids need not leave the task.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     kind = docs.schema[0].dataType.simpleString()
 
@@ -210,4 +212,4 @@ def round_trip(documents: DataFrame, path: str, pattern: str, id_col: str = "doc
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,6 +7,9 @@ shingles are named by 64-bit hashes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import pickle
 import sys
 import types
@@ -17,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
 SLICE_ROWS = 1 << 17
 
 _LOWERED = np.arange(256, dtype=np.uint8)
@@ -45,6 +49,34 @@ def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that long texts don't fill a Python worker; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy(run):
+    """The same task function, which gives freed memory back at its end: a worker outlives its tasks."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def stream(batches):
+        yield from run(batches)
+        release()
+
+    def group(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        release()
+        return out
+
+    return stream if inspect.isgeneratorfunction(run) else group
+
+
 def worker_state(name: str) -> dict:
     """A dict that outlives the task in a Python worker.
 

@@ -30,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import mix64, pack, partitions_of, shingle_sets, slices, unpack
+from weft.llm.common import bounded_batches, mix64, pack, partitions_of, shingle_sets, slices, tidy, unpack
 from weft.llm.graph import components
 from weft.session import cut_lineage
 
 CELL_BITS = 20
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
-FLUSH = 2_000_000
+FLUSH = 500_000
 SMALL_ROWS = 500_000
 
 
@@ -257,9 +257,10 @@ def links(
     group that is already connected.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = cut_lineage(
-        docs.mapInArrow(_count(width), "id long, n long, node long, chunk int, payload binary"), "shingle-keys"
+        docs.mapInArrow(tidy(_count(width)), "id long, n long, node long, chunk int, payload binary"), "shingle-keys"
     )
     keys = first.filter("chunk is null").select("id", "n", "node")
     added = first.filter("chunk is not null").select("chunk", "payload").groupBy("chunk").applyInArrow(
@@ -273,21 +274,21 @@ def links(
     shared = spark.sparkContext.broadcast(np.concatenate(cells))
     buckets = 4 * partitions_of(spark)
     packed = docs.select("id", "text").mapInArrow(
-        _prefixes(width, percent, buckets, lambda: shared.value), "bucket int, payload binary"
+        tidy(_prefixes(width, percent, buckets, lambda: shared.value)), "bucket int, payload binary"
     )
-    postings = cut_lineage(packed.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA), "postings")
+    postings = cut_lineage(packed.groupBy("bucket").applyInArrow(tidy(_lists), LIST_SCHEMA), "postings")
     postings = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
     needed = postings.select("node").distinct().join(classes.filter("id is not null"), "node").select("id").distinct()
     needed = cut_lineage(needed, "needed")
     if needed.count() <= SMALL_ROWS:
         needed = F.broadcast(needed)
-    sets = cut_lineage(docs.join(needed, "id", "left_semi").mapInArrow(_set_rows(width), "node long, shingles binary"), "sets")
+    sets = cut_lineage(docs.join(needed, "id", "left_semi").mapInArrow(tidy(_set_rows(width)), "node long, shingles binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
             sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"
         )
-        return both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "u long, v long").distinct()
+        return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "u long, v long").distinct()
 
     alike = f"100 * least(n, other) >= {percent} * greatest(n, other)"
     edges, tried, current = None, None, postings.withColumn("comp", F.col("node"))

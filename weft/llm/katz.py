@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import hashed_words, mix64, pack, partitions_of, slices, unpack
+from weft.llm.common import bounded_batches, hashed_words, mix64, pack, partitions_of, slices, tidy, unpack
 from weft.session import checkpoint_folder, cut_lineage
 
 MOST = 5
@@ -100,10 +100,23 @@ def _rows(made: list) -> pa.RecordBatch:
     )
 
 
+def _gathered(incoming):
+    """Arrow batches joined to about BATCH_BYTES, so that fewer bigrams are sent twice."""
+    held, size = [], 0
+    for batch in incoming:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _batches(incoming):
     """(batch number, ids, training flags, hashes, first word of each row) of bounded parts of a partition."""
     k, part = 0, TaskContext.get().partitionId()
-    for batch in incoming:
+    for batch in _gathered(incoming):
         for some in slices(batch, "text", BATCH_BYTES):
             words, row = hashed_words(some.column(1))
             yield (part << 24) + k, some.column(0), some.column(2).to_numpy(zero_copy_only=False).astype(bool), words, row
@@ -442,13 +455,14 @@ def score(
     kept in one bucket (see below).
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.coalesce(~held, F.lit(True)).alias("training"),
     )
     buckets = partitions_of(spark)
-    sent = docs.mapInArrow(_send_words(buckets), ROWS)
-    words = cut_lineage(sent.groupBy("place").applyInArrow(_count_words, ROWS), "words")
+    sent = docs.mapInArrow(tidy(_send_words(buckets)), ROWS)
+    words = cut_lineage(sent.groupBy("place").applyInArrow(tidy(_count_words), ROWS), "words")
     sums = np.zeros((buckets, MOST + 5), np.int64)
     trained = 0
     for r in words.filter("kind in ('counts', 'documents')").collect():  # one row of 10 numbers per bucket
@@ -476,7 +490,7 @@ def score(
         hashes = np.array([h for h, _ in by_hash], np.uint64)
         places = np.searchsorted(hot_ids, np.array([i for _, i in by_hash], np.int64))
         start, end = (int(np.searchsorted(hot_ids, m)) if m in marks else -1 for m in (START, END))
-        counted = docs.mapInArrow(_hot_pairs(hashes, places, start, end, len(hot_ids)), "pair long, n long")
+        counted = docs.mapInArrow(tidy(_hot_pairs(hashes, places, start, end, len(hot_ids))), "pair long, n long")
         pairs = sorted((r["pair"], r["n"]) for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect())
     else:
         pairs = []
@@ -491,9 +505,9 @@ def score(
     def hot_of():
         return Hot(*shared.value)
 
-    texts = docs.mapInArrow(_send_texts, ROWS).union(words.filter("kind = 'reply'").select(*NAMES))
-    dealt = texts.groupBy("batch").applyInArrow(_deal_bigrams(buckets, starts, unigrams_of, hot_of), ROWS)
-    reduced = dealt.groupBy("place").applyInArrow(_reduce(unigrams_of, hot_of), ROWS)
+    texts = docs.mapInArrow(tidy(_send_texts), ROWS).union(words.filter("kind = 'reply'").select(*NAMES))
+    dealt = texts.groupBy("batch").applyInArrow(tidy(_deal_bigrams(buckets, starts, unigrams_of, hot_of)), ROWS)
+    reduced = dealt.groupBy("place").applyInArrow(tidy(_reduce(unigrams_of, hot_of)), ROWS)
     folder = path or f"{checkpoint_folder(spark)}/weft/katz-{uuid.uuid4().hex}"
     reduced.write.partitionBy("kind").parquet(folder)
     stored = spark.read.schema(ROWS).parquet(folder)
@@ -527,7 +541,7 @@ def score(
     gains = stored.filter("kind in ('meta', 'sums', 'open', 'late')").select("kind", "batch", "payload").mapInArrow(
         _finish(d, hot_ids, late_weight), ROWS
     )
-    return gains.groupBy("batch").applyInArrow(_add_up, PARTS).select(
+    return gains.groupBy("batch").applyInArrow(tidy(_add_up), PARTS).select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
         F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import hash_spans, mix64, pack, unpack, worker_state
+from weft.llm.common import bounded_batches, hash_spans, mix64, pack, tidy, unpack, worker_state
 from weft.llm.toxicity import text_groups
 
 MARK = "▁"
@@ -36,7 +36,7 @@ LONGEST = 24
 LONGEST_PIECE = 12
 FLOOR = 1e-7
 MAX_ROWS = 4_000
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
 STEPS = 4
 CELLS = 1 << 22
 STEP_HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -201,6 +201,7 @@ def log_chances(texts: list, lattice: Lattice, chance: np.ndarray, memo: dict |
 
 def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     spark = documents.sparkSession
+    bounded_batches(spark)
     known = documents.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         "text is not null and lang is not null"
     )
@@ -232,7 +233,7 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
                     names=["lang", "word", "n"],
                 )
 
-    counts = known.filter(place < share).select("text", "lang").mapInArrow(words_of, "lang int, word string, n long")
+    counts = known.filter(place < share).select("text", "lang").mapInArrow(tidy(words_of), "lang int, word string, n long")
     from weft.session import cut_lineage
 
     words = cut_lineage(counts.groupBy("word", "lang").agg(F.sum("n").alias("n")), "words")
@@ -264,7 +265,7 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
 
         # One array of pieces x languages per task and in the driver, whatever the input.
         total = np.zeros((len(hashes) + 1) * len(langs))
-        for r in words.select("word", "lang", "n").coalesce(16).mapInArrow(expect, "one long, payload binary").toLocalIterator():
+        for r in words.select("word", "lang", "n").coalesce(16).mapInArrow(tidy(expect), "one long, payload binary").toLocalIterator():
             total += unpack(bytes(r["payload"]))[0]
         total = total.reshape(-1, len(langs))[:-1] + 0.1
         chance = total / total.sum(axis=0)
@@ -274,6 +275,7 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
 def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents' other columns with lang_pred and score, without the text."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.hashes, model.chance))
     mark = uuid.uuid4().hex
     others = [c for c in documents.columns if c not in (text_col, "lang_pred", "score")]
@@ -303,4 +305,4 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
                 names=[*others, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import mix64, partitions_of, slices, text_bytes, word_spans
+from weft.llm.common import bounded_batches, mix64, partitions_of, slices, text_bytes, tidy, word_spans
 from weft.llm.running import running_total, spread
 from weft.session import cut_lineage
 
@@ -114,6 +114,7 @@ def mix(
     share: float = 1.5, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17,
 ) -> Mix:
     spark = documents.sparkSession
+    bounded_batches(spark)
     text = F.col(text_col).cast("string")
     sized = cut_lineage(
         documents.select(
@@ -235,7 +236,7 @@ def mixed_documents(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = both.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in documents.columns]).schema
-    mixed = both.mapInArrow(cut, schema)
+    mixed = both.mapInArrow(tidy(cut), schema)
     if chars_col:
         mixed = mixed.withColumn(chars_col, F.length(text_col).cast(documents.schema[chars_col].dataType))
     return mixed

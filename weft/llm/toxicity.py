@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import pack, unpack
+from weft.llm.common import bounded_batches, pack, tidy, unpack
 
 ORDERS = (2, 3, 4, 5)
 CELL_BITS = 20
 FEATURES = 4096
-MAX_ROWS = 20_000
+MAX_ROWS = 12_000
 LEAST_COUNT = 4
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -132,9 +132,10 @@ def _regression(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, l2
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", max_rows: int = MAX_ROWS) -> Model:
     """Model from a table of texts and 0/1 labels, small enough to be read twice (see ``sample``)."""
     spark = labelled.sparkSession
+    bounded_batches(spark)
     data = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
     data = data.filter("label in (0, 1)")
-    added = data.mapInArrow(_count, "chunk int, payload binary").groupBy("chunk").applyInArrow(
+    added = data.mapInArrow(tidy(_count), "chunk int, payload binary").groupBy("chunk").applyInArrow(
         _add, "chunk int, payload binary"
     )
     parts = [unpack(bytes(r["payload"])) for r in sorted(added.collect(), key=lambda r: r["chunk"])]
@@ -161,7 +162,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["label", "held"])
 
     # At most about max_rows rows of at most FEATURES two-byte numbers.
-    rows = data.mapInArrow(present, "label int, held binary").toArrow()
+    rows = data.mapInArrow(tidy(present), "label int, held binary").toArrow()
     label = rows.column("label").to_numpy().astype(np.float64)
     held = [np.frombuffer(v, np.uint16).astype(np.int64) for v in rows.column("held").to_pylist()]
     order = sorted(range(len(held)), key=lambda k: (label[k], held[k].tobytes()))
@@ -216,6 +217,7 @@ def score_texts(texts: list, slot: np.ndarray, weight: np.ndarray, bias: float)
 def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents' other columns with ``score`` and ``predicted``, without the text."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.slot, model.weight, model.bias))
     others = [c for c in documents.columns if c not in (text_col, "score", "predicted")]
     docs = documents.select(*others, F.col(text_col).cast("string").alias("_text"))
@@ -229,11 +231,12 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 names=[*others, "score", "predicted"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def without_toxic(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose text scores below 0.5, with all their columns."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
     at = documents.columns.index(text_col)
 
@@ -242,4 +245,4 @@ def without_toxic(documents: DataFrame, model: Model, text_col: str = "text") ->
             found = score_texts(batch.column(at).cast(pa.string()).to_pylist(), *shared.value)
             yield batch.filter(pa.array(found < 0.5))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
