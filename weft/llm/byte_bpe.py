@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.common import bounded_batches, slices, tidy, worker_state
 
-MEMO_ENTRIES = 400_000
-SLICE = 4 << 20
+MEMO_ENTRIES = 200_000
+SLICE = 2 << 20
 GROUP = 256
 SEPARATOR = "\x00"
 
@@ -107,7 +107,7 @@ class Coder:
 
     def _keep(self, piece: str, ids: list[int]) -> None:
         decimal = ",".join([self.decimal_of[i] for i in ids])
-        self.memo[piece] = (len(ids), decimal, self.decode(ids), tuple(ids))
+        self.memo[piece] = (len(ids), decimal, self.decode(ids))
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -115,7 +115,7 @@ class Coder:
     def encode(self, text: str) -> list[int]:
         cut = self.matches(text)
         self.learn(set(cut))
-        return [i for p in cut for i in self.memo[p][3]]
+        return [int(i) for p in cut for i in self.memo[p][1].split(",")]
 
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """First and end character of each token; tokens that share a character both cover it."""
@@ -200,7 +200,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str, id_col: str = "doc
                 count, ids, decoded = [], [], []
                 for pieces in cut:
                     made = list(map(own.memo.__getitem__, pieces))
-                    sizes, decimals, raw, _ = zip(*made) if made else ((), (), (), ())
+                    sizes, decimals, raw = zip(*made) if made else ((), (), ())
                     count.append(sum(sizes))
                     ids.append(hashlib.sha256(",".join(decimals).encode()).hexdigest())
                     decoded.append(hashlib.sha256(b"".join(raw)).hexdigest())
