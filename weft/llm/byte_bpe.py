@@ -2,8 +2,8 @@
 
 A rank file (base64 token, rank) becomes a BPE model whose merges are all splits of a
 token into two tokens, ordered by the token's rank. Text is cut by the public pattern;
-each match is encoded by itself. Distinct matches are encoded once per worker and kept
-in a bounded memo, so a batch costs one library call for its new matches.
+each match is encoded by itself. Distinct matches are encoded once and kept in the
+task's bounded memo, so a batch costs one library call for its new matches.
 
 Ids are ids of bytes: a character can be split between tokens. Offsets are in
 characters; both tokens of a split character cover it. Decoding maps ids back to
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import bounded_batches, slices, tidy, worker_state
+from weft.llm.common import bounded_batches, slices, tidy
 
 MEMO_ENTRIES = 200_000
 SLICE = 2 << 20
@@ -45,7 +45,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encoder and decoder of one rank file; made once per Python worker."""
+    """Encoder and decoder of one rank file; made once per task, so idle workers hold none."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,15 +128,6 @@ class Coder:
         return character[ends - sizes].tolist(), (character[ends - 1] + 1).tolist()
 
 
-def coder(path: str, pattern: str) -> Coder:
-    """The worker's coder, kept from task to task while the worker lives."""
-    kept = worker_state("coders")
-    key = (path, pattern)
-    if key not in kept:
-        kept[key] = Coder(path, pattern)
-    return kept[key]
-
-
 def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, starts, ends): token ids and their character offsets."""
     bounded_batches(documents.sparkSession)
@@ -144,7 +135,7 @@ def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = coder(path, pattern)
+        own = Coder(path, pattern)
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -168,7 +159,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = coder(path, pattern)
+        own = Coder(path, pattern)
         for batch in batches:
             raw = [own.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -192,7 +183,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str, id_col: str = "doc
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = coder(path, pattern)
+        own = Coder(path, pattern)
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
                 cut = [own.matches(t) if t else [] for t in part.column(1).to_pylist()]

@@ -61,7 +61,7 @@ def _count(width: int):
 
     def run(batches):
         cells, seen = np.zeros(1 << CELL_BITS, np.int64), set()
-        rows: list = []
+        rows, waiting, held = [], [], 0
 
         def flush():
             out = pa.RecordBatch.from_arrays(
@@ -80,12 +80,17 @@ def _count(width: int):
             rows.append((key, len(s), node))
             if node not in seen:
                 seen.add(node)
-                cells += np.bincount((s & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64), minlength=len(cells)) if len(s) > 5000 else 0
-                if len(s) <= 5000:
-                    np.add.at(cells, (s & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64), 1)
+                waiting.append((s & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64))
+                held += len(s)
+            if held >= FLUSH:
+                cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
+                waiting.clear()
+                held = 0
             if len(rows) >= 20_000:
                 yield flush()
         yield flush()
+        if waiting:
+            cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
         if seen:
             chunks = [pack(c.astype(np.uint32)) for c in cells.reshape(16, -1)]
             yield pa.RecordBatch.from_arrays(
@@ -211,16 +216,16 @@ LIST_SCHEMA = "token long, node long, n int, level int, need int"
 
 def _set_rows(width: int):
     def run(batches):
-        names, sizes, values = [], [], []
+        names, values, held = [], [], 0
         for _, s in _sets(batches, width):
             names.append(_node(s))
-            sizes.append(len(s))
             values.append(s.tobytes())
-            if len(names) >= 500:
+            held += len(s)
+            if held >= FLUSH:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["node", "shingles"]
                 )
-                names, sizes, values = [], [], []
+                names, values, held = [], [], 0
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["node", "shingles"]
         )

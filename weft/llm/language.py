@@ -20,7 +20,6 @@ point. Every input row gives one row; other columns are kept.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,7 @@ LONGEST = 24
 LONGEST_PIECE = 12
 FLOOR = 1e-7
 MAX_ROWS = 4_000
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 STEPS = 4
 CELLS = 1 << 22
 STEP_HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -277,7 +276,6 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     spark = documents.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.hashes, model.chance))
-    mark = uuid.uuid4().hex
     others = [c for c in documents.columns if c not in (text_col, "lang_pred", "score")]
     docs = documents.select(*others, F.col(text_col).cast("string").alias("_text"))
     schema = docs.select(*others, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -285,12 +283,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     def run(batches):
         langs, hashes, chance = shared.value
         lattice = Lattice(hashes)
-        # Words' chances under this model stay from task to task; another model has another memo.
-        kept = worker_state("language")
-        if kept.get("model") != mark:
-            kept.clear()
-            kept["model"] = mark
-        memo = kept.setdefault("memo", {})
+        memo: dict = {}  # chances of the task's words
         for batch in batches:
             texts = batch.column(len(others)).to_pylist()
             if langs:

@@ -29,7 +29,7 @@ from weft.llm.common import bounded_batches, pack, tidy, unpack
 ORDERS = (2, 3, 4, 5)
 CELL_BITS = 20
 FEATURES = 4096
-MAX_ROWS = 12_000
+MAX_ROWS = 6_000
 LEAST_COUNT = 4
 SLICE_CHARS = 1 << 19
 
@@ -113,7 +113,8 @@ def _add(group: pa.Table) -> pa.Table:
 def _regression(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, l2: float = 0.2, steps: int = 400):
     """Logistic regression on present features times ``scale``, by accelerated gradient steps."""
     sizes = np.array([len(r) for r in rows])
-    feature, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    feature = np.concatenate(rows).astype(np.intp)
+    owner = np.repeat(np.arange(len(rows)), sizes)
     n, width = len(rows), len(scale)
     value = scale[feature]
     bound = 0.25 * (np.bincount(owner, value**2, n).max() + 1) + l2 / n
@@ -164,7 +165,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
     # At most about max_rows rows of at most FEATURES two-byte numbers.
     rows = data.mapInArrow(tidy(present), "label int, held binary").toArrow()
     label = rows.column("label").to_numpy().astype(np.float64)
-    held = [np.frombuffer(v, np.uint16).astype(np.int64) for v in rows.column("held").to_pylist()]
+    held = [np.frombuffer(v, np.uint16) for v in rows.column("held").to_pylist()]
     order = sorted(range(len(held)), key=lambda k: (label[k], held[k].tobytes()))
     weight, bias = _regression([held[k] for k in order], label[order], ratio[best])
     return Model(slot, (weight * ratio[best]).astype(np.float32), float(bias))
