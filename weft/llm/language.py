@@ -262,15 +262,21 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
                         total += np.bincount((at % len(padded)) * width + g, share, total.size)
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([pack(total)], pa.binary())], names=["one", "payload"])
 
-        # One array of pieces x languages per task and in the driver, whatever the input.
+        # One array of pieces x languages in the driver, whatever the input.
         total = np.zeros((len(hashes) + 1) * len(langs))
-        for r in words.select("word", "lang", "n").coalesce(16).mapInArrow(tidy(expect), "one long, payload binary").toLocalIterator():
+        parts = words.select("word", "lang", "n").mapInArrow(tidy(expect), "one long, payload binary")
+        for r in parts.groupBy("one").applyInArrow(_add_up, "one long, payload binary").collect():
             total += unpack(bytes(r["payload"]))[0]
         total = total.reshape(-1, len(langs))[:-1] + 0.1
         chance = total / total.sum(axis=0)
     return Model(langs, hashes, chance)
 
 
+def _add_up(group: pa.Table) -> pa.Table:
+    total = sum(unpack(v)[0] for v in group.column("payload").to_pylist())
+    return pa.table({"one": group.column("one")[:1], "payload": pa.array([pack(total)], pa.binary())})
+
+
 def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents' other columns with lang_pred and score, without the text."""
     spark = documents.sparkSession

@@ -205,11 +205,12 @@ def mixed_documents(
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans"), F.first("size").alias("_size")
     )
     text = F.col(text_col).cast("string")
+    lists = lists.select(F.col("id").alias("_list_id"), F.col("named").alias("_list_named"), "_spans")
     docs = documents.withColumns({"_id": F.col(id_col), "_named": F.xxhash64(text)})
     counts = made.rows.filter("size > 0").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("id", "named")).alias("d")).first()
     if counts["n"] != counts["d"]:
         docs = docs.dropDuplicates(["_id", "_named"])
-    both = docs.join(lists, docs["_id"].eqNullSafe(lists["id"]) & (docs["_named"] == lists["named"]))
+    both = docs.join(lists, docs["_id"].eqNullSafe(lists["_list_id"]) & (docs["_named"] == lists["_list_named"]))
     both = both.select(*documents.columns, "_spans")
     names = list(documents.columns)
     at = names.index(text_col)
