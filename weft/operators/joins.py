@@ -10,6 +10,7 @@ from weft.session import default_salts
 
 BROADCAST_BYTES = 64 << 20
 ANY = "*"
+OWN = "="  # before a category, so that no category equals ANY
 
 
 @dataclass(frozen=True)
@@ -51,12 +52,13 @@ def join_by_category(
     many tasks.
     """
     salts = salts or default_salts(asks.sparkSession)
-    keyed = asks.withColumn("_key", F.coalesce(F.col(f"{want}.category"), F.lit(ANY)))
+    keyed = asks.withColumn("_key", F.coalesce(F.concat(F.lit(OWN), F.col(f"{want}.category")), F.lit(ANY)))
+    keys = F.explode(F.array(F.concat(F.lit(OWN), F.col("category")), F.lit(ANY)))
     if size.small:
-        even = products.repartition(salts, spread)
-        both = even.withColumn("_key", F.explode(F.array(F.col("category"), F.lit(ANY))))
+        tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = products.repartition(tasks, spread).withColumn("_key", keys)
         return both.join(F.broadcast(keyed), "_key").filter(condition).drop("_key")
     salted = products.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    both = salted.withColumn("_key", F.explode(F.array(F.col("category"), F.lit(ANY))))
+    both = salted.withColumn("_key", keys)
     keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return both.join(keyed, ["_key", "_salt"]).filter(condition).drop("_key", "_salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weft import vocab
 from weft.operators.evidence import acceptable, explained_items, request_key
@@ -46,6 +46,10 @@ def explain(
             "request_key", F.col("source").alias("_source"), strip(F.col("text")).alias("_text")
         )
         answered = explained.join(given, "request_key", "left")
+        # Several responses to one key: the first acceptable one by source and text.
+        usable = F.coalesce(acceptable(F.col("_text"), F.col("allowed_ids")), F.lit(False))
+        first = Window.partitionBy("request_id").orderBy(usable.desc(), F.col("_source"), F.col("_text"))
+        answered = answered.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
     accepted = acceptable(F.col("_text"), F.col("allowed_ids"))
     no_items = F.col("top_ids").isNull()
     no_context = F.coalesce(F.col("context") == "", F.lit(True))

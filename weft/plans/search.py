@@ -107,7 +107,7 @@ def find_hits(
     asking = requests.filter(F.col("candidates") > 0).select("request_id", "raw_query", "top_k")
     vectors = encode_requests(asking, store, stop_words).join(
         asking.select(
-            "request_id", F.greatest(F.col("top_k") * 25, F.lit(100)).alias("fetch")
+            "request_id", F.greatest(F.col("top_k").cast("long") * 25, F.lit(100)).alias("fetch")
         ),
         "request_id",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from weft import vocab
 from weft.functions.text import strip
@@ -34,30 +34,38 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
             raise FileNotFoundError(f"no catalog at {path}") from error
         raise
     named = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    return with_file_ordinal(named, raw)
+    return with_file_ordinal(named, raw, multi_line)
 
 
-def with_file_ordinal(named: DataFrame, raw: DataFrame) -> DataFrame:
+def with_file_ordinal(named: DataFrame, raw: DataFrame, one_split: bool = False) -> DataFrame:
     """Number rows in file order: file name first, then place in the file.
 
-    Only the list of files reaches the driver. Within a file Spark reads splits
-    in order, so the generated id grows with the row; 43 bits hold it per file.
+    Only the list of files reaches the driver. Rows are counted per split; a split's
+    rows follow those of all splits before it, by file and place in the file.
+    ``one_split`` says that files are not cut.
     """
     place = raw.withColumns(
-        {"_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()}
-    ).toDF(*named.columns, "_file", "_row")
+        {
+            "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id(),
+        }
+    ).toDF(*named.columns, "_file", "_block", "_row")
     files = sorted(raw.inputFiles())
-    if len(files) == 1:
-        return place.withColumn("ordinal", F.col("_row")).drop("_file", "_row")
+    if len(files) == 1 and one_split:
+        return place.withColumn("ordinal", F.col("_row")).drop("_file", "_block", "_row")
     names = [re.sub(SCHEME, "/", f) for f in files]
     ranks = named.sparkSession.createDataFrame(list(enumerate(names)), "_rank long, _file string")
     place = place.withColumn("_file", F.regexp_replace("_file", SCHEME, "/"))
-    first = place.groupBy("_file").agg(F.min("_row").alias("_first"))
+    splits = place.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_rank", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
     rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("unlisted file "), "_file")).cast("long"))
+    starts = splits.join(ranks, "_file", "left").withColumn("_rank", rank).withColumn(
+        "_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    )
     return (
-        place.join(ranks.join(first, "_file"), "_file", "left")
-        .withColumn("ordinal", F.shiftleft(rank, 43) + F.col("_row") - F.col("_first"))
-        .drop("_file", "_row", "_rank", "_first")
+        place.join(starts.select("_file", "_block", "_first", "_start"), ["_file", "_block"])
+        .withColumn("ordinal", F.col("_start") + F.col("_row") - F.col("_first"))
+        .drop("_file", "_block", "_row", "_first", "_start")
     )
 
 
