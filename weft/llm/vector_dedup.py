@@ -32,6 +32,8 @@ BLOCK_DIMS = 8
 TILE = 4096
 CHUNK = 1 << 17
 SLACK = 1e-9
+#: Sums of ten products of numbers of at most 2 err by less than this in single precision.
+SLACK_SINGLE = 1e-5
 
 
 def rotated(vectors: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -53,14 +55,15 @@ def rotated(vectors: np.ndarray, seed: int = 5) -> np.ndarray:
     return out / np.sqrt(width)
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of lists of one length as a matrix."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = whole.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dims)
+    return flat.astype(np.float64, copy=False).reshape(len(whole), -1)
 
 
-def _deal(dims: int, grid: int, radius: float, blocks: int, tiles: dict):
-    """Task: each vector to its own cell and, as a guest, to half of the neighbouring cells, in every block."""
+def _deal(grid: int, radius: float, blocks: int, tiles: dict):
+    """Task: each rotated vector to its own cell and, as a guest, to the half of the neighbouring cells within reach, in every block."""
     steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * grid, indexing="ij"), axis=-1).reshape(-1, grid)
     middle = len(steps) // 2
 
@@ -68,14 +71,18 @@ def _deal(dims: int, grid: int, radius: float, blocks: int, tiles: dict):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = rotated(_matrix(batch.column("v"), dims))
+            y = rotated(_matrix(batch.column("v")))
             row, block, cell, home, tile = [], [], [], [], []
             own = (batch.column("id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for j in range(blocks):
-                at = np.floor(y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + grid] / radius).astype(np.int64)
+                place = y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + grid] / radius
+                at = np.floor(place).astype(np.int64)
                 for s, step in enumerate(steps[: middle + 1]):
                     to = _cell(at + step)
                     size = np.array([tiles.get((j, c), 0) for c in to.tolist()])
+                    # Parts of a radius to the nearest place of that cell.
+                    away = np.where(step > 0, at + 1 - place, np.where(step < 0, place - at, 0.0))
+                    size[(away * away).sum(axis=1) > 1 + SLACK] = 0
                     # Guests visit every tile of a cell that has any.
                     n = np.flatnonzero(size)
                     copies = size[n]
@@ -85,14 +92,15 @@ def _deal(dims: int, grid: int, radius: float, blocks: int, tiles: dict):
                     tile.append(np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
                     home.append(np.repeat(own[n].astype(np.int64) % size[n] if s == middle else np.full(len(n), -1), copies))
             row = np.concatenate(row)
+            lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32), y.ravel())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(cell)),
                     pa.array(np.concatenate(tile).astype(np.int32)), pa.array(np.concatenate(home).astype(np.int32)),
                     batch.column("id").take(pa.array(row)), batch.column("w").take(pa.array(row)),
-                    batch.column("v").take(pa.array(row)),
+                    lists.take(pa.array(row)),
                 ],
-                names=["block", "cell", "tile", "home", "id", "w", "v"],
+                names=["block", "cell", "tile", "home", "id", "w", "y"],
             )
 
     return run
@@ -106,12 +114,12 @@ def _cell(at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cells(dims: int, grid: int, radius: float, blocks: int):
+def _cells(grid: int, radius: float, blocks: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = rotated(_matrix(batch.column("v"), dims))
+            y = rotated(_matrix(batch.column("v")))
             for j in range(blocks):
                 at = np.floor(y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + grid] / radius).astype(np.int64)
                 cell, n = np.unique(_cell(at), return_counts=True)
@@ -122,24 +130,30 @@ def _cells(dims: int, grid: int, radius: float, blocks: int):
     return run
 
 
-def _join(dims: int, threshold: float, budget: float):
+def _join(threshold: float, budget: float):
+    """Task: links between the rows of one tile and all rows of its cell, guests included."""
+
     def run(group: pa.Table) -> pa.Table:
         j, tile = group.column("block")[0].as_py(), group.column("tile")[0].as_py()
-        ids, weight = group.column("id").to_numpy(), group.column("w").to_numpy()
-        home = group.column("home").to_numpy()
-        y = rotated(_matrix(group.column("v"), dims))
+        ids, home = group.column("id").to_numpy(), group.column("home").to_numpy()
+        # Rows of the cell by id, then guests: a row meets only rows behind it, so each pair is met once.
+        order = np.lexsort((ids, home < 0))
+        ids, home, weight = ids[order], home[order], group.column("w").to_numpy()[order]
+        y = _matrix(group.column("y"))[order]
         left = np.flatnonzero(home == tile)
         links, edges = np.zeros(len(ids), np.int64), []
-        sub = np.ascontiguousarray(y[:, j * BLOCK_DIMS : (j + 1) * BLOCK_DIMS])
-        square = (sub * sub).sum(axis=1)
+        sub = y[:, j * BLOCK_DIMS : (j + 1) * BLOCK_DIMS]
+        square, one = (sub * sub).sum(axis=1)[:, None], np.ones((len(ids), 1))
+        # |a - b|^2 as one product, in single precision; what its error lets through is tested in double.
+        mine = np.hstack([-2 * sub, square, one]).astype(np.float32)
+        theirs = np.ascontiguousarray(np.hstack([sub, one, square]).astype(np.float32).T)
         step = max(1, (1 << 21) // max(1, len(ids)))
         for at in range(0, len(left), step):
             some = left[at : at + step]
-            apart = square[some][:, None] + square[None, :] - 2 * (sub[some] @ sub.T)
-            # Inside the own cell a pair is met from both sides: keep the one with the lesser id first.
-            apart[(home[None, :] >= 0) & (ids[None, :] <= ids[some][:, None])] = np.inf
-            a, b = np.nonzero(apart <= budget + SLACK)
-            a = some[a]
+            a, b = np.divmod(np.flatnonzero(mine[some] @ theirs[:, some[0] :] <= np.float32(budget + SLACK_SINGLE)), len(ids) - some[0])
+            a, b = some[a], b + some[0]
+            behind = (home[b] < 0) | (ids[b] > ids[a])
+            a, b = a[behind], b[behind]
             for part in range(0, len(a), CHUNK):
                 p, q = a[part : part + CHUNK], b[part : part + CHUNK]
                 fresh = ((sub[p] - sub[q]) ** 2).sum(axis=1) <= budget + SLACK / 2
@@ -191,15 +205,15 @@ def near_duplicates(
     blocks, budget = width // BLOCK_DIMS, (2 - 2 * threshold) * BLOCK_DIMS / width
     radius = float(np.sqrt(budget + SLACK)) if budget > 1e-12 else 1e-3
     grid = int(np.clip(round(np.log(max(2, size) / 2000) / np.log(5)), 1, min(4, BLOCK_DIMS)))
-    counted = classes.select("v").mapInArrow(_cells(dims, grid, radius, blocks), "block int, cell long, n long")
+    counted = classes.select("v").mapInArrow(_cells(grid, radius, blocks), "block int, cell long, n long")
     # At most blocks * (2 / radius + 2) ** grid cells, however many vectors there are.
     counts = counted.groupBy("block", "cell").agg(F.sum("n").alias("n")).collect()
     tiles = {(r["block"], r["cell"]): -(-r["n"] // TILE) for r in counts}
     dealt = classes.select("id", "w", "v").mapInArrow(
-        _deal(dims, grid, radius, blocks, tiles), "block int, cell long, tile int, home int, id long, w long, v array<double>"
+        _deal(grid, radius, blocks, tiles), "block int, cell long, tile int, home int, id long, w long, y array<double>"
     )
     found = cut_lineage(
-        dealt.groupBy("block", "cell", "tile").applyInArrow(_join(dims, threshold, budget), "id long, links long, with long"), "links"
+        dealt.groupBy("block", "cell", "tile").applyInArrow(_join(threshold, budget), "id long, links long, with long"), "links"
     )
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("u"), F.col("with").alias("v")))
