@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weft import vocab
 from weft.functions.constraints import parse_searches
@@ -204,17 +204,28 @@ def diagnose(
         "request_id", "raw_query", "ask", "relaxed", F.col("candidates").alias("candidates_count")
     ).join(returned, "request_id", "left")
     if hits is not None:
-        found = hits.groupBy("request_id").agg(
+        first = F.when(F.col("hit_rank") <= 15, F.struct("hit_rank", "chunk_id"))
+        chunks = hits.groupBy("request_id").agg(
             F.count(F.lit(1)).alias("retrieved_chunks_count"),
-            F.slice(
-                F.sort_array(F.collect_list(F.struct("hit_rank", "chunk_id"))), 1, 15
-            ).alias("_first"),
-            F.array_sort(F.collect_set("product_id")).alias("_products"),
+            F.sort_array(F.collect_list(first)).alias("_first"),
         ).select(
             "request_id", "retrieved_chunks_count",
             F.col("_first.chunk_id").alias("retrieved_chunk_ids"),
-            F.slice("_products", 1, 15).alias("represented_product_ids"),
-            F.size("_products").alias("unique_products_before_filtering"),
+        )
+        # Products are made distinct before they are counted; only the first 15 become a list.
+        order = Window.partitionBy("request_id").orderBy("product_id")
+        products = hits.filter("product_id is not null").select("request_id", "product_id").distinct()
+        least = products.withColumn("_place", F.row_number().over(order)).filter("_place <= 15")
+        found = chunks.join(
+            products.groupBy("request_id").agg(
+                F.count(F.lit(1)).cast("int").alias("unique_products_before_filtering")
+            ),
+            "request_id", "left",
+        ).join(
+            least.groupBy("request_id").agg(
+                F.array_sort(F.collect_list("product_id")).alias("represented_product_ids")
+            ),
+            "request_id", "left",
         )
         base = base.join(found, "request_id", "left")
         stored = store.chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
