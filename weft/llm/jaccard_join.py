@@ -290,9 +290,12 @@ def links(
     sets = cut_lineage(docs.join(needed, "id", "left_semi").mapInArrow(tidy(_set_rows(width)), "node long, shingles binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(
-            sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"
-        )
+        def of(side: str) -> DataFrame:
+            # Only sets that some pair names travel.
+            named = sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi")
+            return named.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
+
+        both = pairs.join(of("b"), "b").join(of("a"), "a")
         return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "u long, v long").distinct()
 
     alike = f"100 * least(n, other) >= {percent} * greatest(n, other)"
