@@ -208,6 +208,50 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_vector_dedup_tiles_lengths_and_shared_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", 64 * tile)
+    near = RNG.normal(size=(4, 16))
+    rows = [(k, (near[k % 4] + RNG.normal(size=16) * 0.15).tolist()) for k in range(60)]
+    short = RNG.normal(size=10)
+    rows += [(100 + k, (short + RNG.normal(size=10) * 0.05).tolist()) for k in range(5)]
+    # Ids 0 and 1 also stand for a vector that links with nothing and for a near copy of their own.
+    rows += [(0, (-near[0] + near[1] * 3).tolist()), (1, (np.array(rows[1][1]) * 1.01 + 0.001).tolist())]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    linked = lambda a, b: len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if linked(a, b) and group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+    want = [(i, sum(linked(k, o) for o in range(len(rows)) if o != k), min(rows[o][0] for o in range(len(rows)) if group[o] == group[k])) for k, (i, _) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_dedup.near_duplicates(table).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
+    assert sum(r["kept"] for r in got) == len(set(group))
+
+
+def test_vector_dedup_task_holds_no_pairs():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, plan = 3000, vector_dedup.Plan(8, 3000, 0.95)
+    y = vector_dedup.rotated(np.ones((n, 8)) + RNG.normal(size=(n, 8)) * 0.01)
+    table = pa.table({
+        "dims": pa.array([8] * n, pa.int32()), "block": pa.array([0] * n, pa.int32()), "left": pa.array([0] * n, pa.int32()),
+        "right": pa.array([0] * n, pa.int32()), "home": pa.array([0] * n, pa.int32()), "node": np.arange(n), "w": np.ones(n, np.int64),
+        "y": pa.array(y.tolist(), pa.list_(pa.float64())),
+    })
+    tracemalloc.start()
+    got = vector_dedup._join({8: plan}, 0.95)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got["links"].to_pylist()) == {n - 1} and set(got["with"].to_pylist()) == {0}
+    assert peak < 16 * n * n  # bytes; the pairs alone would be 8 * n * n, and as much again when joined
+
+
 def test_mixing(spark, docs, none):
     big = spark.createDataFrame([(k, prose(300), f"s{k % 3}") for k in range(60)], "doc_id long, text string, source string")
     made = mixing.mix(big, block_words=16).taken().collect()

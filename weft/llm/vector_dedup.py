@@ -9,14 +9,18 @@ radius: a pair within the radius lies in the same or in neighbouring cells. Cand
 are verified by their cosine in double precision, and a pair is counted in the first
 block that finds it.
 
-Equal vectors are one row with a multiplicity. A cell of more than ``TILE`` rows is cut
-into tiles by hash, one task per tile. Tasks return link counts and a spanning forest
-of their links, never pairs.
-
-Vectors that are null, empty, zero, of another length than most, or hold null or
-non-finite components link with nothing. Rows without an id are not compared; they
-have n_links 0 and no component. Repeated rows count as other vectors. Other columns
-are ignored.
+Equal vectors are one row with a multiplicity and a number of its own. The rows of a
+cell, and the guests that its neighbours send, are cut into tiles by hash; a task holds
+two tiles and tests the pairs between them. Tasks return link counts and a spanning
+forest of their links, folded in as they are found, never pairs. Every pair of a cell is
+still tested once, and each row travels once for every tile of its cell; cells of many
+rows get larger tiles, up to ``TILE_BYTES``.
+
+Vectors are compared with those of the same length. Vectors that are null, empty, zero
+or hold null or non-finite components link with nothing. Rows without an id are not
+compared; they have n_links 0 and no component. Repeated rows count as other vectors.
+Rows of one id and different vectors are told apart; of those that are linked, the
+vector that comes first by its name is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weft.llm.common import mix64
 from weft.llm.graph import components, local_components
 from weft.session import cut_lineage
 
 BLOCK_DIMS = 8
 TILE = 4096
+TILE_BYTES = 8 << 20
 CHUNK = 1 << 17
 SLACK = 1e-9
 #: Sums of ten products of numbers of at most 2 err by less than this in single precision.
@@ -62,46 +68,81 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(len(whole), -1)
 
 
-def _deal(grid: int, radius: float, blocks: int, tiles: dict):
-    """Task: each rotated vector to its own cell and, as a guest, to the half of the neighbouring cells within reach, in every block."""
-    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * grid, indexing="ij"), axis=-1).reshape(-1, grid)
+class Plan:
+    """How vectors of one length are cut: blocks, grid components, radius and squared budget of a block."""
+
+    def __init__(self, dims: int, size: int, threshold: float):
+        width = max(BLOCK_DIMS, 1 << max(0, int(np.ceil(np.log2(dims)))))
+        self.blocks, self.budget = width // BLOCK_DIMS, (2 - 2 * threshold) * BLOCK_DIMS / width
+        self.radius = float(np.sqrt(self.budget + SLACK)) if self.budget > 1e-12 else 1e-3
+        self.grid = int(np.clip(round(np.log(max(2, size) / 2000) / np.log(5)), 1, min(4, BLOCK_DIMS)))
+        self.most = max(TILE, TILE_BYTES // (8 * width))
+
+    def tiles(self, n: int) -> int:
+        return -(-n // min(self.most, max(TILE, n // 16)))
+
+
+def _visits(y: np.ndarray, plan: Plan):
+    """(block, cell, rows, whether it is their own) of the cells that rotated vectors go to: their own and, as guests, the half of the neighbouring ones within reach."""
+    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * plan.grid, indexing="ij"), axis=-1).reshape(-1, plan.grid)
     middle = len(steps) // 2
+    for j in range(plan.blocks):
+        place = y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + plan.grid] / plan.radius
+        at = np.floor(place).astype(np.int64)
+        for s, step in enumerate(steps[: middle + 1]):
+            # Parts of a radius to the nearest place of that cell.
+            away = np.where(step > 0, at + 1 - place, np.where(step < 0, place - at, 0.0))
+            near = np.flatnonzero((away * away).sum(axis=1) <= 1 + SLACK)
+            yield j, _cell(at[near] + step), near, s == middle
+
+
+def _by_length(batch: pa.RecordBatch):
+    """(number of components, rows) of a batch."""
+    lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    for dims in np.unique(lengths).tolist():
+        yield dims, batch.filter(pa.array(lengths == dims))
+
+
+def _deal(plans: dict, tiles: dict):
+    """Task: each rotated vector to the pairs of tiles, of all cells that it visits, which its own tile is in.
+
+    Pair (i, i) is home tile i with itself and the first guest tile, (i, j) two home tiles, and from
+    j = number of home tiles on, home tile i and a further guest tile.
+    """
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            y = rotated(_matrix(batch.column("v")))
-            row, block, cell, home, tile = [], [], [], [], []
-            own = (batch.column("id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for j in range(blocks):
-                place = y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + grid] / radius
-                at = np.floor(place).astype(np.int64)
-                for s, step in enumerate(steps[: middle + 1]):
-                    to = _cell(at + step)
-                    size = np.array([tiles.get((j, c), 0) for c in to.tolist()])
-                    # Parts of a radius to the nearest place of that cell.
-                    away = np.where(step > 0, at + 1 - place, np.where(step < 0, place - at, 0.0))
-                    size[(away * away).sum(axis=1) > 1 + SLACK] = 0
-                    # Guests visit every tile of a cell that has any.
-                    n = np.flatnonzero(size)
-                    copies = size[n]
-                    row.append(np.repeat(n, copies))
-                    block.append(np.full(copies.sum(), j))
-                    cell.append(np.repeat(to[n], copies))
-                    tile.append(np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
-                    home.append(np.repeat(own[n].astype(np.int64) % size[n] if s == middle else np.full(len(n), -1), copies))
-            row = np.concatenate(row)
-            lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32), y.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(cell)),
-                    pa.array(np.concatenate(tile).astype(np.int32)), pa.array(np.concatenate(home).astype(np.int32)),
-                    batch.column("id").take(pa.array(row)), batch.column("w").take(pa.array(row)),
-                    lists.take(pa.array(row)),
-                ],
-                names=["block", "cell", "tile", "home", "id", "w", "y"],
-            )
+            for dims, rows in _by_length(batch):
+                plan = plans[dims]
+                y = rotated(_matrix(rows.column("v")))
+                own = (mix64(rows.column("node").to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32), y.ravel())
+                piece = max(1, TILE_BYTES // (8 * y.shape[1]))
+                for j, cell, near, home in _visits(y, plan):
+                    cut = np.array([tiles.get((dims, j, c), (0, 0)) for c in cell.tolist()], np.int64).reshape(-1, 2)
+                    mine = own[near] % np.maximum(1, cut[:, 0 if home else 1])
+                    # A row of a home tile meets each home tile and each guest tile but the first, a guest each home tile.
+                    copies = cut[:, 0] + (np.maximum(0, cut[:, 1] - 1) if home else 0)
+                    ends = np.cumsum(copies)
+                    for at in range(0, int(ends[-1]) if len(ends) else 0, piece):
+                        place = np.arange(at, min(at + piece, int(ends[-1])))
+                        row = np.searchsorted(ends, place, side="right")
+                        other, tile, n = place - (ends - copies)[row], mine[row], cut[row, 0]
+                        if home:
+                            # Further guest tiles are numbered n + 1, n + 2, ...; their pairs have the home tile first.
+                            left, right = np.minimum(tile, other), np.maximum(tile, other) + (other >= n)
+                        else:
+                            left, right = other, np.where(tile == 0, other, n + tile)
+                        k = near[row]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(k), dims, np.int32)), pa.array(np.full(len(k), j, np.int32)), pa.array(cell[row]),
+                                pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)),
+                                pa.array((tile if home else np.full(len(k), -1)).astype(np.int32)),
+                                rows.column("node").take(pa.array(k)), rows.column("w").take(pa.array(k)), lists.take(pa.array(k)),
+                            ],
+                            names=["dims", "block", "cell", "left", "right", "home", "node", "w", "y"],
+                        )
 
     return run
 
@@ -114,45 +155,53 @@ def _cell(at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cells(grid: int, radius: float, blocks: int):
+def _cells(plans: dict):
+    """Task: how many rows and guests each cell has."""
+
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            y = rotated(_matrix(batch.column("v")))
-            for j in range(blocks):
-                at = np.floor(y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + grid] / radius).astype(np.int64)
-                cell, n = np.unique(_cell(at), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(cell), j, np.int32)), pa.array(cell), pa.array(n)], names=["block", "cell", "n"]
-                )
+            for dims, rows in _by_length(batch):
+                for j, cell, _, home in _visits(rotated(_matrix(rows.column("v"))), plans[dims]):
+                    cell, n = np.unique(cell, return_counts=True)
+                    zero, n = np.zeros(len(cell), np.int64), n.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(cell), dims, np.int32)), pa.array(np.full(len(cell), j, np.int32)), pa.array(cell),
+                            pa.array(n if home else zero), pa.array(zero if home else n),
+                        ],
+                        names=["dims", "block", "cell", "n", "guests"],
+                    )
 
     return run
 
 
-def _join(threshold: float, budget: float):
-    """Task: links between the rows of one tile and all rows of its cell, guests included."""
+def _join(plans: dict, threshold: float):
+    """Task: links between the rows of two tiles."""
 
     def run(group: pa.Table) -> pa.Table:
-        j, tile = group.column("block")[0].as_py(), group.column("tile")[0].as_py()
-        ids, home = group.column("id").to_numpy(), group.column("home").to_numpy()
-        # Rows of the cell by id, then guests: a row meets only rows behind it, so each pair is met once.
-        order = np.lexsort((ids, home < 0))
-        ids, home, weight = ids[order], home[order], group.column("w").to_numpy()[order]
+        j, tile, other = (group.column(c)[0].as_py() for c in ("block", "left", "right"))
+        budget = plans[group.column("dims")[0].as_py()].budget
+        nodes, home = group.column("node").to_numpy(), group.column("home").to_numpy()
+        # The left tile first; paired with itself, a row meets only rows behind it, so each pair is met once.
+        order = np.lexsort((nodes, home != tile))
+        nodes, weight = nodes[order], group.column("w").to_numpy()[order]
         y = _matrix(group.column("y"))[order]
-        left = np.flatnonzero(home == tile)
-        links, edges = np.zeros(len(ids), np.int64), []
+        left = int((home == tile).sum())
+        links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
         sub = y[:, j * BLOCK_DIMS : (j + 1) * BLOCK_DIMS]
-        square, one = (sub * sub).sum(axis=1)[:, None], np.ones((len(ids), 1))
+        square, one = (sub * sub).sum(axis=1)[:, None], np.ones((len(nodes), 1))
         # |a - b|^2 as one product, in single precision; what its error lets through is tested in double.
         mine = np.hstack([-2 * sub, square, one]).astype(np.float32)
         theirs = np.ascontiguousarray(np.hstack([sub, one, square]).astype(np.float32).T)
-        step = max(1, (1 << 21) // max(1, len(ids)))
-        for at in range(0, len(left), step):
-            some = left[at : at + step]
-            a, b = np.divmod(np.flatnonzero(mine[some] @ theirs[:, some[0] :] <= np.float32(budget + SLACK_SINGLE)), len(ids) - some[0])
-            a, b = some[a], b + some[0]
-            behind = (home[b] < 0) | (ids[b] > ids[a])
+        step = max(1, (1 << 21) // max(1, len(nodes)))
+        for at in range(0, left, step):
+            start = at if tile == other else left
+            if start == len(nodes):
+                break
+            near = mine[at : min(at + step, left)] @ theirs[:, start:] <= np.float32(budget + SLACK_SINGLE)
+            a, b = np.divmod(np.flatnonzero(near), len(nodes) - start)
+            a, b = a + at, b + start
+            behind = b > a
             a, b = a[behind], b[behind]
             for part in range(0, len(a), CHUNK):
                 p, q = a[part : part + CHUNK], b[part : part + CHUNK]
@@ -162,17 +211,16 @@ def _join(threshold: float, budget: float):
                     d = y[p, k * BLOCK_DIMS : (k + 1) * BLOCK_DIMS] - y[q, k * BLOCK_DIMS : (k + 1) * BLOCK_DIMS]
                     later = (d * d).sum(axis=1) > budget + SLACK / 2
                     p, q = p[later], q[later]
-                near = (y[p] * y[q]).sum(axis=1) >= threshold
-                p, q = p[near], q[near]
+                linked = (y[p] * y[q]).sum(axis=1) >= threshold
+                p, q = p[linked], q[linked]
                 np.add.at(links, p, weight[q])
                 np.add.at(links, q, weight[p])
-                edges.append((p, q))
+                p, q = label[p], label[q]
+                apart = p != q
+                if apart.any():
+                    label = local_components(len(nodes), p[apart], q[apart])[label]
         some = np.flatnonzero(links)
-        if edges:
-            label = local_components(len(ids), np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
-        else:
-            label = np.arange(len(ids))
-        return pa.table({"id": ids[some], "links": links[some], "with": ids[label[some]]})
+        return pa.table({"node": nodes[some], "links": links[some], "with": nodes[label[some]]})
 
     return run
 
@@ -190,38 +238,37 @@ def near_duplicates(
         ),
         "vectors",
     )
-    common = rows.filter("named is not null").groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     alone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if common is None:
+    named = rows.filter("named is not null").groupBy("named").agg(F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("w"), F.min("id").alias("id"))
+    # The number is written once; an id can stand for several vectors.
+    classes = cut_lineage(named.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sizes = classes.groupBy(F.size("v").alias("dims")).count().collect()
+    if not sizes:
         return alone.withColumn("kept", F.col("component_id").isNotNull())
-    dims = common["dims"]
-    named = rows.filter((F.size("v") == dims) & F.col("named").isNotNull())
-    classes = cut_lineage(
-        named.groupBy("named").agg(F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("w"), F.min("id").alias("id")), "classes"
-    )
-    # Ids that stand for two different vectors would meet as one; the class name breaks the tie.
-    size = classes.count()
-    width = max(BLOCK_DIMS, 1 << max(0, int(np.ceil(np.log2(dims)))))
-    blocks, budget = width // BLOCK_DIMS, (2 - 2 * threshold) * BLOCK_DIMS / width
-    radius = float(np.sqrt(budget + SLACK)) if budget > 1e-12 else 1e-3
-    grid = int(np.clip(round(np.log(max(2, size) / 2000) / np.log(5)), 1, min(4, BLOCK_DIMS)))
-    counted = classes.select("v").mapInArrow(_cells(grid, radius, blocks), "block int, cell long, n long")
-    # At most blocks * (2 / radius + 2) ** grid cells, however many vectors there are.
-    counts = counted.groupBy("block", "cell").agg(F.sum("n").alias("n")).collect()
-    tiles = {(r["block"], r["cell"]): -(-r["n"] // TILE) for r in counts}
-    dealt = classes.select("id", "w", "v").mapInArrow(
-        _deal(grid, radius, blocks, tiles), "block int, cell long, tile int, home int, id long, w long, y array<double>"
+    plans = {r["dims"]: Plan(r["dims"], r["count"], threshold) for r in sizes}
+    counted = classes.select("v").mapInArrow(_cells(plans), "dims int, block int, cell long, n long, guests long")
+    # For each length at most blocks * (2 / radius + 2) ** grid cells, however many vectors there are.
+    counts = counted.groupBy("dims", "block", "cell").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests")).filter("n > 0").collect()
+    tiles = {(r["dims"], r["block"], r["cell"]): (plans[r["dims"]].tiles(r["n"]), plans[r["dims"]].tiles(r["guests"])) for r in counts}
+    dealt = classes.select("node", "w", "v").mapInArrow(
+        _deal(plans, tiles), "dims int, block int, cell long, left int, right int, home int, node long, w long, y array<double>"
     )
     found = cut_lineage(
-        dealt.groupBy("block", "cell", "tile").applyInArrow(_join(threshold, budget), "id long, links long, with long"), "links"
+        dealt.groupBy("dims", "block", "cell", "left", "right").applyInArrow(_join(plans, threshold), "node long, links long, with long"), "links"
+    )
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.col("node").alias("u"), F.col("with").alias("v")))
+    placed = classes.select("named", "id", "w", "node").join(links, "node", "left").join(joined, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    first = placed.groupBy("component").agg(F.min(F.struct("id", "named")).alias("first"))
+    per_class = placed.join(first, "component").select(
+        "named", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("first.id").alias("component_id"),
+        (F.col("first.named") == F.col("named")).alias("is_first"),
     )
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("id").alias("u"), F.col("with").alias("v")))
-    per_class = classes.select("named", "id", "w").join(links, "id", "left").join(
-        joined.withColumnRenamed("node", "id"), "id", "left"
-    ).select("named", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(per_class, "named", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("component_id", "id").alias("component_id"), "is_first",
     )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    kept = F.coalesce((F.col(id_col) == F.col("component_id")) & F.coalesce("is_first", F.lit(True)), F.lit(False))
+    return out.withColumn("kept", kept).drop("is_first")
