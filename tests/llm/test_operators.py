@@ -78,6 +78,37 @@ def test_hamming_search(spark):
     assert hamming_search.search_codes(codes.limit(0), codes.limit(0), 7).count() == 0
 
 
+def test_hamming_search_of_a_hot_block(spark, monkeypatch):
+    for name, most in (("BLOCK_MOST", 64), ("BLOCK_CODES", 32), ("CANDIDATES", 50)):
+        monkeypatch.setattr(hamming_search, name, most)
+    base = int(RNG.integers(1 << 40, 1 << 62))
+    rows = {k: base ^ int(RNG.integers(1 << 20)) for k in range(300)} | {300 + k: int(RNG.integers(1 << 62)) for k in range(100)}
+    codes = spark.createDataFrame(list(rows.items()), "id long, code long")
+    got = collections.defaultdict(list)
+    for r in hamming_search.search_codes(codes, codes.filter("id % 5 = 0"), 7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["vec_id"]))
+    for q in [i for i in rows if i % 5 == 0]:
+        assert got[q] == sorted(((rows[q] ^ c).bit_count(), i) for i, c in rows.items() if i != q)[:7]
+
+
+def test_hamming_task_holds_no_bucket_product():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, asked = 20_000, 400
+    codes = RNG.choice(1 << 40, n, replace=False) << 16  # one value of the lowest segment
+    left = pa.table({"code": codes, "first": np.arange(n), "n": np.ones(n, np.int64)})
+    right = pa.table({"block": np.zeros(asked, np.int64), "q": codes[:asked], "bound": np.full(asked, 64)})
+    tracemalloc.start()
+    got = hamming_search._search([(0, 16), (16, 16), (32, 16), (48, 16)], 1, 0, 8)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == asked * 8 and peak < 16 * n * asked
+    for q, hits in itertools.groupby(sorted(zip(*(got[c].to_pylist() for c in ("q", "distance", "first")))), lambda r: r[0]):
+        assert [h[1:] for h in hits] == sorted(((int(c) ^ q).bit_count(), k) for k, c in enumerate(codes.tolist()))[:8]
+
+
 def test_toxicity(spark, docs, none):
     clean = [(k, prose(30), 0) for k in range(80)]
     bad = [(100 + k, prose(20) + " nastyword " + prose(5), 1) for k in range(40)]

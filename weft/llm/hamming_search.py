@@ -10,7 +10,12 @@ as many segments as that distance needs.
 Equal codes are one index entry with its k + 1 least ids, and equal query codes are
 searched once, so a code that a third of all rows share costs one entry. Entries are
 dealt by (segment, leading bits of its value); queries go only to leading bits within
-their radius. A block's answer is at most k + 1 codes a query.
+their radius. A block's answer is at most k + 1 codes a query. A block of more than
+``BLOCK_MOST`` codes, as near copies that agree in a segment make it, is salted by a
+hash of the code and its queries go to every salt. A task compares at most
+``CANDIDATES`` pairs of query and code at once and keeps the k + 1 best of each query.
+Every pair that shares a bucket is still compared, so the work grows with the square
+of a group of distinct near copies.
 
 Ties go to the lesser id. A query is not its own neighbour; rows repeated under one id
 are one row. Fewer than k other rows give fewer results. Null ids, null vectors and
@@ -26,11 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weft.llm.common import ranges
 from weft.session import cut_lineage
 
 BITS = 64
 BLOCK_CODES = 1 << 14
+BLOCK_MOST = 1 << 16
 PROBES = 1 << 21
+CANDIDATES = 1 << 20
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -70,11 +78,37 @@ def _best(query: np.ndarray, distance: np.ndarray, first: np.ndarray, keep: int)
     return order[rank < keep]
 
 
+def _steps(begin: np.ndarray, count: np.ndarray):
+    """(range, begin, count) of the ranges begin .. begin + count - 1, cut so that each step has at most CANDIDATES places."""
+    ends = np.cumsum(count)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, CANDIDATES):
+        high = min(low + CANDIDATES, int(ends[-1]))
+        some = np.arange(np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="left") + 1)
+        start = ends[some] - count[some]
+        skipped = np.maximum(low - start, 0)
+        yield some, begin[some] + skipped, np.minimum(high, ends[some]) - start - skipped
+
+
+def _near_enough(row: np.ndarray, distance: np.ndarray, keep: int) -> np.ndarray:
+    """Places whose distance is not above the ``keep``-th least of their query; rows ascend."""
+    local = np.cumsum(np.r_[0, row[1:] != row[:-1]])
+    within = np.bincount(local * (BITS + 1) + distance, minlength=(local[-1] + 1) * (BITS + 1)).reshape(-1, BITS + 1).cumsum(axis=1)
+    limit = (within < keep).sum(axis=1)
+    return np.flatnonzero(distance <= limit[local])
+
+
 def _search(cut: list[tuple[int, int]], lead: int, radius: int, keep: int):
-    """Task: codes of one (segment, leading bits) block at exactly ``radius`` in that segment."""
+    """Task: codes of one (segment, leading bits) block, or of one salt of it, at exactly ``radius`` in that segment."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        none = np.zeros(0, np.int64)
+        out, held, first, best = [], 0, none, (none, none, none)
+
+        def reduced():
+            row, entry, distance = (np.concatenate([best[k], *(o[k] for o in out)]) for k in range(3))
+            kept = _best(row, distance, first[entry], keep)
+            return row[kept], entry[kept], distance[kept]
+
         if left.num_rows and right.num_rows:
             block = right.column("block")[0].as_py()
             segment, head = block >> 32, block & 0xFFFFFFFF
@@ -100,22 +134,24 @@ def _search(cut: list[tuple[int, int]], lead: int, radius: int, keep: int):
                     q = some[at : at + step]
                     probes = ((own[q] & ((1 << tail) - 1))[:, None] ^ masks[None, :]).ravel()
                     begin, count = starts[probes], starts[probes + 1] - starts[probes]
-                    total = int(count.sum())
-                    if not total:
-                        continue
-                    row = np.repeat(np.repeat(q, len(masks)), count)
-                    entry = np.arange(total) - np.repeat(np.cumsum(count) - count - begin, count)
-                    distance = np.bitwise_count(codes[entry] ^ asked[row]).astype(np.int64)
-                    near = np.flatnonzero(distance <= bound[row])
-                    row, entry, distance = row[near], entry[near], distance[near]
-                    best = _best(row, distance, first[entry], keep)
-                    out.append((row[best], entry[best], distance[best]))
-        if not out:
+                    for part, begins, counts in _steps(begin, count):
+                        row = np.repeat(q[part // len(masks)], counts)
+                        entry = ranges(begins, counts)
+                        distance = np.bitwise_count(codes[entry] ^ asked[row]).astype(np.int64)
+                        near = np.flatnonzero(distance <= bound[row])
+                        if not len(near):
+                            continue
+                        near = near[_near_enough(row[near], distance[near], keep)]
+                        row, entry, distance = row[near], entry[near], distance[near]
+                        kept = _best(row, distance, first[entry], keep)
+                        out.append((row[kept], entry[kept], distance[kept]))
+                        held += len(kept)
+                        if held > CANDIDATES:
+                            best, out, held = reduced(), [], 0
+        if not out and not len(best[0]):
             none = pa.array([], pa.int64())
             return pa.table({"q": none, "code": none, "distance": none, "first": none, "n": none})
-        row, entry, distance = (np.concatenate([o[k] for o in out]) for k in range(3))
-        best = _best(row, distance, first[entry], keep)
-        row, entry, distance = row[best], entry[best], distance[best]
+        row, entry, distance = reduced()
         return pa.table(
             {
                 "q": asked[row].view(np.int64), "code": codes[entry].view(np.int64), "distance": distance,
@@ -129,8 +165,8 @@ def _search(cut: list[tuple[int, int]], lead: int, radius: int, keep: int):
 FOUND = "q long, code long, distance long, first long, n long"
 
 
-def _probes(cut: list[tuple[int, int]], lead: int, radius: int, covered: int):
-    """Task: blocks that each query must visit in this round."""
+def _probes(cut: list[tuple[int, int]], lead: int, radius: int, covered: int, salts: dict):
+    """Task: blocks, with each of their salts, that each query must visit in this round."""
     m = len(cut)
 
     def run(batches):
@@ -150,9 +186,13 @@ def _probes(cut: list[tuple[int, int]], lead: int, radius: int, covered: int):
                         blocks.append((k << 32) | (head ^ mask))
                         rows.append(use)
             if blocks:
-                row = np.concatenate(rows)
+                row, block = np.concatenate(rows), np.concatenate(blocks)
+                copies = np.ones(len(block), np.int64)
+                for hot, n in salts.items():
+                    copies[block == hot] = n
+                row, block, salt = np.repeat(row, copies), np.repeat(block, copies), ranges(np.zeros(len(copies), np.int64), copies)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(blocks)), pa.array(q[row]), pa.array(bound[row])], names=["block", "q", "bound"]
+                    [pa.array(block), pa.array(salt), pa.array(q[row]), pa.array(bound[row])], names=["block", "salt", "q", "bound"]
                 )
 
     return run
@@ -165,6 +205,7 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     if k < 1:
         raise ValueError("need k >= 1")
+    spark = index.sparkSession
     keep = k + 1  # a query's own row may be among the nearest
     ranked = index.withColumn("_rank", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("_rank") <= keep)
     entries = cut_lineage(
@@ -183,11 +224,20 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     keys = F.array(*[F.lit(k << 32).cast("long") + head(F.col("code"), s, w) for k, (s, w) in enumerate(cut)])
     blocks = cut_lineage(entries.select(F.explode(keys).alias("block"), "code", "first", "n"), "blocks")
+    # At most segments * codes / BLOCK_MOST hot blocks.
+    hot = blocks.groupBy("block").count().filter(F.col("count") > BLOCK_MOST)
+    salts = {r["block"]: -(-r["count"] // (BLOCK_MOST // 2)) for r in hot.collect()}
+    salt = F.lit(0).cast("long")
+    if salts:
+        sizes = spark.createDataFrame(list(salts.items()), "block long, salts long")
+        blocks = blocks.join(F.broadcast(sizes), "block", "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("code"), F.col("salts")), salt)
+    blocks = blocks.select("block", salt.alias("salt"), "code", "first", "n")
     active = cut_lineage(queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS).cast("long")), "queries")
     found, radius, covered, done = None, 0, -1, None
     while True:
-        probes = active.mapInArrow(_probes(cut, lead, radius, covered), "block long, q long, bound long")
-        new = blocks.groupBy("block").cogroup(probes.groupBy("block")).applyInArrow(_search(cut, lead, radius, keep), FOUND)
+        probes = active.mapInArrow(_probes(cut, lead, radius, covered, salts), "block long, salt long, q long, bound long")
+        new = blocks.groupBy("block", "salt").cogroup(probes.groupBy("block", "salt")).applyInArrow(_search(cut, lead, radius, keep), FOUND)
         merged = new if found is None else new.union(found.drop("held"))
         order = Window.partitionBy("q").orderBy("distance", "first")
         top = merged.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
