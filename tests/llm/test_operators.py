@@ -358,6 +358,39 @@ def test_pseudonyms(spark, docs, none):
     assert pseudonyms.pseudonymise(none, "key").count() == 0
 
 
+def test_pseudonyms_beside_other_characters(spark):
+    one, amex, old = "4111 1111 1111 1111", "3782 822463 10005", "4222222222222"
+    bare = one.replace(" ", "")
+    texts = {
+        f"{one} 123": (bare, 1), f"{bare} 12/27": (bare, 1), f"7 {bare}": (bare, 1), f"{bare} {bare}": (bare, 2), f"1234 {one} 99": (bare, 1),
+        f"{amex} 4567": (amex.replace(" ", ""), 1), f"9 {old} 7": (old, 1), f"{one} 5th": (bare, 1), "1234 5678 9012 3456 7": (None, 0),
+        "5 " * 5_000 + bare: (bare, 1),
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {}
+    for r in pseudonyms.pseudonymise(table, "key").collect():
+        old_text = list(texts)[r["doc_id"]]
+        value, n = texts[old_text]
+        assert r["n_card"] == r["n_private"] == n and re.sub(r"\d", "0", r["text"]) == re.sub(r"\d", "0", old_text)
+        if value is None:
+            assert r["text"] == old_text
+            continue
+        digits, now = re.sub(r"\D", "", old_text), re.sub(r"\D", "", r["text"])
+        at = digits.index(value)
+        assert now[:at] == digits[:at] and now[at + n * len(value) :] == digits[at + n * len(value) :]
+        new.setdefault(value, set()).add(now[at : at + len(value)])
+    assert all(len(found) == 1 and value not in found for value, found in new.items())
+    others = {
+        "(743-555-3824)": "phone", "(+1-743-555-3824)": "phone", "call (743) 555-3824.": "phone", f"{bare} 743-555-3824": "phone",
+        "123 743-555-3824": "phone", "2024-01-31T10:00:00Z": "date", "on 1/2/2024": "date", "12345 2024-01-31": "date", "am 3.12.1999": "date",
+    }
+    table = spark.createDataFrame(list(enumerate(others)), "doc_id long, text string")
+    for r in pseudonyms.pseudonymise(table, "key").collect():
+        text = list(others)[r["doc_id"]]
+        assert r["n_" + others[text]] == 1 and r["text"] != text and r["n_private"] == (2 if bare in text else 1), (text, r)
+        assert not re.search(r"743.{1,2}555|2024|1999", r["text"]), (text, r["text"])
+
+
 def test_feistel_permutes(spark):
     value = pseudonyms.feistel(F.col("id"), F.lit(9).cast("long"), F.lit(11).cast("long"), "k", "t")
     got = [r[0] for r in spark.range(99).select(value).collect()]

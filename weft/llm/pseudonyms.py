@@ -5,9 +5,14 @@ a keyed permutation of its own format, so equal values stay linked in all docume
 and the written form (spaces, dashes, brackets, order of a date) is kept:
 
 - payment cards (13-19 digits, Luhn): the first digit stays, the others are permuted,
-  the check digit is made anew;
-- dates (1600-2399; 2024-01-31, 2024/01/31, 31.01.2024, 31/01/2024): permuted among
-  the 146,097 days of their 400 years;
+  the check digit is made anew. Groups of digits with one space or dash between them are
+  read as a whole: a valid undivided, 4-4-4-4 or 4-6-5 number comes first, then the
+  longest valid run of whole groups, from the left; neighbouring groups (a CVV, an
+  expiry date) stay. Groups that look like a date, a social security or a telephone
+  number are taken as such;
+- dates (1600-2399; 2024-01-31, also with a time behind T, 2024/01/31, 31.01.2024,
+  31/01/2024, 1/2/2024): permuted among the 146,097 days of their 400 years; where day
+  or month had one digit, both are written without leading zeros;
 - telephone numbers of ten digits with area and exchange of 200-999, with or without
   country code 1: permuted among such numbers;
 - social security numbers and IPv4 addresses: permuted among valid ones;
@@ -33,17 +38,26 @@ NAMED = r"(?<=\b(?:password|passwd|pwd|secret|token|api_key|apikey)=)[^\s\"',;<>
 ACCESS_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 HEX_KEY = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}+(?![0-9A-Za-z])"
 ADDRESS = EDGE + r"\d{1,3}(?:\.\d{1,3}){3}" + END
-DATE = EDGE + r"(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}([./])\d{2}\2\d{4})" + END
+SHORT_DATE = r"\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+DATE = EDGE + r"(?:\d{4}-\d{2}-\d{2}(?=T\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|" + SHORT_DATE + ")" + END + ")"
 SOCIAL = EDGE + r"\d{3}-\d{2}-\d{4}" + END
-PHONE = r"(?<![0-9A-Za-z_.@(+-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}" + END
-CARD = EDGE + r"\d(?:[ -]?\d){12,18}" + END
+PHONE = r"(?<![0-9A-Za-z_.@+-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}" + END
+#: The end of a group of digits, and what divides it from the next one of the same run.
+GROUP_END = r"(?![0-9A-Za-z_@]|\.[0-9A-Za-z]|-[A-Za-z])"
+NEXT = f"[ -](?!{DATE}|{SOCIAL}|{PHONE})(?=\\d)"
+#: All groups of a run, if the whole ones have 13 digits or more; possessive, so that a long run needs no stack.
+CARD = (
+    EDGE + rf"(?=(?:\d(?:(?=\d)|{GROUP_END}{NEXT})){{12}}\d++{GROUP_END})"
+    rf"\d++(?:{NEXT}\d++{GROUP_END})*+"
+)
 FOUND = "|".join((EMAIL, NAMED, ACCESS_KEY, HEX_KEY, ADDRESS, DATE, SOCIAL, PHONE, CARD))
 WHOLE = {
     "email": "@", "address": r"^\d{1,3}(?:\.\d{1,3}){3}$",
-    "date": r"^(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}([./])\d{2}\2\d{4})$", "social": r"^\d{3}-\d{2}-\d{4}$",
+    "date": r"^(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|" + SHORT_DATE + ")$", "social": r"^\d{3}-\d{2}-\d{4}$",
     "phone": r"^(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}$",
-    "card": r"^\d(?:[ -]?\d){12,18}$", "access": r"^AKIA[0-9A-Z]{16}$",
+    "card": r"^(?=(?:[ -]?\d){13})\d++(?:[ -]\d++)*+$", "access": r"^AKIA[0-9A-Z]{16}$",
 }
+USUAL_CARD = r"^(?:\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})[ -]?$"
 KINDS = ("email", "secret", "address", "date", "social", "phone", "card")
 
 
@@ -103,7 +117,63 @@ def card(m: Column, digits: Column, key: str) -> Column:
     tag = "card"
     new = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lpad(feistel(inner, left, right, key, tag).cast("string"), n - 2, F.lit("0")))
     check = (10 - luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(digits) % 10 == 0, filled(m, F.concat(new, check.cast("string"))))
+    return filled(m, F.concat(new, check.cast("string")))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def cards(m: Column, key: str) -> Column:
+    """struct(value, kind, n): a run of groups of digits with its ``n`` valid cards replaced; null without any."""
+    return bound(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), lambda groups: _cards(groups, key))
+
+
+def _cards(groups: Column, key: str) -> Column:
+    n = F.size(groups)
+
+    def joined(i: Column, size: Column) -> Column:
+        return F.array_join(F.slice(groups, i + 1, size), "")
+
+    def only_digits(text: Column) -> Column:
+        return F.regexp_replace(text, "[^0-9]", "")
+
+    def valid(i: Column, size: Column) -> Column:
+        return bound(
+            only_digits(joined(i, size)), lambda digits: F.when(F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0).otherwise(False)
+        )
+
+    def longest(i: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda size: valid(i, size))
+        return bound(sizes, lambda some: F.struct(
+            F.coalesce(F.array_max(F.filter(some, lambda size: joined(i, size).rlike(USUAL_CARD))), F.lit(0)).alias("usual"),
+            F.coalesce(F.array_max(some), F.lit(0)).alias("any"),
+        ))
+
+    def replaced(starts: Column) -> Column:
+        def step(done: Column, i: Column) -> Column:
+            at = F.element_at(starts, i + 1)
+            later = F.exists(F.slice(starts, i + 2, F.greatest(at["any"] - 1, F.lit(0))), lambda x: x["usual"] > 0)
+            size = F.when(i < done["next"], 0).when(at["usual"] > 0, at["usual"]).when(later, 0).otherwise(at["any"])
+
+            def taken(size: Column) -> Column:
+                text = joined(i, size)
+                new = F.when(size > 0, card(text, only_digits(text), key)).when(i < done["next"], "").otherwise(F.element_at(groups, i + 1))
+                return F.struct(
+                    F.concat(done["out"], new).alias("out"), F.when(size > 0, i + size).otherwise(done["next"]).alias("next"),
+                    (done["n"] + F.when(size > 0, 1).otherwise(0)).alias("n"),
+                )
+
+            return bound(size, taken)
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("n"))
+        return F.aggregate(
+            F.sequence(F.lit(0), n - 1), start, step, lambda done: F.struct(done["out"].alias("value"), F.lit("card").alias("kind"), done["n"].alias("n"))
+        )
+
+    starts = F.transform(F.sequence(F.lit(0), n - 1), longest)
+    return bound(starts, lambda some: F.when(F.exists(some, lambda x: x["any"] > 0), replaced(some)))
 
 
 def phone(m: Column, digits: Column, key: str) -> Column:
@@ -147,9 +217,12 @@ def address(m: Column, key: str) -> Column:
 def date(m: Column, digits: Column, key: str) -> Column:
     """Day first where the year stands last, month first where only that is a date."""
     year_first = m.rlike("^[0-9]{4}")
-    year = F.when(year_first, F.substr(digits, F.lit(1), F.lit(4))).otherwise(F.substr(digits, F.lit(5), F.lit(4)))
-    a = F.when(year_first, F.substr(digits, F.lit(5), F.lit(2))).otherwise(F.substr(digits, F.lit(3), F.lit(2)))
-    b = F.when(year_first, F.substr(digits, F.lit(7), F.lit(2))).otherwise(F.substr(digits, F.lit(1), F.lit(2)))
+    parts = F.transform(F.split(m, "[-/.]"), lambda p: F.when(F.length(p) == 1, F.concat(F.lit("0"), p)).otherwise(p))
+    padded = F.array_join(parts, "")
+    unpadded = F.length(padded) > F.length(digits)
+    year = F.when(year_first, F.substr(padded, F.lit(1), F.lit(4))).otherwise(F.substr(padded, F.lit(5), F.lit(4)))
+    a = F.when(year_first, F.substr(padded, F.lit(5), F.lit(2))).otherwise(F.substr(padded, F.lit(3), F.lit(2)))
+    b = F.when(year_first, F.substr(padded, F.lit(7), F.lit(2))).otherwise(F.substr(padded, F.lit(1), F.lit(2)))
     plain = F.try_to_timestamp(F.concat(year, a, b), F.lit("yyyyMMdd")).cast("date")
     swapped = F.try_to_timestamp(F.concat(year, b, a), F.lit("yyyyMMdd")).cast("date")
     american = plain.isNull() & ~year_first
@@ -162,8 +235,12 @@ def date(m: Column, digits: Column, key: str) -> Column:
         F.when(year_first, F.date_format(made, "yyyyMMdd"))
         .when(american, F.date_format(made, "MMddyyyy")).otherwise(F.date_format(made, "ddMMyyyy"))
     )
+    mark = F.when(m.contains("/"), "/").otherwise(".")
+    short = F.concat_ws("", F.date_format(made, "M"), mark, F.date_format(made, "d"), mark, F.date_format(made, "yyyy"))
+    short_day_first = F.concat_ws("", F.date_format(made, "d"), mark, F.date_format(made, "M"), mark, F.date_format(made, "yyyy"))
     valid = day.isNotNull() & (year >= "1600") & (year < "2400")
-    return F.when(valid, filled(m, shown))
+    written = F.when(unpadded, F.when(american, short).otherwise(short_day_first)).otherwise(filled(m, shown))
+    return F.when(valid, written)
 
 
 def letters(text: Column, key: str, tag: str, n: Column) -> Column:
@@ -186,7 +263,7 @@ def secret(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """struct(kind, value) of one found value; both null where it fails validation."""
+    """struct(value, kind, n) of one found text; null or a null value where it fails validation, n is the number of values in it."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     cases = [
         ("email", m.contains("@") & m.rlike("^" + EMAIL + "$"), email(m, key)),
@@ -194,18 +271,23 @@ def pseudonym(m: Column, key: str) -> Column:
         ("date", m.rlike(WHOLE["date"]), date(m, digits, key)),
         ("social", m.rlike(WHOLE["social"]), social(m, digits, key)),
         ("phone", m.rlike(WHOLE["phone"]), phone(m, digits, key)),
-        ("card", m.rlike(WHOLE["card"]), card(m, digits, key)),
     ]
-    value, kind = None, None
+
+    def of(kind: str, value: Column) -> Column:
+        return F.struct(value.alias("value"), F.lit(kind).alias("kind"), F.lit(1).alias("n"))
+
+    made = None
     for name, found, new in cases:
-        value = F.when(found, new) if value is None else value.when(found, new)
-        kind = F.when(found, name) if kind is None else kind.when(found, name)
-    value, kind = value.otherwise(secret(m, key)), kind.otherwise("secret")
-    return F.struct(value.alias("value"), kind.alias("kind"))
+        made = F.when(found, of(name, new)) if made is None else made.when(found, of(name, new))
+    return made.when(m.rlike(WHOLE["card"]), cards(m, key)).otherwise(of("secret", secret(m, key)))
+
+
+def _number(values: Column | str) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda total, x: total + x["n"])
 
 
 def _of_kind(kind: str) -> Column:
-    return F.size(F.filter("_valid", lambda x: x["kind"] == kind)).cast("long")
+    return _number(F.filter("_valid", lambda x: x["kind"] == kind))
 
 
 def pseudonymise(documents: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
@@ -227,12 +309,12 @@ def pseudonymise(documents: DataFrame, key: str, text_col: str = "text", counts:
     )
     rows = rows.withColumn(text_col, F.when(F.col("_made").isNotNull(), new).otherwise(text))
     if counts:
-        valid = F.filter(F.coalesce("_made", F.array()), lambda x: x["value"].isNotNull())
+        valid = F.coalesce(F.filter("_made", lambda x: x["value"].isNotNull()), F.array().cast("array<struct<value:string,kind:string,n:int>>"))
         rows = rows.withColumn("_valid", valid)
         rows = rows.withColumns(
             {
                 **{f"n_{k}": _of_kind(k) for k in KINDS},
-                "n_private": F.size("_valid").cast("long"),
+                "n_private": _number("_valid"),
             }
         ).drop("_valid")
     return rows.drop("_found", "_made")
