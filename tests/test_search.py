@@ -146,6 +146,19 @@ def test_store_without_chunks_searches_by_attributes(spark, log, catalog, store,
     assert by_query(search(log, plain), "product_id") == by_query(search(log, attribute_store(catalog)), "product_id")
 
 
+def test_store_over_an_older_one(spark, log, catalog, store, tmp_path):
+    from weft.sources.store import write_table
+
+    folder = str(tmp_path / "replaced")
+    write_store(store, folder)
+    write_store(attribute_store(catalog), folder)
+    plain = load_store(spark, folder)
+    assert not plain.has_vectors
+    assert by_query(search(log, plain), "product_id") == by_query(search(log, attribute_store(catalog)), "product_id")
+    write_table(spark.range(1), folder, "components")
+    assert build_store(catalog, folder).components is None
+
+
 def test_fallback_chunks(spark, log, catalog, result, store, tmp_path):
     from weft.sources.store import write_table
 

@@ -11,7 +11,7 @@ from weft.operators.terms import dense_terms, fit_vocabulary, weigh
 from weft.operators.variants import product_variants
 from weft.session import cut_lineage
 from weft.sources.catalog import first_rows
-from weft.sources.store import CHUNK_SCHEMA, Store, load_store, write_table
+from weft.sources.store import CHUNK_SCHEMA, Store, drop_table, load_store, write_table
 
 
 def product_chunks(
@@ -60,6 +60,8 @@ def build_store(
             rows = dense_terms(rows, length).select("chunk_id", "vector")
         else:
             rows = reduce_rows(rows, components, "chunk_id")
+    else:
+        drop_table(spark, folder, "components")
     saved(chunks.join(rows, "chunk_id"), "chunks")
     return load_store(spark, folder)
 

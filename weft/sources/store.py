@@ -42,8 +42,17 @@ def write_table(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def drop_table(spark: SparkSession, folder: str, name: str) -> None:
+    """Remove one table of the store, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_store(store: Store, folder: str) -> None:
-    """Replace a whole store. Variants lie sorted by category for scan pruning."""
+    """Replace a whole store; tables that the new one lacks are dropped first. Variants lie sorted by category for scan pruning."""
+    for name in TABLES:
+        if getattr(store, name) is None:
+            drop_table(store.catalog.sparkSession, folder, name)
     write_table(store.catalog, folder, "catalog")
     write_table(store.variants.sortWithinPartitions("category"), folder, "variants")
     for name in ("chunks", "vocabulary", "components"):
