@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weft.llm import (
-    byte_bpe, hamming_search, jaccard_join, katz, language, mixing, pseudonyms, sharding, toxicity, vector_dedup,
+    byte_bpe, collocations, hamming_search, jaccard_join, katz, language, mixing, pseudonyms, sharding, suffix_dedup,
+    toxicity, turn_repair, vector_dedup,
 )
 from weft.llm.common import held_out, table
+from weft.llm.oracles import ORACLES  # noqa: F401
 
 NEAREST = 10
 SHARDS = 24
@@ -78,11 +80,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "repeat.n_bytes", "repeat.n_removed", F.size("repeat.starts").cast("long").alias("n_spans"),
+        F.sha2("repeat.kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(collocations.collocations(table(spark, sf_dir, "documents")))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turn_repair.damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.digest(turn_repair.repair(damaged, present_col="present"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hamming_search, op2_toxicity, op3_katz_scores, op4_jaccard_join, op5_vector_dedup, op6_mixing, op7_sharding,
-        op8_pseudonyms, op9_language, op10_byte_bpe,
+        op8_pseudonyms, op9_language, op10_byte_bpe, op11_suffix_dedup, op12_collocations, op13_turn_repair,
     )
 }
-ORACLES: dict[str, str] = {}
