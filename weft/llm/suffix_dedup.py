@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from weft.llm.common import SLICE_BYTES, bounded_batches, mix64, ranges, slices, text_bytes, tidy
 from weft.session import cut_lineage
@@ -48,7 +49,6 @@ MOST = 4096
 PER_BIN = 4096
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PIECE = 1 << 13
-_STARTS = 1 << 21
 
 
 def later(a: np.ndarray, offset: int) -> np.ndarray:
@@ -252,6 +252,14 @@ def _runs(places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner[cuts], places[cuts], places[np.r_[cuts[1:], len(places)] - 1] if len(cuts) else places
 
 
+def _bytes_of(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary array."""
+    runs = runs.cast(pa.large_binary())
+    _, offsets, data = runs.buffers()
+    at = np.frombuffer(offsets, np.int64)[runs.offset : runs.offset + len(runs) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
 SPANS = "k1 long, place long, first long, last long"
 
 
@@ -259,12 +267,7 @@ def _refine_bin(group: pa.Table) -> pa.Table:
     """Runs of repeated starts, within their text, of the anchors of one bin."""
     pair = np.stack([group.column(k).to_numpy() for k in ("k1", "place")], axis=1)
     group = group.take(pa.array(np.unique(pair, axis=0, return_index=True)[1]))
-    runs = group.column("run").cast(pa.large_binary()).combine_chunks()
-    runs = runs.chunk(0) if isinstance(runs, pa.ChunkedArray) else runs
-    _, offsets, data = runs.buffers()
-    at = np.frombuffer(offsets, np.int64)[runs.offset : runs.offset + len(runs) + 1]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
+    raw, at = _bytes_of(group.column("run").combine_chunks())
     found = repeated_starts(raw, at)
     owner = np.searchsorted(at, found, side="right") - 1
     wanted = group.column("wanted").to_numpy()
@@ -278,28 +281,21 @@ def _refine_bin(group: pa.Table) -> pa.Table:
 def _send_starts(incoming):
     """Task: (one, two, k1, place, start, wanted) of each start of large buckets' anchors."""
     for batch in incoming:
-        for part in slices(batch, "run", _STARTS):
-            runs = part.column(part.schema.get_field_index("run"))
-            for k in range(0, part.num_rows, MOST):
-                some = runs.slice(k, MOST).cast(pa.large_binary())
-                _, offsets, data = some.buffers()
-                at = np.frombuffer(offsets, np.int64)[some.offset : some.offset + len(some) + 1]
-                raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-                at = at - at[0]
-                count = np.diff(at) - WIDTH + 1
-                here = ranges(at[:-1], count)
-                owner = np.repeat(np.arange(len(some)), count)
-                one, _ = identifiers(raw, WIDTH)
-                two, _ = identifiers(raw ^ np.uint8(0xA5), WIDTH)
-                k1, place, wanted = (_column(part, c)[k : k + MOST] for c in ("k1", "place", "wanted"))
-                first, _ = starts_of(place[owner])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one[here].view(np.int64)), pa.array(two[here].view(np.int64)), pa.array(k1[owner]),
-                        pa.array(place[owner]), pa.array(here - at[owner] + first), pa.array(wanted[owner]),
-                    ],
-                    names=["one", "two", "k1", "place", "start", "wanted"],
-                )
+        for k in range(0, batch.num_rows, MOST):
+            part = batch.slice(k, MOST)
+            raw, at = _bytes_of(part.column(part.schema.get_field_index("run")))
+            count = np.diff(at) - WIDTH + 1
+            here = ranges(at[:-1], count)
+            owner = np.repeat(np.arange(part.num_rows), count)
+            one, _ = identifiers(raw, WIDTH)
+            two, _ = identifiers(raw ^ np.uint8(0xA5), WIDTH)
+            place = _column(part, "place")[owner]
+            first, _ = starts_of(place)
+            columns = [
+                one[here].view(np.int64), two[here].view(np.int64), _column(part, "k1")[owner], place,
+                here - at[owner] + first, _column(part, "wanted")[owner],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "k1", "place", "start", "wanted"])
 
 
 def _cut(incoming):
@@ -336,6 +332,7 @@ def _cut(incoming):
 
 
 TOP = -(1 << 40)
+MADE = "n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
 
 
 def repeats(texts: DataFrame, most: int = MOST) -> DataFrame:
@@ -397,10 +394,8 @@ def remove_repeats(documents: DataFrame, text_col: str = "text", marks: str = "r
     rows = rows.withColumns({"k1": F.xxhash64(known), "k2": F.xxhash64(F.lit(1), known)})
     found = repeats(rows.select("text", "k1", "k2"), most)
     marked = rows.withColumn("k2", F.col("k2").bitwiseAND(F.lit(TOP))).join(found, ["k1", "k2"], "left")
-    row_type = rows.schema["row"].dataType.simpleString()
-    cut = marked.select("row", "text", "places", "spans").mapInArrow(
-        tidy(_cut), f"row {row_type}, text string, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
-    )
+    made = StructType([rows.schema["row"], rows.schema["text"], *StructType.fromDDL(MADE).fields])
+    cut = marked.select("row", "text", "places", "spans").mapInArrow(tidy(_cut), made)
     names = [
         F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in documents.columns if c != marks
     ]
