@@ -12,8 +12,10 @@ from weft.functions.predicates import (
     folded_terms, passes, term_matches,
 )
 from weft.functions.text import is_set
+from weft.operators.cells import KEY, TEXT_TERMS, ask_nodes, count_products, plan_cells, term_mask
 from weft.operators.joins import Measure, join_by_category, measure
 from weft.operators.variants import split_variants
+from weft.session import cut_lineage
 
 OVERRIDING_TERMS = ("category", "gender", "color", "fit", "material")
 
@@ -104,34 +106,63 @@ def candidate_counts(
 ) -> DataFrame:
     """Distinct products per ask under all terms and under the core terms.
 
-    ``asks`` has ``ask_id`` and the folded terms ``used``. Products of one filter
-    profile meet every ask alike, so they are counted before the join; only ids
-    that occur with several profiles join one by one.
+    ``asks`` has ``ask_id`` and the folded terms ``used``. Products are counted per
+    cell and price node, which asks find by equality. Ids that occur with several
+    filter profiles, and all products where the asks' bounds or subcategory words
+    are too many to be planned, join one by one.
     """
     plain, changing = split_variants(variants)
-    profiles = plain.groupBy(*FILTER_COLUMNS).agg(F.count(F.lit(1)).alias("products"))
+    strict = {t: F.col(f"used.{t}") for t in TEXT_TERMS}
+    core = {t: F.col(f"used.{t}") if t in CORE_TERMS else F.lit(None).cast("string") for t in TEXT_TERMS}
+    cells = plan_cells(asks, F.array(term_mask(strict), term_mask(core)))
+    if cells is None:
+        return paired_counts(asks, variants, size, salts)
+    low, high = F.col("used.min_price"), F.col("used.max_price")
+    few = asks.filter(relaxable("used"))
+    questions = [
+        ask_nodes(rows, values, low, high, cells).select("ask_id", F.lit(kind).alias("kind"), *KEY)
+        for kind, rows, values in (("strict", asks, strict), ("core", few, core))
+    ]
+    asked = cut_lineage(questions[0].unionByName(questions[1]), "asked")
+    counted = count_products(asked, plain.select("product_id", *FILTER_COLUMNS), cells, ["ask_id", "kind"])
+    of = {k: F.sum(F.when(F.col("kind") == k, F.col("products")).otherwise(0)).alias(k) for k in ("strict", "core")}
+    counts = counted.groupBy("ask_id").agg(of["strict"], of["core"])
+    return _added(counts, _paired(asks, changing, size, salts))
+
+
+def _paired(asks: DataFrame, changing: DataFrame, size: Measure, salts: int | None) -> DataFrame:
+    """Counts of ids with several profiles: an id counts once however many of its profiles pass."""
     core = passes(lambda t: F.col(f"used.{t}"), terms=CORE_TERMS)
     optional = passes(lambda t: F.col(f"used.{t}"), terms=OPTIONAL_TERMS)
+    pairs = join_by_category(asks, changing.select("product_id", *FILTER_COLUMNS), core, "used", size, "product_id", salts)
+    return (
+        pairs.withColumn("_strict", optional).groupBy("ask_id", "product_id").agg(F.max("_strict").alias("_strict"))
+        .groupBy("ask_id").agg(F.count_if("_strict").alias("strict"), F.count(F.lit(1)).alias("core"))
+    )
+
 
-    def join(products: DataFrame, spread: str) -> DataFrame:
-        pairs = join_by_category(asks, products, core, "used", size, spread, salts)
-        return pairs.withColumn("_strict", optional)
+def _added(*counts: DataFrame) -> DataFrame:
+    whole = counts[0]
+    for more in counts[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("ask_id").agg(F.sum("strict").alias("strict"), F.sum("core").alias("core"))
 
+
+def paired_counts(
+    asks: DataFrame, variants: DataFrame, size: Measure, salts: int | None = None
+) -> DataFrame:
+    """The same counts by pairs of asks and filter profiles of their category."""
+    plain, changing = split_variants(variants)
+    profiles = plain.groupBy(*FILTER_COLUMNS).agg(F.count(F.lit(1)).alias("products"))
+    core = passes(lambda t: F.col(f"used.{t}"), terms=CORE_TERMS)
+    optional = passes(lambda t: F.col(f"used.{t}"), terms=OPTIONAL_TERMS)
     spread = profiles.withColumn("_profile", F.xxhash64(*FILTER_COLUMNS))
-    plain_counts = join(spread, "_profile").groupBy("ask_id").agg(
+    pairs = join_by_category(asks, spread, core, "used", size, "_profile", salts).withColumn("_strict", optional)
+    counts = pairs.groupBy("ask_id").agg(
         F.sum(F.when(F.col("_strict"), F.col("products")).otherwise(0)).alias("strict"),
         F.sum("products").alias("core"),
     )
-    changing_counts = (
-        join(changing.select("product_id", *FILTER_COLUMNS), "product_id")
-        .groupBy("ask_id", "product_id").agg(F.max("_strict").alias("_strict"))
-        .groupBy("ask_id").agg(
-            F.count_if("_strict").alias("strict"), F.count(F.lit(1)).alias("core")
-        )
-    )
-    return plain_counts.unionByName(changing_counts).groupBy("ask_id").agg(
-        F.sum("strict").alias("strict"), F.sum("core").alias("core")
-    )
+    return _added(counts, _paired(asks, changing, size, salts))
 
 
 def choose_constraints(asks: DataFrame, counts: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weft import vocab
 from weft.functions.constraints import parse_searches
-from weft.functions.predicates import passes
-from weft.functions.scoring import effective_style, has_flag, style_place
-from weft.functions.text import strip
+from weft.functions.predicates import OPTIONAL_TERMS, passes
+from weft.functions.scoring import effective_style, has_flag, rating_boost, style_place
+from weft.functions.text import is_set, strip
+from weft.operators.cells import (
+    KEY, TEXT_TERMS, Cells, ask_nodes, leading_products, plan_cells, term_mask,
+)
 from weft.operators.chunking import product_of_chunk
 from weft.operators.filters import (
     ask_struct, candidate_counts, choose_constraints, fold_ask, merge_filters, sanitize_top_k,
@@ -148,13 +151,56 @@ def rank_hits(
     )
 
 
+#: Optional terms whose match earns points.
+EARNING_TERMS = tuple(t for t in OPTIONAL_TERMS if t in vocab.ATTRIBUTE_POINTS)
+
+
+def attribute_candidates(asking: DataFrame, plain: DataFrame, cells: Cells) -> DataFrame:
+    """(request_id, product columns) of products that can be in a request's first ``top_k``.
+
+    A relaxed request keeps its core terms only, and the optional ones it asked for
+    still earn points. Each subset of these makes a cell: a product that matches just
+    the subset can only be beaten there by products that match as much.
+    """
+    met = {t: F.col(f"used.{t}") for t in TEXT_TERMS}
+    wished = F.array_compact(
+        F.array(*[F.when(F.col("relaxed") & is_set(F.col(f"ask.{t}")), F.lit(t)) for t in EARNING_TERMS])
+    )
+    subsets = F.aggregate(
+        wished, F.array(F.array().cast("array<string>")),
+        lambda made, t: F.concat(made, F.transform(made, lambda one: F.array_append(one, t))),
+    )
+    rows = asking.withColumn("_subset", F.explode(subsets))
+    for t in EARNING_TERMS:
+        met[t] = F.when(F.array_contains("_subset", t), F.lower(f"ask.{t}")).otherwise(met[t])
+    nodes = ask_nodes(rows, met, F.col("used.min_price"), F.col("used.max_price"), cells)
+    nodes = cut_lineage(nodes.select("request_id", "style_place", "top_k", *KEY).distinct(), "asked")
+    asked = nodes.groupBy(*KEY, "style_place").agg(F.max("top_k").alias("need"))
+    lists = leading_products(plain.withColumn("boost", rating_boost(F.col("rating"))), asked, cells)
+    found = nodes.join(lists, [*KEY, "style_place"]).filter("place <= top_k and ahead < top_k")
+    return found.select("request_id", *plain.columns).dropDuplicates(["request_id", "ordinal"])
+
+
+def attribute_cells(asking: DataFrame) -> Cells | None:
+    """Cells of the requests' terms, with every set of earning terms beside the core ones of a relaxed one."""
+    masks = F.array(term_mask({t: F.col(f"used.{t}") for t in TEXT_TERMS}))
+    for t in EARNING_TERMS:
+        bit = F.when(F.col("relaxed") & is_set(F.col(f"ask.{t}")), 1 << TEXT_TERMS.index(t)).otherwise(0)
+        masks = F.array_union(masks, F.transform(masks, lambda m: m + bit))
+    return plan_cells(asking, masks)
+
+
 def rank_attributes(
     requests: DataFrame, variants: DataFrame, most_k: int, threshold: float
 ) -> DataFrame:
-    """Ranked products without vectors, from each score group's leading products."""
+    """Ranked products without vectors, from the leading products of each request's price nodes.
+
+    Ids with several filter profiles, and all products where the requests' bounds are
+    too many to be planned, meet the requests one by one.
+    """
     plain, changing = split_variants(variants)
-    asking = requests.filter(F.col("candidates") > 0).select(
-        "request_id", "ask", "used", "top_k", "style_place"
+    asking = requests.filter((F.col("candidates") > 0) & (F.col("top_k") > 0)).select(
+        "request_id", "ask", "used", "top_k", "style_place", "relaxed"
     )
     size = measure(asking)
     condition = passes(lambda t: F.col(f"used.{t}"))
@@ -164,8 +210,12 @@ def rank_attributes(
 
     kept = {c: F.first(c) for c in ("ask", "top_k", "style_place")}
     repeated = fold_variants(join(changing), ["request_id"], kept)
-    single = join(leading_variants(plain, most_k)).select(*repeated.columns)
-    candidates = single.unionByName(repeated).withColumn(
+    cells = attribute_cells(asking)
+    if cells is None:
+        single = join(leading_variants(plain, most_k))
+    else:
+        single = attribute_candidates(asking, plain, cells).join(asking.select("request_id", *kept), "request_id")
+    candidates = single.select(*repeated.columns).unionByName(repeated).withColumn(
         "style_match", has_flag(F.col("styles"), F.col("style_place"))
     )
     return rank_by_attributes(
