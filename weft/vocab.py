@@ -207,6 +207,12 @@ SEARCH_STOP_TOKENS = (
     "in",
 )
 
+# The characters of Unicode's White_Space property.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Splitter delimiters, most wanted first.
 SPLIT_DELIMITERS = (". ", "? ", "! ", "\n\n", "\n", ", ", " ")
 
