@@ -12,6 +12,12 @@ How often a shingle occurs is counted over all documents in a fixed number of
 cells (a hash of the shingle), so the order costs the same memory at every size;
 cells shared by chance change the order, never the result.
 
+Before sets are compared, pairs are dropped by marks: 1024 bits per set, each the parity
+of the shingles that fall on it. Marks of two sets differ in no more places than the
+sets do, and linked sets differ in at most (100 - percent) / (100 + percent) of the sum
+of their sizes. The test is part of the join of posting lists, so near misses of a large
+group don't become rows.
+
 No group is expanded into all its pairs: documents of equal sets are one node; then
 each posting list links its nodes to one leader per list and size band until that
 joins no more components, and only nodes of different components meet as pairs.
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.llm.common import bounded_batches, mix64, pack, partitions_of, shingle_sets, slices, tidy, unpack
 from weft.llm.graph import components
@@ -39,6 +45,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 4.0
 FLUSH = 500_000
 SMALL_ROWS = 500_000
+MARK_BITS = 1024
+MARKS = [f"m{k}" for k in range(MARK_BITS // 64)]
 
 
 def _node(s: np.ndarray) -> int:
@@ -49,6 +57,20 @@ def _node(s: np.ndarray) -> int:
     return int(mix64(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def marks_of(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles on each of ``MARK_BITS`` places, by bits that name no cell, as longs."""
+    place = ((s >> np.uint64(CELL_BITS)) & np.uint64(MARK_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=MARK_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def marks_allow(percent: int, other: str = "_b") -> Column:
+    """The marks, and those with the suffix, differ in no more places than two linked sets of sizes n and other can."""
+    differ = F.lit(0)
+    for m in MARKS:
+        differ = differ + F.bit_count(F.col(m).bitwiseXOR(F.col(m + other)))
+    return differ * (100 + percent) <= (F.col("n") + F.col("other")) * (100 - percent)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
     """(id, set) of every row of (id, text) batches."""
     for batch in batches:
@@ -69,15 +91,16 @@ def _count(width: int):
                     pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int32()),
                     pa.nulls(len(rows), pa.binary()),
+                    *[pa.array(m) for m in np.array([r[3] for r in rows], np.int64).reshape(-1, len(MARKS)).T],
                 ],
-                names=["id", "n", "node", "chunk", "payload"],
+                names=["id", "n", "node", "chunk", "payload", *MARKS],
             )
             rows.clear()
             return out
 
         for key, s in _sets(batches, width):
             node = _node(s)
-            rows.append((key, len(s), node))
+            rows.append((key, len(s), node, marks_of(s)))
             if node not in seen:
                 seen.add(node)
                 waiting.append((s & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64))
@@ -97,8 +120,9 @@ def _count(width: int):
                 [
                     *[pa.nulls(16, pa.int64()) for _ in range(3)],
                     pa.array(range(16), pa.int32()), pa.array(chunks, pa.binary()),
+                    *[pa.nulls(16, pa.int64()) for _ in MARKS],
                 ],
-                names=["id", "n", "node", "chunk", "payload"],
+                names=["id", "n", "node", "chunk", "payload", *MARKS],
             )
 
     return run
@@ -264,10 +288,10 @@ def links(
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = cut_lineage(
-        docs.mapInArrow(tidy(_count(width)), "id long, n long, node long, chunk int, payload binary"), "shingle-keys"
-    )
-    keys = first.filter("chunk is null").select("id", "n", "node")
+    counted = ", ".join(["id long, n long, node long, chunk int, payload binary", *[f"{m} long" for m in MARKS]])
+    first = cut_lineage(docs.mapInArrow(tidy(_count(width)), counted), "shingle-keys")
+    rows = first.filter("chunk is null").drop("chunk", "payload")
+    keys = rows.select("id", "n", "node")
     added = first.filter("chunk is not null").select("chunk", "payload").groupBy("chunk").applyInArrow(
         _add_cells, "chunk int, payload binary"
     )
@@ -324,17 +348,18 @@ def links(
         )
     several = current.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     open_lists = current.join(several.select("token"), "token", "left_semi").drop("band")
+    marks = rows.filter("n > 0").groupBy("node").agg(*[F.max(m).alias(m) for m in MARKS])
+    open_lists = cut_lineage(open_lists.join(marks, "node"), "open-lists")
     right = open_lists.select(
         "token", F.col("node").alias("b"), F.col("n").alias("other"), F.col("level").alias("level_b"),
-        F.col("need").alias("need_b"), F.col("comp").alias("comp_b"),
+        F.col("need").alias("need_b"), F.col("comp").alias("comp_b"), *[F.col(m).alias(f"{m}_b") for m in MARKS],
     )
-    rest = open_lists.join(right, "token").filter("comp < comp_b").filter(alike).withColumn(
+    rest = open_lists.join(right, "token").filter("comp < comp_b").filter(alike).filter(marks_allow(percent)).withColumn(
         "least", F.least("need", "need_b")
     ).filter("level <= least and level_b <= least")
     rest = rest.groupBy(F.col("node").alias("a"), "b").agg(
         F.count(F.lit(1)).alias("shared"), F.first("least").alias("least")
     ).filter("shared >= least").select("a", "b")
-    rest = rest.join(tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     edges = cut_lineage(edges.union(verified(cut_lineage(rest, "pairs"))), "links")
     return keys, classes, edges
 
