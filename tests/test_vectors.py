@@ -179,3 +179,17 @@ def test_too_small_to_reduce(spark):
     vector = dense_terms(rows).first()["vector"]
     assert len(vector) == 384 and np.linalg.norm(vector) == pytest.approx(1, abs=1e-6)
     assert len(dense_terms(rows, 2).first()["vector"]) == 2
+
+
+def test_one_large_limit_leaves_other_queries_as_they_are(spark):
+    chunks = [(f"c{k:03d}", [k % 7, 10 + k % 5], [0.6, 0.8]) for k in range(200)]
+    c = spark.createDataFrame(chunks, "chunk_id string, ids array<int>, weights array<double>")
+    rows = [(k, [k % 7, 10], [0.6, 0.8], 3) for k in range(20)]
+    kinds = "query_id int, ids array<int>, weights array<double>, own long"
+    plain = nearest_chunks(spark.createDataFrame(rows, kinds), c, 3, sparse=True, own_n="own", blocks=Blocks(2, 3)).collect()
+    most = 25 * (2**31 - 1)
+    more = [*rows, (99, [1, 11], [0.6, 0.8], most), (100, [1, 11], [0.6, 0.8], 0), (101, [1, 11], [0.6, 0.8], None)]
+    found = nearest_chunks(spark.createDataFrame(more, kinds), c, most, sparse=True, own_n="own", blocks=Blocks(2, 3))
+    both = found.collect()
+    assert sorted(r for r in both if r["query_id"] < 99) == sorted(plain)
+    assert sum(r["query_id"] == 99 for r in both) == 200 and not any(r["query_id"] > 99 for r in both)

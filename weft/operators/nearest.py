@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.operators.topn import top_n
 
@@ -156,7 +156,8 @@ def nearest_chunks(
     Rows carry ``ids`` and ``weights`` (sparse, unit length) or ``vector`` (dense).
     Distances are rounded before they are compared and ties go to the lower chunk
     id, so the result does not depend on the order of float sums. ``own_n`` names
-    a query column with a smaller n.
+    a query column with a smaller n; it holds inside the tasks, so one search for
+    many chunks makes no other send more than it asked for.
     """
     spark = queries.sparkSession
     if blocks is None:
@@ -173,8 +174,10 @@ def nearest_chunks(
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     tasks = min(2 * blocks.queries * blocks.chunks, 20000)
+    own = F.coalesce(F.col(own_n).cast("long"), F.lit(0)) if own_n else F.lit(n).cast("long")
+    limit = F.least(own, F.lit(n))
     q_side = queries.select(
-        F.col(query).alias("_query"), *values, block_of(query, blocks.queries).alias("_qb")
+        F.col(query).alias("_query"), *values, limit.alias("_n"), block_of(query, blocks.queries).alias("_qb")
     ).withColumn("_cb", every(blocks.chunks)).repartition(tasks, "_qb", "_cb")
     c_side = chunks.select(
         F.col(chunk).alias("_chunk"), *values, block_of(chunk, blocks.chunks).alias("_cb")
@@ -185,7 +188,7 @@ def nearest_chunks(
             none = np.empty(0, object)
             return pd.DataFrame({"_query": none, "_chunk": none, "distance": np.empty(0)})
         c = c.sort_values("_chunk", ignore_index=True)
-        ids, names = q["_query"].to_numpy(), c["_chunk"].to_numpy()
+        ids, names, limits = q["_query"].to_numpy(), c["_chunk"].to_numpy(), q["_n"].fillna(0).to_numpy(np.int64)
         joined = block(q, c)
         rows, picks, found = [], [], []
         for start in range(0, len(q), QUERY_TILE):
@@ -194,7 +197,10 @@ def nearest_chunks(
             offset = 0
             for products in joined.products(start):
                 distances = np.round(1.0 - products, digits) + 0.0
-                best = [_better(*b, line, offset, n) for b, line in zip(best, distances)]
+                best = [
+                    _better(*b, line, offset, m) if m > 0 else b
+                    for b, line, m in zip(best, distances, limits[start : start + size])
+                ]
                 offset += products.shape[1]
             for i, (places, distances) in enumerate(best):
                 rows.append(np.full(len(places), start + i))
@@ -216,11 +222,19 @@ def nearest_chunks(
         q_side.groupBy("_qb", "_cb").cogroup(c_side.groupBy("_qb", "_cb"))
         .applyInPandas(search, schema)
     )
-    hits = top_n(
-        local, ["_query"], [F.col("distance"), F.col("_chunk")], n, rank="hit_rank",
-        merge_tasks=64 if blocks.chunks > 1024 else None,
-    ).select(F.col("_query").alias(query), F.col("_chunk").alias(chunk), "distance", "hit_rank")
+    local = local.withColumnRenamed("_query", query)
     if own_n is None:
-        return hits
-    limits = queries.select(query, own_n)
-    return hits.join(limits, query).filter(F.col("hit_rank") <= F.col(own_n)).drop(own_n)
+        ranked = top_n(
+            local, [query], [F.col("distance"), F.col("_chunk")], n, rank="hit_rank",
+            merge_tasks=64 if blocks.chunks > 1024 else None,
+        )
+    else:
+        # Tasks have cut each query to its own n already; a window limit for the greatest n would cut nothing.
+        order = Window.partitionBy(query).orderBy("distance", "_chunk")
+        limited = local.join(queries.select(query, limit.alias("_n")), query)
+        if blocks.chunks > 1024:
+            part = Window.partitionBy(query, "_group").orderBy("distance", "_chunk")
+            limited = limited.withColumn("_group", F.spark_partition_id() % 64)
+            limited = limited.withColumn("_local", F.row_number().over(part)).filter("_local <= _n")
+        ranked = limited.withColumn("hit_rank", F.row_number().over(order)).filter("hit_rank <= _n")
+    return ranked.select(query, F.col("_chunk").alias(chunk), "distance", "hit_rank")
