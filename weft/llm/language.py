@@ -2,7 +2,7 @@
 
 The pieces of a fixed public sentencepiece vocabulary get a probability per language.
 A word's probability under a language is the sum over all its segmentations into
-pieces, by the forward algorithm; a text's is the product over its words, and the
+pieces, whatever their length, by the forward algorithm; a text's is the product over its words, and the
 language of highest posterior (equal priors) is predicted. Words are runs of letters,
 lower-cased, with the vocabulary's word mark in front; runs of more than ``LONGEST``
 letters are cut there. A letter that is no piece counts as a piece of a small fixed
@@ -32,7 +32,6 @@ from weft.llm.toxicity import text_groups
 
 MARK = "▁"
 LONGEST = 24
-LONGEST_PIECE = 12
 FLOOR = 1e-7
 MAX_ROWS = 4_000
 MEMO_WORDS = 500_000
@@ -46,16 +45,17 @@ class Model:
     langs: list[str]
     hashes: np.ndarray
     chance: np.ndarray
+    longest: int
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted hashes of the lower-case pieces of a sentencepiece model."""
+def vocabulary(path: str) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the lower-case pieces of a sentencepiece model, and the characters of the longest."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    kept = sorted(p for p in pieces if p and p == p.lower() and len(p) <= LONGEST_PIECE and p.strip(MARK).isalpha() or p == MARK)
-    return np.unique(np.array([piece_hash(p) for p in kept], np.uint64))
+    kept = sorted(p for p in pieces if p and p == p.lower() and p.strip(MARK).isalpha() or p == MARK)
+    return np.unique(np.array([piece_hash(p) for p in kept], np.uint64)), max(map(len, kept), default=1)
 
 
 def piece_hash(piece: str) -> int:
@@ -105,8 +105,8 @@ def distinct_words(points, starts, ends) -> tuple[np.ndarray, np.ndarray, np.nda
 class Lattice:
     """Forward and backward sums over the segmentations of words of equal length."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+    def __init__(self, hashes: np.ndarray, longest: int = LONGEST + 1):
+        self.hashes, self.longest = hashes, longest
         self.maybe = np.zeros(CELLS, bool)
         self.maybe[(hashes >> np.uint64(42)).astype(np.int64)] = True
 
@@ -116,7 +116,7 @@ class Lattice:
         out = {}
         for i in range(width):
             h = np.zeros(n, np.uint64)
-            for j in range(i + 1, min(width, i + LONGEST_PIECE) + 1):
+            for j in range(i + 1, min(width, i + self.longest) + 1):
                 h = grown(h, words[:, j - 1])
                 some = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
@@ -135,7 +135,7 @@ class Lattice:
         f = np.zeros((width + 1, n, chance.shape[1]))
         f[0] = 1
         for i in range(width):
-            for j in range(i + 1, min(width, i + LONGEST_PIECE) + 1):
+            for j in range(i + 1, min(width, i + self.longest) + 1):
                 if (i, j) in spans:
                     some, at = spans[i, j]
                     f[j, some] += f[i, some] * chance[at]
@@ -146,7 +146,7 @@ class Lattice:
         b = np.zeros((width + 1, n, chance.shape[1]))
         b[width] = 1
         for i in range(width - 1, -1, -1):
-            for j in range(i + 1, min(width, i + LONGEST_PIECE) + 1):
+            for j in range(i + 1, min(width, i + self.longest) + 1):
                 if (i, j) in spans:
                     some, at = spans[i, j]
                     b[i, some] += b[j, some] * chance[at]
@@ -206,9 +206,9 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
     )
     size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(size, key=lambda x: x.encode())
-    hashes = vocabulary(path)
+    hashes, longest = vocabulary(path)
     if not langs:
-        return Model([], hashes, np.zeros((len(hashes), 0)))
+        return Model([], hashes, np.zeros((len(hashes), 0)), longest)
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.lit(0.0)
     for lang in langs:
@@ -243,7 +243,7 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
 
         def expect(batches, shared=shared):
             hashes, chance = shared.value
-            lattice, padded = Lattice(hashes), _with_floor(chance)
+            lattice, padded = Lattice(hashes, longest), _with_floor(chance)
             total, width = np.zeros(padded.size), padded.shape[1]
             for batch in batches:
                 word = batch.column(0).to_pylist()
@@ -269,7 +269,7 @@ def fit(documents: DataFrame, path: str, text_col: str = "text", lang_col: str =
             total += unpack(bytes(r["payload"]))[0]
         total = total.reshape(-1, len(langs))[:-1] + 0.1
         chance = total / total.sum(axis=0)
-    return Model(langs, hashes, chance)
+    return Model(langs, hashes, chance, longest)
 
 
 def _add_up(group: pa.Table) -> pa.Table:
@@ -282,13 +282,14 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     spark = documents.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.hashes, model.chance))
+    longest = model.longest
     others = [c for c in documents.columns if c not in (text_col, "lang_pred", "score")]
     docs = documents.select(*others, F.col(text_col).cast("string").alias("_text"))
     schema = docs.select(*others, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
         langs, hashes, chance = shared.value
-        lattice = Lattice(hashes)
+        lattice = Lattice(hashes, longest)
         memo: dict = {}  # chances of the task's words
         for batch in batches:
             texts = batch.column(len(others)).to_pylist()
