@@ -46,7 +46,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    found = vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

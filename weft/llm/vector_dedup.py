@@ -49,6 +49,8 @@ def rotated(vectors: np.ndarray, seed: int = 5) -> np.ndarray:
     width = max(width, BLOCK_DIMS)
     sign = np.where(np.random.Generator(np.random.Philox(seed)).random(width) < 0.5, -1.0, 1.0)
     out = np.zeros((n, width))
+    # By a power of two first, so that squares of very small or large components neither vanish nor overflow.
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
     length = np.sqrt((vectors * vectors).sum(axis=1))
     out[:, :dims] = vectors / length[:, None]
     out *= sign
