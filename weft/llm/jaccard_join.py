@@ -314,12 +314,18 @@ def links(
     sets = cut_lineage(docs.join(needed, "id", "left_semi").mapInArrow(tidy(_set_rows(width)), "node long, shingles binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        def of(side: str) -> DataFrame:
-            # Only sets that some pair names travel.
-            named = sets.join(pairs.select(F.col(side).alias("node")).distinct(), "node", "left_semi")
-            return named.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}"))
+        # Few pairs go to the sets, so that those of b move once; sets that no pair names never move.
+        few = pairs.count() <= SMALL_ROWS
 
-        both = pairs.join(of("b"), "b").join(of("a"), "a")
+        def side(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if few else df
+
+        def of(name: str) -> DataFrame:
+            return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+
+        right = of("b") if few else of("b").join(pairs.select("b").distinct(), "b", "left_semi")
+        left = of("a").join(side(pairs.select("a").distinct()), "a", "left_semi")
+        both = right.join(side(pairs), "b").join(left, "a")
         return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "u long, v long").distinct()
 
     alike = f"100 * least(n, other) >= {percent} * greatest(n, other)"
