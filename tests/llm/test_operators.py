@@ -440,3 +440,32 @@ def test_byte_bpe(spark, docs, none):
     assert "�" in half[0]["text"] and bytes(half[0]["decoded"]) == peer.decode_single_token_bytes(family[0]) and half[1]["text"] == ""
     digests = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
     assert digests.count() == docs.count() and byte_bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_forward_sums_pieces_of_any_length():
+    """Against all segmentations, with the longest pieces of the vocabulary among them."""
+    hashes, longest = language.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert longest == 16
+    chance = (1 + np.arange(len(hashes)) % 97)[:, None] / 100.0
+    padded = language._with_floor(chance)
+    lattice = language.Lattice(hashes, longest)
+
+    def of(piece):
+        at = np.searchsorted(hashes, np.uint64(language.piece_hash(piece)))
+        if at < len(hashes) and hashes[at] == np.uint64(language.piece_hash(piece)):
+            return padded[at, 0]
+        return padded[-1, 0] if len(piece) == 1 else 0.0
+
+    for word in ("▁international", "▁professionally", "▁responsibilities"):
+        ways = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            ways[j] = sum(ways[i] * of(word[i:j]) for i in range(j))
+        matrix = np.array([[ord(c) for c in word]], np.uint64)
+        assert lattice.forward(matrix, lattice.pieces(matrix), padded)[-1, 0, 0] == pytest.approx(ways[-1])
+    assert any(of(w) > 0 for w in ("▁international", "▁professional"))
+
+
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (5, [5e-320, 1e-319])]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
