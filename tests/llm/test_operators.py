@@ -469,3 +469,31 @@ def test_vectors_of_extreme_lengths(spark):
     rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2.0, -1.0]), (5, [5e-320, 1e-319])]
     got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_marks_differ_no_more_than_sets():
+    for n in (1, 40, 600, 5000):
+        a = np.unique(RNG.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[n // 5 :], RNG.integers(0, 2**63, n // 5).astype(np.uint64)])
+        differ = jaccard_join.marks_of(a) ^ jaccard_join.marks_of(b)
+        assert len(differ) == len(jaccard_join.MARKS)
+        assert np.unpackbits(differ.view(np.uint8)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_jaccard_join_of_many_pairs_and_a_common_shingle(spark, monkeypatch):
+    """Pairs too many to be sent to the sets give the same classes; a passage that all share links nothing."""
+    monkeypatch.setattr(jaccard_join, "SMALL_ROWS", 0)
+    words = [f"w{k}" for k in range(400)]
+    base = [words[int(k)] for k in RNG.integers(0, 400, 60)]
+    rows = []
+    for k in range(30):
+        own = list(base)
+        for at in RNG.integers(0, 60, k % 6):
+            own[int(at)] = f"x{k}_{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, " ".join(base[:12] + [f"y{k}_{j}" for j in range(40)])) for k in range(20)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    want = groups(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert all(want[100 + k] == 100 + k for k in range(20)) and len(set(want.values())) < 45
