@@ -1,11 +1,17 @@
 """Sharding by longest-processing-time scheduling.
 
-Documents of equal text stay together. Groups are sorted by size and each goes to the
-least-loaded shard, taken from a heap. The heap is given a bounded list: every group
-of at least a 4096th of a shard's share is scheduled by itself, and smaller groups are
-first gathered by hash into bins of about that size, which are scheduled like groups.
-So at most about 2 * 4096 * shards units pass through the driver at any input size,
-and shards differ by about the size of a bin, unless one group exceeds a shard's share.
+Documents of equal text stay together. Groups are sorted by size, equal sizes by their
+place among the groups of that size, and each goes to the least-loaded shard, ties to
+the smallest shard number, at any input size and for groups of any size.
+
+Groups of equal size are interchangeable, so the driver gets one row per distinct size
+with the number of its groups. Distinct sizes add up to at most all bytes, so there are
+at most sqrt(2 * bytes) of them: 245,000 at 30 GB, 14 million at 100 TB, 16 bytes each.
+The heap deals such a run of equal sizes in turns: the shards whose loads lie within one
+size of the least take groups in a fixed order, over and over, until the load of a
+further shard is reached. A turn is one entry (first place, order of shards), and a run
+has at most as many turns as there are shards. Every group finds its shard in the tasks,
+from its size and its place within the size.
 
 Null texts have size ``overhead``, no crc32, and form one group; empty texts another.
 Equal rows are kept, each with its own slot. Slots number a shard's rows without gaps.
@@ -15,24 +21,54 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.common import partitions_of
 from weft.llm.running import running_total, spread
 from weft.session import cut_lineage
 
-FINENESS = 4096
+#: Distinct sizes up to which the turns are broadcast (at most 2 shards * 4 bytes a turn);
+#: beyond it they are joined by shuffle, copied to this many salts.
+SIZES_BROADCAST = 50_000
+SALTS = 16
+
+
+def deal(heap: list[tuple[int, int]], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Turns (first place, order of shards) of ``count`` groups of one size; ``heap`` of (load, shard) is updated."""
+    turns, place = [], 0
+    if count == 1:
+        load, shard = heap[0]
+        heapq.heapreplace(heap, (load + size, shard))
+        return [(0, [shard])]
+    if size == 0:
+        return [(0, [heap[0][1]])]
+    while place < count:
+        least, first = heap[0]
+        taking = []
+        while heap and heap[0] < (least + size, first):
+            taking.append(heapq.heappop(heap))
+        rest = count - place
+        rounds, more = divmod(rest, len(taking))
+        if heap:
+            # The next shard waits as long as every load given so far stays before its own.
+            waiting, other = heap[0]
+            until = (waiting - least) // size
+            if (least + until * size, first) > (waiting, other):
+                until -= 1
+            if until <= rounds:
+                rounds, more = until, 0
+        turns.append((place, [s for _, s in taking[: min(rest, len(taking))]]))
+        for k, (load, shard) in enumerate(taking):
+            heapq.heappush(heap, (load + size * (rounds + (k < more)), shard))
+        place += rounds * len(taking) + more
+    return turns
 
 
-def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Shard of each unit from (unit, size): largest first, ties by unit, least-loaded shard first."""
+def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """Turns per size from (size, number of groups): largest size first, least-loaded shard first."""
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[unit] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return out
+    return {size: deal(heap, size, count) for size, count in sorted(sizes, reverse=True)}
 
 
 def shard_documents(
@@ -52,23 +88,21 @@ def shard_documents(
         ),
         "sizes",
     )
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_size"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    unit = max(1, total // (shards * FINENESS))
-    bins = shards * FINENESS
-    small = F.col("_size") < unit
-    # Bins are numbered below 0, groups by their place among the large ones.
-    large = groups.filter(~small).select(F.col("_group").alias("_unit"), "_size")
-    gathered = groups.filter(small).groupBy(F.pmod(F.xxhash64(F.col("_group"), F.lit(7)), F.lit(bins)).alias("_bin"))
-    gathered = gathered.agg(F.sum("_size").alias("_size"))
-    alone = longest_units(large, gathered, shards)
-    placed_groups = spark.createDataFrame(alone[0], "_unit long, _shard int")
-    placed_bins = spark.createDataFrame(alone[1], "_bin long, _shard_of_bin int")
-    named = groups.withColumn("_bin", F.when(small, F.pmod(F.xxhash64(F.col("_group"), F.lit(7)), F.lit(bins))).cast("long"))
-    # Both tables of places have at most shards * FINENESS rows of two numbers.
-    named = named.join(F.broadcast(placed_groups), F.col("_group") == F.col("_unit"), "left").join(
-        F.broadcast(placed_bins), "_bin", "left"
-    ).select("_group", F.when(F.col("_bin").isNotNull(), F.col("_shard_of_bin")).otherwise(F.col("_shard")).alias("shard"))
+    groups = cut_lineage(rows.groupBy("_group").agg(F.sum("size").alias("_size")), "groups")
+    turns = size_turns(groups, shards)
+    placed_in_size = running_total(
+        groups, "_size", spread(["_group"], partitions_of(spark)), [F.col("_group")], F.lit(1), "_place"
+    )
+    if turns.num_rows <= SIZES_BROADCAST:
+        named = placed_in_size.join(F.broadcast(spark.createDataFrame(turns)), "_size")
+    else:
+        salted = spark.createDataFrame(turns).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = placed_in_size.withColumn("_salt", F.pmod("_place", F.lit(SALTS)).cast("int")).join(salted, ["_size", "_salt"])
+    turn = F.element_at(F.filter("_turns", lambda t: t["first"] <= F.col("_place")), -1)
+    named = named.select("_group", "_place", turn.alias("_turn")).select(
+        "_group",
+        F.get("_turn.shards", F.pmod(F.col("_place") - F.col("_turn.first"), F.size("_turn.shards")).cast("int")).alias("shard"),
+    )
     placed = rows.join(named, "_group")
     order = [F.col("_id").asc_nulls_last(), "_group"]
     numbered = running_total(
@@ -77,13 +111,17 @@ def shard_documents(
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
-def longest_units(large: DataFrame, gathered: DataFrame, shards: int) -> tuple[list, list]:
-    """Shards of large groups and of bins; each side has at most shards * FINENESS rows."""
-    groups = [(r[0], r[1]) for r in large.collect()]
-    bins = [(r[0], r[1]) for r in gathered.collect()]
-    units = [((0, g), s) for g, s in groups] + [((1, b), s) for b, s in bins]
-    found = longest_first(units, shards)
-    return [(g, found[(0, g)]) for g, _ in groups], [(b, found[(1, b)]) for b, _ in bins]
+def size_turns(groups: DataFrame, shards: int) -> pa.Table:
+    """(_size, _turns): one row per distinct size of a group."""
+    counted = groups.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    made = longest_first(list(zip(counted["_size"].to_pylist(), counted["n"].to_pylist())), shards)
+    turn = pa.list_(pa.struct([("first", pa.int64()), ("shards", pa.list_(pa.int32()))]))
+    return pa.table(
+        {
+            "_size": pa.array(made, pa.int64()),
+            "_turns": pa.array([[{"first": f, "shards": s} for f, s in turns] for turns in made.values()], turn),
+        }
+    )
 
 
 def write_shards(documents: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
