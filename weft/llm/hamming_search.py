@@ -199,14 +199,20 @@ def _probes(cut: list[tuple[int, int]], lead: int, radius: int, covered: int, sa
 
 
 def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, distance): the k nearest other rows of ``index`` to each row of ``queries``.
+    """(query_id, rank, vec_id, distance): the k nearest other ids of ``index`` to each id of ``queries``.
 
-    Both tables are (id long, code long).
+    Both tables are (id long, code long); rows without id are left out. An id with several
+    codes counts once, at the least distance between any code of it and any of the query's.
+    Then k + 1 times as many rows as one id has codes are held per query.
     """
     if k < 1:
         raise ValueError("need k >= 1")
     spark = index.sparkSession
-    keep = k + 1  # a query's own row may be among the nearest
+    index, queries = (t.select("id", "code").filter(F.col("id").isNotNull()) for t in (index, queries))
+    index = cut_lineage(index.distinct(), "index")
+    repeated = index.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    alone = repeated == 1 and queries.distinct().groupBy("id").count().filter("count > 1").isEmpty()
+    keep = (k + 1) * repeated  # a query's own rows may be among the nearest
     ranked = index.withColumn("_rank", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("_rank") <= keep)
     entries = cut_lineage(
         ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
@@ -268,7 +274,15 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     near = near.withColumn("_place", place).filter(F.col("_place") <= keep)
     lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))
     rows = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct().join(lists, "q")
-    others = rows.select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
-    return others.select("query_id", F.posexplode("near").alias("rank", "hit")).select(
-        "query_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("hit.id").alias("vec_id"), "hit.distance"
+    others = F.filter("near", lambda x: x["id"] != F.col("query_id"))
+    if alone:
+        hits = rows.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("place", "hit"))
+    else:
+        least = rows.select("query_id", F.explode(others).alias("hit")).groupBy("query_id", F.col("hit.id").alias("id"))
+        ordered = least.agg(F.min("hit.distance").alias("distance")).withColumn(
+            "place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")) - 1
+        )
+        hits = ordered.filter(F.col("place") < k).select("query_id", "place", F.struct("distance", "id").alias("hit"))
+    return hits.select(
+        "query_id", (F.col("place") + 1).cast("long").alias("rank"), F.col("hit.id").alias("vec_id"), "hit.distance"
     )
