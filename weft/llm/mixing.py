@@ -195,22 +195,31 @@ def mixed_documents(
     """The mix as documents: for each document one row per time that it is taken, with the words taken.
 
     Words keep the white space that follows them; a document taken whole keeps its text.
-    ``chars_col`` is set to the length of the new text.
+    ``chars_col`` is set to the length of the new text. Each of several rows of equal id, text
+    and source is taken by itself; in further columns all of them carry the values of one of them.
     """
     made = mix(documents, id_col, text_col, source_col, **settings)
     pieces = made.pieces().select(
-        "id", "named", "size", "from_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn")
+        "id", "named", "source", "rank", "start", "from_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn")
     )
-    lists = pieces.groupBy("id", "named", "turn").agg(
-        F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans"), F.first("size").alias("_size")
+    # Equal rows differ by their place in the source, so each keeps its own words.
+    lists = pieces.groupBy("id", "named", "source", "rank", "start", "turn").agg(
+        F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans")
     )
     text = F.col(text_col).cast("string")
-    lists = lists.select(F.col("id").alias("_list_id"), F.col("named").alias("_list_named"), "_spans")
-    docs = documents.withColumns({"_id": F.col(id_col), "_named": F.xxhash64(text)})
-    counts = made.rows.filter("size > 0").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("id", "named")).alias("d")).first()
+    lists = lists.select(
+        F.col("id").alias("_list_id"), F.col("named").alias("_list_named"), F.col("source").alias("_list_source"), "_spans"
+    )
+    docs = documents.withColumns({"_id": F.col(id_col), "_named": F.xxhash64(text), "_source": F.col(source_col).cast("string")})
+    same = F.struct("id", "named", "source")
+    counts = made.rows.filter("size > 0").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(same).alias("d")).first()
     if counts["n"] != counts["d"]:
-        docs = docs.dropDuplicates(["_id", "_named"])
-    both = docs.join(lists, docs["_id"].eqNullSafe(lists["_list_id"]) & (docs["_named"] == lists["_list_named"]))
+        docs = docs.dropDuplicates(["_id", "_named", "_source"])
+    both = docs.join(
+        lists,
+        docs["_id"].eqNullSafe(lists["_list_id"]) & (docs["_named"] == lists["_list_named"])
+        & docs["_source"].eqNullSafe(lists["_list_source"]),
+    )
     both = both.select(*documents.columns, "_spans")
     names = list(documents.columns)
     at = names.index(text_col)
