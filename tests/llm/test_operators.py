@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import heapq
 import itertools
 import math
 import re
@@ -78,6 +79,22 @@ def test_hamming_search(spark):
     assert hamming_search.search_codes(codes.limit(0), codes.limit(0), 7).count() == 0
 
 
+def test_hamming_search_of_ids_with_several_codes(spark):
+    """The k nearest other ids, each once at its least distance, whatever the number of its codes."""
+    rows = [(int(k % 40), int(c)) for k, c in enumerate(RNG.integers(0, 1 << 12, 200))] + [(0, 5), (0, 5), (None, 7)]
+    index = spark.createDataFrame(rows, "id long, code long")
+    got = collections.defaultdict(list)
+    for r in hamming_search.search_codes(index, index.filter("id % 20 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["vec_id"]))
+    for q in (0, 20):
+        mine = [c for k, c in rows if k == q]
+        least = {}
+        for k, c in rows:
+            if k not in (q, None):
+                least[k] = min([least.get(k, 64), *[bin(c ^ m).count("1") for m in mine]])
+        assert got[q] == sorted((d, k) for k, d in least.items())[:10]
+
+
 def test_hamming_search_of_a_hot_block(spark, monkeypatch):
     for name, most in (("BLOCK_MOST", 64), ("BLOCK_CODES", 32), ("CANDIDATES", 50)):
         monkeypatch.setattr(hamming_search, name, most)
@@ -306,6 +323,18 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).taken().count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    """Equal rows are documents of their own: every text taken is a run of whole words in order."""
+    rows = [(1, " ".join(f"w{k}" for k in range(200)), "a", 0)] * 3 + [(1, " ".join(f"w{k}" for k in range(200)), "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    taken = mixing.mix(docs).taken().agg(F.sum("taken")).first()[0]
+    texts = [r["text"].split() for r in mixing.mixed_documents(docs, chars_col="n").collect()]
+    assert sum(len(t) for t in texts) == taken > 0
+    for t in texts:
+        numbers = [int(w[1:]) for w in t]
+        assert numbers == sorted(set(numbers))
+
+
 def test_permutations_are_whole():
     for n in (1, 2, 7, 64, 1000):
         got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 5))
@@ -332,6 +361,48 @@ def test_sharding(spark, docs, none):
     assert sharding.shard_documents(none, 3).count() == 0
 
 
+def plain_lpt(runs, shards):
+    """Shard of each (size, place), one group at a time."""
+    heap, out = [(0, s) for s in range(shards)], {}
+    for size, count in sorted(runs, reverse=True):
+        for place in range(count):
+            load, shard = heapq.heappop(heap)
+            out[size, place] = shard
+            heapq.heappush(heap, (load + size, shard))
+    return out
+
+
+def test_turns_equal_plain_scheduling():
+    for _ in range(400):
+        shards = int(RNG.integers(1, 8))
+        most = int(RNG.choice([6, 12, 400]))
+        runs = {int(RNG.integers(0, most)): int(RNG.choice([1, 2, 3, RNG.integers(1, 70)])) for _ in range(9)}
+        turns = sharding.longest_first(list(runs.items()), shards)
+        for (size, place), shard in plain_lpt(runs.items(), shards).items():
+            first, order = [t for t in turns[size] if t[0] <= place][-1]
+            assert order[(place - first) % len(order)] == shard
+        assert all(len(t) <= shards for t in turns.values())
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_sharding_equals_plain_scheduling(spark, monkeypatch, most):
+    """Loads and counts of every size per shard are those of scheduling all groups one by one, with both joins."""
+    monkeypatch.setattr(sharding, "SIZES_BROADCAST", most)
+    texts = [f"{k}".ljust(int(n)) for k, n in enumerate(RNG.integers(5, 90, 500))] + ["copied"] * 400 + ["long " * 500]
+    made = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 6).collect()
+    sizes = collections.Counter()
+    for t, n in collections.Counter(texts).items():
+        sizes[n * (8 + len(t))] += 1
+    want, got = collections.Counter(), collections.Counter()
+    for (size, _), shard in plain_lpt(sizes.items(), 6).items():
+        want[shard] += size
+    groups = {(texts[r["doc_id"]], r["shard"]) for r in made}
+    assert len(groups) == len(set(texts))
+    for r in made:
+        got[r["shard"]] += r["size"]
+    assert got == want
+
+
 def test_pseudonyms(spark, docs, none):
     texts = [
         "4111 1111 1111 1111 and 4111111111111111, not 4111111111111112", "born 1990-02-28, 28.02.1990, 02/28/1990; no 1990-02-30",
