@@ -161,3 +161,6 @@ FROM ({CATALOG}) AS c WHERE ordinal % 4 < 3
 
 # Products the order lines ask for.
 WANTED = "SELECT concat('PRD', CAST(l_partkey + 1001 AS STRING)) AS product_id FROM lineitem"
+
+# Vectors as an outside model might give them: each chunk and each search text borrows one.
+CHUNK_VECTOR_NUMBER = "(CAST(substr(product_id, 4) AS BIGINT) * 7 + chunk_index * 31)"

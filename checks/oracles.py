@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.fixtures import (
-    CATALOG, DIRTY_CATALOG, FORM_LOG, REPEATED_CATALOG, RESPONSE_LOG, SEARCH_LOG, WANTED,
+    CATALOG, CHUNK_VECTOR_NUMBER, DIRTY_CATALOG, FORM_LOG, REPEATED_CATALOG, RESPONSE_LOG, SEARCH_LOG, WANTED,
     quoted,
 )
 from checks.oracle_parts import (
@@ -220,22 +220,37 @@ DOC_VOCABULARY = vocabulary_cte("dt", "SELECT doc_id FROM documents", "v", vocab
 # --- search by chunks -------------------------------------------------------
 
 
-def found(requests: str) -> str:
-    """Requests, products, candidates, hits and ranking over sparse term vectors."""
-    return f"""WITH {requests}, {catalog_cte()}, {candidates_cte()},
-c AS MATERIALIZED ({CHUNKS}),
-{terms_cte('SELECT chunk_id, text FROM c', 'chunk_id', 'ct')},
+def placed_cte(sims: str) -> str:
+    """The nearest chunks of each text, from the similarities of ``sims``."""
+    return f"""placed AS MATERIALIZED (SELECT t.text_id, t.raw_query, c.chunk_id, round(1 - coalesce(s.s, 0), 6) + 0e0 AS distance,
+  row_number() OVER (PARTITION BY t.text_id ORDER BY round(1 - coalesce(s.s, 0), 6), c.chunk_id) AS hit_rank
+  FROM texts t CROSS JOIN (SELECT chunk_id FROM c) AS c {sims} JOIN sims s ON s.text_id = t.text_id AND s.chunk_id = c.chunk_id
+  QUALIFY hit_rank <= t.most)"""
+
+
+TERM_SIMS = f"""{terms_cte('SELECT chunk_id, text FROM c', 'chunk_id', 'ct')},
 {vocabulary_cte('ct', 'SELECT chunk_id FROM c', 'v', vocab.MAX_TERMS)},
 {weights_cte('ct', 'v', 'chunk_id', 'cw')},
-asking AS MATERIALIZED (SELECT * FROM q WHERE request_id IN (SELECT request_id FROM candidate)),
-texts AS MATERIALIZED (SELECT min(request_id) AS text_id, raw_query, max(greatest(25 * top_k, 100)) AS most FROM asking GROUP BY raw_query),
 {terms_cte('SELECT text_id, raw_query AS text FROM texts', 'text_id', 'qt')},
 {weights_cte('qt', 'v', 'text_id', 'qw')},
 sims AS (SELECT text_id, chunk_id, sum(qw.w * cw.w) AS s FROM qw JOIN cw USING (term_id) GROUP BY text_id, chunk_id),
-placed AS MATERIALIZED (SELECT t.text_id, t.raw_query, c.chunk_id, round(1 - coalesce(s.s, 0), 6) + 0e0 AS distance,
-  row_number() OVER (PARTITION BY t.text_id ORDER BY round(1 - coalesce(s.s, 0), 6), c.chunk_id) AS hit_rank
-  FROM texts t CROSS JOIN (SELECT chunk_id FROM c) AS c LEFT JOIN sims s ON s.text_id = t.text_id AND s.chunk_id = c.chunk_id
-  QUALIFY hit_rank <= t.most),
+{placed_cte('LEFT')}"""
+GIVEN_SIMS = f"""e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+ce AS MATERIALIZED (SELECT c.chunk_id, e.vec_id FROM c JOIN e ON e.vec_id = {CHUNK_VECTOR_NUMBER} % (SELECT max(vec_id) + 1 FROM embeddings)),
+qe AS MATERIALIZED (SELECT t.text_id, e.vec_id FROM texts t JOIN (SELECT trim(raw_query) AS raw_query, min(query_id) AS n
+  FROM ({SEARCH_LOG}) AS l GROUP BY 1) m USING (raw_query) JOIN e ON e.vec_id = m.n % (SELECT max(vec_id) + 1 FROM embeddings)),
+pairs AS MATERIALIZED (SELECT a.vec_id AS query_vec, b.vec_id AS chunk_vec, list_cosine_similarity(a.vector, b.vector) AS s FROM e a, e b),
+sims AS (SELECT qe.text_id, ce.chunk_id, s FROM pairs JOIN qe ON qe.vec_id = query_vec JOIN ce ON ce.vec_id = chunk_vec),
+{placed_cte('INNER')}"""
+
+
+def found(requests: str, sims: str = TERM_SIMS) -> str:
+    """Requests, products, candidates, hits and ranking over term vectors or given ones."""
+    return f"""WITH {requests}, {catalog_cte()}, {candidates_cte()},
+c AS MATERIALIZED ({CHUNKS}),
+asking AS MATERIALIZED (SELECT * FROM q WHERE request_id IN (SELECT request_id FROM candidate)),
+texts AS MATERIALIZED (SELECT min(request_id) AS text_id, raw_query, max(greatest(25 * top_k, 100)) AS most FROM asking GROUP BY raw_query),
+{sims},
 hits AS MATERIALIZED (SELECT a.request_id, n.chunk_id, c.product_id, c.chunk_type, c.text, n.distance, n.hit_rank
   FROM asking a JOIN placed n USING (raw_query) JOIN c USING (chunk_id) WHERE n.hit_rank <= greatest(25 * a.top_k, 100)),
 best AS MATERIALIZED (SELECT h.request_id, p.ordinal, min(h.distance) AS distance FROM hits h JOIN p USING (product_id)
@@ -375,6 +390,8 @@ ORACLES = {
     "vocabulary": f"WITH {DOC_TERMS}, {DOC_VOCABULARY} SELECT term, term_id, total, documents, round(idf, 6) AS idf FROM v",
     "term_vectors": f"WITH {DOC_TERMS}, {DOC_VOCABULARY}, {weights_cte('dt', 'v', 'doc_id', 'w')} SELECT doc_id, term_id, round(w, 6) AS weight FROM w",
     "search_items": f"{FOUND} SELECT {item('semantic_similarity', 'TRUE')}, ranked.distance, matched.hits FROM ranked JOIN p USING (ordinal) JOIN {MATCHED}",
+    "rebuilt_items": f"{FOUND} SELECT {item('semantic_similarity', 'TRUE')}, ranked.distance, matched.hits FROM ranked JOIN p USING (ordinal) JOIN {MATCHED}",
+    "vector_items": f"{found(requests_cte(), GIVEN_SIMS)} SELECT {item('semantic_similarity', 'TRUE')}, ranked.distance, matched.hits FROM ranked JOIN p USING (ordinal) JOIN {MATCHED}",
     "search_diagnostics": DIAGNOSTICS,
     "search_answers": f"{FOUND} SELECT w.query_id, rank, p.product_id, hybrid_score FROM ranked JOIN p USING (ordinal) JOIN {ROUTING} w USING (request_id)",
     "form_items": f"""{found(FORM_REQUESTS)} SELECT f.query_id, rank, p.product_id, hybrid_score, CAST(trunc(hybrid_score * 100) AS INT) AS match_percentage

@@ -21,12 +21,12 @@ from weft.operators.sessions import recent_searches
 from weft.operators.terms import document_terms, fit_vocabulary, term_statistics, weigh
 from weft.plans.explain import explain, explanation_requests, shared_requests
 from weft.plans.ingest import (
-    attribute_store, build_store, ingest_statistics, product_chunks,
+    attribute_store, build_store, given_store, ingest_statistics, product_chunks,
 )
 from weft.plans.search import SearchResult, asked, distinct_requests, search, with_constraints
 from weft.session import checkpoint_folder, cut_lineage
 from weft.sources.catalog import clean_catalog, load_catalog, products_by_id, write_csv
-from weft.sources.store import Store, report_line
+from weft.sources.store import Store, load_store, report_line, write_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -363,6 +363,42 @@ def form_items(spark, sf_dir):
     )
 
 
+def rebuilt_items(spark, sf_dir):
+    """The same searches from a store rebuilt out of an older version of itself."""
+    folder = scratch(spark, f"store-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}-rebuilt")
+
+    def make() -> SearchResult:
+        write_store(attribute_store(catalog(spark, sf_dir)), folder)
+        build_store(load_store(spark, folder).catalog, folder)
+        log = search_log(spark, sf_dir).select("query_id", "raw_query")
+        return search(log, load_store(spark, folder))
+
+    hits = F.array_join(F.col("matched_chunks.chunk_id"), ",")
+    items = once(spark, (folder,), make).items
+    return items.select(*ITEM_COLUMNS, "distance", hits.alias("hits"))
+
+
+def vector_items(spark, sf_dir):
+    """The same searches where chunks and texts come with vectors of their own, borrowed from embeddings."""
+    folder = scratch(spark, f"store-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}-given")
+
+    def make() -> SearchResult:
+        given = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+        many = given.agg(F.max("vec_id") + 1).scalar()
+        chunks = product_chunks(catalog(spark, sf_dir)).select(
+            "chunk_id", F.pmod(F.expr(fixtures.CHUNK_VECTOR_NUMBER), many).alias("vec_id")
+        )
+        log = search_log(spark, sf_dir).select("query_id", "raw_query")
+        texts = log.groupBy(F.trim("raw_query").alias("raw_query")).agg(F.min("query_id").alias("n"))
+        texts = texts.select("raw_query", F.pmod("n", many).alias("vec_id"))
+        store = given_store(catalog(spark, sf_dir), chunks.join(given, "vec_id"), folder)
+        return search(log, store, query_vectors=texts.join(given, "vec_id"))
+
+    hits = F.array_join(F.col("matched_chunks.chunk_id"), ",")
+    items = once(spark, (folder,), make).items
+    return items.select(*ITEM_COLUMNS, "distance", hits.alias("hits"))
+
+
 def result_rows(spark, sf_dir):
     return result_table(answers(spark, sf_dir).items)
 

@@ -13,7 +13,7 @@ QUERIES = {
         q.tight_chunks, q.document_chunks, q.ingest_report, q.chunk_coverage,
         q.unit_vectors, q.vector_report, q.nearest_vectors, q.term_counts, q.vocabulary,
         q.term_vectors, q.search_items, q.search_diagnostics, q.search_answers,
-        q.form_items, q.result_rows, q.reduced_items, q.reduced_vectors, q.evidence,
+        q.form_items, q.rebuilt_items, q.vector_items, q.result_rows, q.reduced_items, q.reduced_vectors, q.evidence,
         q.explanations, q.answered_explanations, q.response_check, q.violations,
         q.order_violations, q.accuracy, q.match_rate, q.passed_checks, q.latency,
         q.report_lines, q.recent,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.functions.text import let
 
@@ -49,3 +49,17 @@ def densify(ids: Column, weights: Column, length: int) -> Column:
             places, lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0))
         ),
     )
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector is there and all its entries are finite numbers."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
+
+
+def common_length(vectors: DataFrame, column: str) -> int | None:
+    """Length that all vectors of a table share; None without vectors, an error if lengths differ."""
+    least, most = vectors.select(F.size(column).alias("n")).agg(F.min("n"), F.max("n")).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} numbers; all need the same length")
+    return least

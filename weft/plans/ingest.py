@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weft import vocab
+from weft.functions.vectors import common_length, unit, usable
 from weft.operators.chunking import chunk_documents, product_documents
 from weft.operators.reduction import components_table, fit_reduction, reduce_rows
 from weft.operators.terms import dense_terms, fit_vocabulary, weigh
 from weft.operators.variants import product_variants
 from weft.session import cut_lineage
 from weft.sources.catalog import first_rows
-from weft.sources.store import CHUNK_SCHEMA, Store, drop_table, load_store, write_table
+from weft.sources.store import CHUNK_SCHEMA, Store, StoreWriter, load_store
 
 
 def product_chunks(
@@ -34,17 +35,15 @@ def build_store(
     max_terms: int = vocab.MAX_TERMS, length: int = vocab.VECTOR_LENGTH,
     stop_words: tuple[str, ...] = vocab.TERM_STOP_WORDS,
 ) -> Store:
-    """Write every table of the store, each from the one written before it.
+    """Write every table of a new version, each from the one written before it, and publish it.
 
-    ``dense`` reduces the term rows to ``length`` numbers; a corpus too small for
-    that keeps its raw rows, cut or padded.
+    ``catalog`` may be the one of the store that is replaced. ``dense`` reduces the term
+    rows to ``length`` numbers; a corpus too small for that keeps its raw rows, cut or
+    padded.
     """
     spark = catalog.sparkSession
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        write_table(df, folder, name)
-        return spark.read.parquet(f"{folder}/{name}")
-
+    writer = StoreWriter(spark, folder)
+    saved = writer.write
     catalog = saved(first_rows(catalog, limit), "catalog")
     saved(product_variants(catalog).sortWithinPartitions("category"), "variants")
     chunks = saved(product_chunks(catalog, None, size, overlap), "chunk_texts")
@@ -60,9 +59,34 @@ def build_store(
             rows = dense_terms(rows, length).select("chunk_id", "vector")
         else:
             rows = reduce_rows(rows, components, "chunk_id")
-    else:
-        drop_table(spark, folder, "components")
     saved(chunks.join(rows, "chunk_id"), "chunks")
+    writer.publish()
+    return load_store(spark, folder)
+
+
+def given_store(
+    catalog: DataFrame, vectors: DataFrame, folder: str, size: int = vocab.CHUNK_SIZE,
+    overlap: int = vocab.CHUNK_OVERLAP,
+) -> Store:
+    """Write and publish a store whose chunk vectors the caller gives.
+
+    ``vectors`` has ``chunk_id`` and ``vector`` (any numeric array), one row per chunk of
+    ``product_chunks(catalog)``; they are scaled to length one. Chunks without a vector and
+    those whose vector is null, empty or holds null or non-finite numbers cannot be found;
+    of several rows of one chunk the least vector counts. Lengths must agree.
+    """
+    spark = catalog.sparkSession
+    writer = StoreWriter(spark, folder)
+    catalog = writer.write(catalog, "catalog")
+    writer.write(product_variants(catalog).sortWithinPartitions("category"), "variants")
+    chunks = writer.write(product_chunks(catalog, None, size, overlap), "chunk_texts")
+    rows = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = rows.filter(usable(F.col("vector"))).groupBy("chunk_id").agg(F.min("vector").alias("vector"))
+    made = writer.write(
+        chunks.join(rows.select("chunk_id", unit(F.col("vector")).alias("vector")), "chunk_id"), "chunks"
+    )
+    common_length(made, "vector")
+    writer.publish()
     return load_store(spark, folder)
 
 

@@ -11,6 +11,7 @@ from weft.functions.constraints import parse_searches
 from weft.functions.predicates import OPTIONAL_TERMS, passes
 from weft.functions.scoring import effective_style, has_flag, rating_boost, style_place
 from weft.functions.text import is_set, strip
+from weft.functions.vectors import common_length, usable
 from weft.operators.cells import (
     KEY, TEXT_TERMS, Cells, ask_nodes, leading_products, plan_cells, term_mask,
 )
@@ -99,16 +100,42 @@ def encode_requests(requests: DataFrame, store: Store, stop_words: tuple[str, ..
     return dense_terms(rows, length[0] if length else vocab.VECTOR_LENGTH)
 
 
+def given_requests(requests: DataFrame, store: Store, vectors: DataFrame | None) -> DataFrame:
+    """Requests with the vector that the caller gives for their text (``raw_query``, ``vector``).
+
+    Texts are compared without surrounding blanks; of several vectors of a text the least
+    counts. Requests whose text has no usable vector find nothing.
+    """
+    if vectors is None:
+        raise ValueError("the chunks of this store have given vectors: give those of the searches too")
+    rows = vectors.select(
+        strip(F.col("raw_query")).alias("raw_query"), F.col("vector").cast("array<double>").alias("vector")
+    ).filter(usable(F.col("vector")))
+    texts = requests.select("raw_query").distinct()
+    mine = cut_lineage(
+        rows.join(texts, "raw_query").groupBy("raw_query").agg(F.min("vector").alias("vector")), "given"
+    )
+    asked_length, stored_length = common_length(mine, "vector"), common_length(store.chunks, "vector")
+    if None not in (asked_length, stored_length) and asked_length != stored_length:
+        raise ValueError(f"searches have vectors of {asked_length} numbers, chunks of {stored_length}")
+    return requests.join(mine, "raw_query").select("request_id", "vector")
+
+
 def find_hits(
     requests: DataFrame, store: Store, most_k: int,
     stop_words: tuple[str, ...] = vocab.TERM_STOP_WORDS, blocks: Blocks | None = None,
+    query_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest chunks of every request that has candidates.
 
     The search is over all chunks; candidates are applied to its hits.
     """
     asking = requests.filter(F.col("candidates") > 0).select("request_id", "raw_query", "top_k")
-    vectors = encode_requests(asking, store, stop_words).join(
+    if store.given:
+        encoded = given_requests(asking, store, query_vectors)
+    else:
+        encoded = encode_requests(asking, store, stop_words)
+    vectors = encoded.join(
         asking.select(
             "request_id", F.greatest(F.col("top_k").cast("long") * 25, F.lit(100)).alias("fetch")
         ),
@@ -317,9 +344,12 @@ def status_message(candidates, returned):
 def search(
     searches: DataFrame, store: Store, threshold: float = vocab.SCORE_THRESHOLD,
     stop_words: tuple[str, ...] = vocab.TERM_STOP_WORDS, blocks: Blocks | None = None,
+    query_vectors: DataFrame | None = None,
 ) -> SearchResult:
     """Answer a table of searches (query_id, raw_query, optional top_k and ui_*).
 
+    ``query_vectors`` (raw_query, vector) are needed where the store's vectors were given.
+
     The distinct requests, their hits and the few ranked products are read by
     several later steps, so each is written once to the checkpoint folder; the log
     itself joins last.
@@ -329,7 +359,7 @@ def search(
     most_k = measure(requests.select("top_k"), most="top_k").most or 0
     hits = None
     if store.has_vectors:
-        hits = cut_lineage(find_hits(requests, store, most_k, stop_words, blocks), "hits")
+        hits = cut_lineage(find_hits(requests, store, most_k, stop_words, blocks, query_vectors), "hits")
         ranked = cut_lineage(
             rank_hits(requests, hits, store.variants, most_k, threshold), "ranked"
         )
