@@ -44,6 +44,9 @@ CELL_BITS = 20
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
 FLUSH = 500_000
+BUCKET_SHINGLES = 8_000_000
+BAND = 1.25
+LEAST_GAIN = 20
 SMALL_ROWS = 500_000
 MARK_BITS = 1024
 MARKS = [f"m{k}" for k in range(MARK_BITS // 64)]
@@ -208,8 +211,53 @@ def _prefixes(width: int, percent: int, buckets: int, cells_of):
     return run
 
 
-def _lists(group: pa.Table) -> pa.Table:
-    """Postings of the shingles of one bucket that more than one node holds."""
+def _lead_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, need: np.ndarray, percent: int):
+    """(a, b, shared, least) of the least node of each shingle and size band with the band's other nodes."""
+    band = np.floor(np.log(n) / np.log(BAND)).astype(np.int64)
+    order = np.lexsort((node, band, token))
+    t, w, node, n, need = token[order], band[order], node[order], n[order].astype(np.int64), need[order]
+    first = np.ones(len(t), bool)
+    first[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    fit = ~first & (100 * np.minimum(n, n[lead]) >= percent * np.maximum(n, n[lead]))
+    a, b, least = node[lead[fit]], node[fit], np.minimum(need[fit], need[lead[fit]])
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(fresh)
+    return a[at], b[at], np.diff(np.append(at, len(a))), least[at]
+
+
+def _lists(percent: int):
+    """Group: postings of the shingles of one bucket that more than one node holds, and pairs with their leaders.
+
+    The first round of leaders needs no shuffle of its own: rows without a token are its
+    pairs (node, other), with the shingles shared as n and those required as need.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        token, node, n, level, need = _postings(group)
+        a, b, shared, least = _lead_pairs(token, node, n, need, percent)
+        none = pa.nulls(len(a), pa.int64())
+
+        def column(kind, x, y):
+            return pa.chunked_array([pa.array(x.astype(kind)), pa.array(y.astype(kind))])
+
+        return pa.table(
+            {
+                "token": pa.chunked_array([pa.array(token.view(np.int64)), none]), "node": column(np.int64, node, a),
+                "n": column(np.int32, n, shared), "level": column(np.int32, level, np.zeros(len(a))),
+                "need": column(np.int32, need, least),
+                "other": pa.chunked_array([pa.nulls(len(token), pa.int64()), pa.array(b.astype(np.int64))]),
+            }
+        )
+
+    return run
+
+
+def _postings(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """(token, node, n, level, need) of shingles that more than one node of the group's lists holds."""
     parts = [unpack(v) for v in group.column("payload").to_pylist()]
     token = np.concatenate([p[0] for p in parts])
     node = np.concatenate([p[4][p[1]] for p in parts])
@@ -227,15 +275,10 @@ def _lists(group: pa.Table) -> pa.Table:
     keep[1:] |= same
     keep[:-1] |= same
     order = order[keep]
-    return pa.table(
-        {
-            "token": token[order].view(np.int64), "node": node[order], "n": size[order].astype(np.int32),
-            "level": level[order].astype(np.int32), "need": need[order].astype(np.int32),
-        }
-    )
+    return token[order], node[order], size[order], level[order], need[order]
 
 
-LIST_SCHEMA = "token long, node long, n int, level int, need int"
+LIST_SCHEMA = "token long, node long, n int, level int, need int, other long"
 
 
 def _set_rows(width: int):
@@ -300,73 +343,109 @@ def links(
     classes = keys.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     if not cells:
         return keys, classes, None
-    shared = spark.sparkContext.broadcast(np.concatenate(cells))
-    buckets = 4 * partitions_of(spark)
+    classes = cut_lineage(classes, "classes")
+    counts = np.concatenate(cells)
+    shared = spark.sparkContext.broadcast(counts)
+    buckets = max(4 * partitions_of(spark), int(counts.sum()) // BUCKET_SHINGLES)
     packed = docs.select("id", "text").mapInArrow(
         tidy(_prefixes(width, percent, buckets, lambda: shared.value)), "bucket int, payload binary"
     )
-    postings = cut_lineage(packed.groupBy("bucket").applyInArrow(tidy(_lists), LIST_SCHEMA), "postings")
-    postings = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    needed = postings.select("node").distinct().join(classes.filter("id is not null"), "node").select("id").distinct()
-    needed = cut_lineage(needed, "needed")
-    if needed.count() <= SMALL_ROWS:
-        needed = F.broadcast(needed)
-    sets = cut_lineage(docs.join(needed, "id", "left_semi").mapInArrow(tidy(_set_rows(width)), "node long, shingles binary"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # Few pairs go to the sets, so that those of b move once; sets that no pair names never move.
-        few = pairs.count() <= SMALL_ROWS
+    listed = cut_lineage(packed.groupBy("bucket").applyInArrow(tidy(_lists(percent)), LIST_SCHEMA), "postings")
+    postings = listed.filter("token is not null").drop("other")
 
-        def side(df: DataFrame) -> DataFrame:
-            return F.broadcast(df) if few else df
+    def marks_with(nodes: DataFrame) -> DataFrame:
+        """Marks of the given nodes, a row per node; rows of equal node have equal marks."""
+        return rows.filter("n > 0").join(nodes, "node", "left_semi").select("node", "n", *MARKS).dropDuplicates(["node"])
 
-        def of(name: str) -> DataFrame:
-            return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+    def verified(pairs: DataFrame, marked: bool) -> DataFrame:
+        """Linked pairs. Pairs go by their marks, then only sets that a pair left names are made and moved."""
 
-        right = of("b") if few else of("b").join(pairs.select("b").distinct(), "b", "left_semi")
-        left = of("a").join(side(pairs.select("a").distinct()), "a", "left_semi")
-        both = right.join(side(pairs), "b").join(left, "a")
+        def named(pairs: DataFrame) -> DataFrame:
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            return F.broadcast(nodes) if few else nodes
+
+        few = pairs.count() <= SMALL_ROWS
+        if not marked:
+            own = marks_with(named(pairs))
+            left = own.select(F.col("node").alias("a"), "n", *MARKS)
+            right = own.select(
+                F.col("node").alias("b"), F.col("n").alias("other"), *[F.col(m).alias(f"{m}_b") for m in MARKS]
+            )
+            pairs = pairs.join(left, "a").join(right, "b").filter(marks_allow(percent)).select("a", "b")
+            pairs = cut_lineage(pairs, "marked-pairs")
+            few = pairs.count() <= SMALL_ROWS
+        holders = classes.join(named(pairs), "node", "left_semi").select(F.col("id").alias("holder")).distinct()
+        texts = docs.join(F.broadcast(holders) if few else holders, F.col("id").eqNullSafe(F.col("holder")), "left_semi")
+        sets = texts.mapInArrow(tidy(_set_rows(width)), "node long, shingles binary")
+        sets = cut_lineage(sets.join(named(pairs), "node", "left_semi"), "sets")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        left = left.join(F.broadcast(pairs.select("a").distinct()) if few else pairs.select("a").distinct(), "a", "left_semi")
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        both = right.join(F.broadcast(pairs) if few else pairs, "b").join(left.hint("merge"), "a")
         return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "u long, v long").distinct()
 
+    def within(table: DataFrame, joined: DataFrame, node: str, comp: str) -> DataFrame:
+        """The table with the component that each node is in by now."""
+        named = joined.select(F.col("node").alias(node), F.col("component").alias("_now"))
+        return table.join(named, node, "left").withColumn(comp, F.coalesce("_now", node)).drop("_now")
+
     alike = f"100 * least(n, other) >= {percent} * greatest(n, other)"
-    edges, tried, current = None, None, postings.withColumn("comp", F.col("node"))
+    pairs = listed.filter("token is null").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(
+        F.sum("n").alias("shared"), F.first("need").alias("least")
+    ).filter("shared >= least").select("a", "b")
+    edges = cut_lineage(verified(cut_lineage(pairs, "pairs"), marked=False), "links")
+    banded = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    new = total = edges.count()
     while True:
+        joined = components(edges)
+        current = cut_lineage(within(banded, joined, "node", "comp"), "postings")
+        # What leaders don't find, the pairs below do: rounds end when they join little.
+        if new * LEAST_GAIN <= total:
+            break
         lead = current.groupBy("token", "band").agg(
             F.min(F.struct("comp", "node", "n", "need")).alias("lead"), F.max("comp").alias("last")
         ).filter("lead.comp < last").drop("last")
-        met = current.join(lead, ["token", "band"]).filter("comp != lead.comp").withColumn("other", F.col("lead.n"))
-        pairs = met.filter(alike).groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(
+        met = current.join(lead.hint("merge"), ["token", "band"]).filter("comp != lead.comp")
+        met = met.withColumn("other", F.col("lead.n")).filter(alike)
+        pairs = met.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(
             F.count(F.lit(1)).alias("shared"), F.first(F.least("need", "lead.need")).alias("least")
         ).filter("shared >= least").select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        found = cut_lineage(verified(pairs), "links")
+        found = cut_lineage(verified(cut_lineage(pairs, "pairs"), marked=False), "links")
         new = found.count()
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        if not new:
-            break
-        joined = components(edges)
-        current = cut_lineage(
-            postings.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"),
-            "postings",
-        )
+        total += new
+        edges = edges.union(found)
     several = current.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    open_lists = current.join(several.select("token"), "token", "left_semi").drop("band")
-    marks = rows.filter("n > 0").groupBy("node").agg(*[F.max(m).alias(m) for m in MARKS])
-    open_lists = cut_lineage(open_lists.join(marks, "node"), "open-lists")
+    open_lists = current.join(several.select("token").hint("merge"), "token", "left_semi").drop("band", "comp")
+    marks = rows.filter("n > 0").select("node", *MARKS).dropDuplicates(["node"])
+    open_lists = cut_lineage(within(open_lists.join(marks.hint("merge"), "node"), joined, "node", "comp"), "open-lists")
     right = open_lists.select(
         "token", F.col("node").alias("b"), F.col("n").alias("other"), F.col("level").alias("level_b"),
         F.col("need").alias("need_b"), F.col("comp").alias("comp_b"), *[F.col(m).alias(f"{m}_b") for m in MARKS],
     )
-    rest = open_lists.join(right, "token").filter("comp < comp_b").filter(alike).filter(marks_allow(percent)).withColumn(
-        "least", F.least("need", "need_b")
-    ).filter("level <= least and level_b <= least")
+    rest = open_lists.join(right.hint("merge"), "token").filter("comp < comp_b").filter(alike).filter(
+        marks_allow(percent)
+    ).withColumn("least", F.least("need", "need_b")).filter("level <= least and level_b <= least")
     rest = rest.groupBy(F.col("node").alias("a"), "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("least").alias("least")
-    ).filter("shared >= least").select("a", "b")
-    edges = cut_lineage(edges.union(verified(cut_lineage(rest, "pairs"))), "links")
+        F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"),
+        F.first("comp").alias("comp"), F.first("comp_b").alias("comp_b"),
+    ).filter("shared >= least").drop("least")
+    rest = cut_lineage(rest, "pairs")
+    # One link joins two components: likely pairs of each two come first, then all pairs still apart.
+    for slots in (1, 16, None):
+        step = rest
+        if slots:
+            likely = F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair")
+            slot = F.pmod(F.xxhash64("a", "b"), F.lit(slots))
+            step = rest.groupBy("comp", "comp_b", slot.alias("slot")).agg(likely).select("pair.a", "pair.b")
+        edges = edges.union(cut_lineage(verified(step.select("a", "b"), marked=True), "links"))
+        if slots:
+            joined = components(edges)
+            rest = within(within(rest, joined, "a", "comp"), joined, "b", "comp_b").filter("comp != comp_b")
+            rest = cut_lineage(
+                rest.withColumn("low", F.least("comp", "comp_b")).withColumn("comp_b", F.greatest("comp", "comp_b"))
+                .withColumn("comp", F.col("low")).drop("low"),
+                "pairs",
+            )
     return keys, classes, edges
 
 
