@@ -568,3 +568,23 @@ def test_jaccard_join_of_many_pairs_and_a_common_shingle(spark, monkeypatch):
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert all(want[100 + k] == 100 + k for k in range(20)) and len(set(want.values())) < 45
+
+
+def test_copies_of_texts_that_share_an_id(spark):
+    """Each text under an id goes by its own group; a text held only by rows without an id still bridges."""
+    base = [f"w{k}" for k in range(60)]
+    one, other = " ".join(base), " ".join(f"v{k}" for k in range(60))
+    near = " ".join(base[:30] + ["z"] + base[31:])
+    rows = [
+        (1, one, "a"), (2, near, "b"), (2, other, "c"), (2, other, "c"), (3, other, "d"), (4, "", "e"), (4, "", "e"),
+        (5, "short text", "f"), (5, "another text", "g"), (None, one, "h"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = jaccard_join.without_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["node"]) for r in kept.collect())
+    assert got == [(0, "h"), (1, "a"), (2, "c"), (4, "e"), (5, "f"), (5, "g")]
+    far = " ".join(base[:24] + ["y"] + base[25:30] + ["z"] + base[31:])
+    chain = [(7, one), (None, near), (8, far)]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {7: 7, None: 7, 8: 7}

@@ -449,37 +449,63 @@ def links(
     return keys, classes, edges
 
 
-def near_duplicates(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
-) -> DataFrame:
-    """(id_col, n_shingles, component_id) of every row."""
+def _grouped(documents: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, n, node, component, component_id) of every row; component is the least node reachable by links."""
     keys, classes, edges = links(documents, id_col, text_col, width, percent)
     named = classes.select("node", "id")
     if edges is not None:
         joined = named.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-        named = joined.join(least, "component").select("node", "component_id")
+        named = joined.join(least, "component").select("node", "component", "component_id")
     else:
-        named = named.select("node", F.col("id").alias("component_id"))
-    out = keys.join(named, "node", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+        named = named.select("node", F.col("node").alias("component"), F.col("id").alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return keys.join(named, "node", "left").withColumn("component_id", own)
+
+
+def near_duplicates(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """(id_col, n_shingles, component_id) of every row."""
+    found = _grouped(documents, id_col, text_col, width, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _nodes(width: int):
+    """Task: (id, text, node) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                nodes = [_node(s) for s in shingle_sets(part.column(1), width)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(nodes, pa.int64())], names=["id", "text", "node"]
+                )
+
+    return run
 
 
 def without_copies(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One document of each group: the one of least id. Rows without an id stay.
+    """One document of each group: the one of least id. Rows without an id, and without words, stay.
 
-    Repeated rows of one id are reduced to one row only where such rows exist.
+    Where rows share an id, each text goes by its own group: rows of one id and one set of
+    shingles are reduced to one, and of several near copies under the least id one stays.
     """
-    found = cut_lineage(near_duplicates(documents, id_col, text_col, width, percent), "groups")
-    losers = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = documents.join(losers, id_col, "left_anti").select(*documents.columns)
-    counts = found.filter(F.col(id_col).isNotNull()).agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
-    if counts[0] != counts[1]:
-        some = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = some.union(kept.filter(F.col(id_col).isNull()))
-    return kept
+    found = cut_lineage(_grouped(documents, id_col, text_col, width, percent), "groups").filter("id is not null")
+    shared = found.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    losers = found.filter("id != component_id").select("id").union(shared).distinct()
+    name = documents[id_col].cast("long")
+    kept = documents.join(losers, name == losers["id"], "left_anti")
+    if shared.isEmpty():
+        return kept
+    again = documents.select(name.alias("id"), documents[text_col].cast("string").alias("text")).join(shared, "id", "left_semi")
+    again = again.distinct().mapInArrow(tidy(_nodes(width)), "id long, text string, node long")
+    first = found.filter("n > 0 and id = component_id").groupBy("component").agg(F.min("node").alias("node"), F.min("id").alias("id"))
+    stay = first.select("id", "node").union(found.filter("n = 0").select("id", "node").distinct())
+    # One text for each id and set that stays, then one row of that id and text.
+    chosen = again.join(stay, ["id", "node"], "left_semi").groupBy("id", "node").agg(F.min(F.struct("text")).alias("least"))
+    chosen = chosen.select("id", F.col("least.text").alias("text"))
+    same = (name == chosen["id"]) & documents[text_col].cast("string").eqNullSafe(chosen["text"])
+    return kept.union(documents.join(chosen, same, "left_semi").dropDuplicates([id_col, text_col]))
