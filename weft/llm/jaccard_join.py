@@ -19,13 +19,16 @@ of their sizes. The test is part of the join of posting lists, so near misses of
 group don't become rows.
 
 No group is expanded into all its pairs: documents of equal sets are one node; then
-each posting list links its nodes to one leader per list and size band until that
-joins no more components, and only nodes of different components meet as pairs.
+each posting list links its nodes to one leader per list and size band, in rounds that
+end when they join little; what is left are pairs of nodes of different components. Of
+these, one and then up to 16 likely pairs of each two components are compared before
+all that are still apart, since one link joins two components. Sets are made from the
+texts for each step, only those that a pair left by the marks names.
 
 Nulls and empty texts: n_shingles 0, linked with nothing, component_id = id. Equal
 texts are one node, whatever their ids. Rows that share an id are each reported; a
-row without an id gets the component of its text, null when no row with an id has
-it. Columns other than id and text are ignored. An empty table gives an empty one.
+row without an id gets the component_id of its group, null when the group holds no id.
+Columns other than id and text are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -437,6 +440,8 @@ def links(
             likely = F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair")
             slot = F.pmod(F.xxhash64("a", "b"), F.lit(slots))
             step = rest.groupBy("comp", "comp_b", slot.alias("slot")).agg(likely).select("pair.a", "pair.b")
+            step = cut_lineage(step, "likely-pairs")
+            rest = rest.join(step, ["a", "b"], "left_anti")
         edges = edges.union(cut_lineage(verified(step.select("a", "b"), marked=True), "links"))
         if slots:
             joined = components(edges)
