@@ -193,3 +193,18 @@ def test_one_large_limit_leaves_other_queries_as_they_are(spark):
     both = found.collect()
     assert sorted(r for r in both if r["query_id"] < 99) == sorted(plain)
     assert sum(r["query_id"] == 99 for r in both) == 200 and not any(r["query_id"] > 99 for r in both)
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_a_table_searched_for_itself(spark, sparse):
+    """Both sides come from the same columns of one table, as in ``nearest_vectors``."""
+    v = [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]
+    rows = spark.createDataFrame(
+        [(i, x, [0, 1], x) for i, x in enumerate(v)], "vec_id int, vector array<double>, ids array<int>, weights array<double>"
+    )
+    both = rows.select(
+        F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"),
+        *(["ids", "weights"] if sparse else ["vector"]),
+    )
+    found = as_found(nearest_chunks(both, both, 2, sparse, blocks=Blocks(2, 2)).collect())
+    assert found == {0: [(0.0, 0), (0.2, 1)], 1: [(0.0, 1), (0.2, 0)], 2: [(0.0, 2), (0.4, 1)]}
