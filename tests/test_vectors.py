@@ -10,7 +10,8 @@ from weft.functions.vectors import cosine_distance, densify, fit_length, unit
 from weft.operators import nearest
 from weft.operators.nearest import Blocks, nearest_chunks
 from weft.operators.reduction import components_from, components_table, fit_reduction, reduce_rows
-from weft.operators.terms import dense_terms, fit_vocabulary, weigh
+from weft.operators import terms as term_module
+from weft.operators.terms import dense_terms, document_terms, fit_vocabulary, term_statistics, text_tasks, weigh
 
 
 def test_dense_columns(spark):
@@ -208,3 +209,25 @@ def test_a_table_searched_for_itself(spark, sparse):
     )
     found = as_found(nearest_chunks(both, both, 2, sparse, blocks=Blocks(2, 2)).collect())
     assert found == {0: [(0.0, 0), (0.2, 1)], 1: [(0.0, 1), (0.2, 0)], 2: [(0.0, 2), (0.4, 1)]}
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    """More text makes more tasks, and the counts stay those of one task; keys may repeat or be null."""
+    rows = [(i % 40, f"red shirt number{i} and blue shirt") for i in range(60)] + [(None, "red shirt"), (99, None), (98, "")]
+    df = spark.createDataFrame(rows, "k int, t string")
+
+    def counts():
+        tasks = text_tasks(df, "t")
+        made = term_statistics(document_terms(df, "k", "t", (), tasks), tasks)
+        return tasks, made.rdd.getNumPartitions(), {r["term"]: (r["total"], r["documents"]) for r in made.collect()}
+
+    few = counts()
+    monkeypatch.setattr(term_module, "TASK_BYTES", 64)
+    monkeypatch.setattr(term_module, "MERGE_TASKS", 2)
+    many = counts()
+    assert few[2] == many[2] and few[0] == 8 and many[0] > 20 and many[1] == many[0]
+    assert many[2]["red shirt"] == (61, 41) and many[2]["number3"] == (1, 1)
+    vocabulary = fit_vocabulary(df, "k", "t", 4, ())
+    assert [r["term"] for r in vocabulary.orderBy("term_id").collect()] == ["shirt", "red", "red shirt", "and"]
+    weighed = weigh(df, "k", "t", vocabulary, ()).collect()
+    assert len(weighed) == 43 and {r["k"]: r["ids"] for r in weighed}[99] == []
