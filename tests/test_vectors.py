@@ -2,12 +2,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weft import vocab
 from weft.functions.vectors import cosine_distance, densify, fit_length, unit
-from weft.operators import nearest
+from weft.operators import nearest, reduction
 from weft.operators.nearest import Blocks, nearest_chunks
 from weft.operators.reduction import components_from, components_table, fit_reduction, reduce_rows
 from weft.operators import terms as term_module
@@ -231,3 +232,16 @@ def test_tasks_grow_with_the_texts(spark, monkeypatch):
     assert [r["term"] for r in vocabulary.orderBy("term_id").collect()] == ["shirt", "red", "red shirt", "and"]
     weighed = weigh(df, "k", "t", vocabulary, ()).collect()
     assert len(weighed) == 43 and {r["k"]: r["ids"] for r in weighed}[99] == []
+
+
+def test_batches_multiply_alike_over_their_own_terms(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(40, n, replace=False).tolist()) for n in (3, 0, 5, 1)]
+    batch = pa.RecordBatch.from_pydict({"ids": rows, "weights": [[1.0 + i for i in r] for r in rows]})
+    basis = rng.normal(size=(40, 6))
+    terms, dense = reduction._own_terms(batch)
+    assert list(terms) == sorted(set(sum(rows, []))) and dense.sum() == sum(1.0 + i for r in rows for i in r)
+    near = reduction._project(batch, basis)
+    monkeypatch.setattr(reduction, "DENSE_SHARE", 0)
+    assert reduction._own_terms(batch) is None
+    assert np.allclose(near, reduction._project(batch, basis), atol=1e-12)
