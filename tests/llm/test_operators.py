@@ -570,6 +570,51 @@ def test_jaccard_join_of_many_pairs_and_a_common_shingle(spark, monkeypatch):
     assert all(want[100 + k] == 100 + k for k in range(20)) and len(set(want.values())) < 45
 
 
+def test_jaccard_join_joins_near_copies_by_few_links(spark, monkeypatch):
+    """A group of near copies gives one link a node at most, and known components are not joined again."""
+    edges = []
+
+    def counted(links):
+        edges.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base[: 2 * k] + [f"x{k}"] + base[2 * k + 1 :])) for k in range(80)]
+    rows += [(100 + k, " ".join(f"y{k}_{j}" for j in range(30))) for k in range(10)]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i if i >= 100 else 0 for i, _ in rows}
+    assert sum(edges) < 80
+
+
+def test_merged_components(spark):
+    def table(rows, names):
+        return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+
+    joined, new = jaccard_join.merged(table([], ["node", "component"]), table([(2, 3), (3, 2), (7, 8), (9, 8)], "uv"))
+    assert new == 3 or new == 4
+    assert {tuple(r) for r in joined.collect()} == {(2, 2), (3, 2), (7, 7), (8, 7), (9, 7)}
+    joined, new = jaccard_join.merged(joined, table([(3, 9), (9, 2), (3, 1), (20, 21), (7, 9)], "uv"))
+    assert sorted(tuple(r) for r in joined.collect()) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (9, 1), (20, 20), (21, 20)]
+    again, new = jaccard_join.merged(joined, table([(3, 9), (21, 20)], "uv"))
+    assert new == 0 and again is joined
+
+
+def test_pairs_are_made_once(spark):
+    """Rows of a pair that shares many tokens fall to those up to the least shared one that both nodes name."""
+    lists = {k: np.sort(RNG.choice(2000, 300, replace=False)) for k in range(12)}
+    rows = [(int(t), k, 1 if at % 10 else 2) for k, tokens in lists.items() for at, t in enumerate(tokens)]
+    held = spark.createDataFrame(rows, "token long, node long, level int")
+    held = held.join(jaccard_join.least_tokens(held), "node", "left")
+    right = held.select("token", F.col("node").alias("b"), F.col("least").alias("least_b"))
+    both = held.join(right, "token").filter("node < b")
+    every, made = both.count(), both.filter(jaccard_join.first_shared())
+    assert made.select("node", "b").distinct().count() == both.select("node", "b").distinct().count() == 66
+    named = both.filter(F.size(F.array_intersect("least", "least_b")) > 0).select("node", "b").distinct()
+    some = made.join(named, ["node", "b"], "left_semi").groupBy("node", "b").count().agg(F.max("count")).first()
+    assert made.count() < every and (some[0] is None or some[0] < 20)
+
+
 def test_copies_of_texts_that_share_an_id(spark):
     """Each text under an id goes by its own group; a text held only by rows without an id still bridges."""
     base = [f"w{k}" for k in range(60)]

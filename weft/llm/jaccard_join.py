@@ -19,11 +19,15 @@ of their sizes. The test is part of the join of posting lists, so near misses of
 group don't become rows.
 
 No group is expanded into all its pairs: documents of equal sets are one node; then
-each posting list links its nodes to one leader per list and size band, in rounds that
-end when they join little; what is left are pairs of nodes of different components. Of
-these, one and then up to 16 likely pairs of each two components are compared before
-all that are still apart, since one link joins two components. Sets are made from the
-texts for each step, only those that a pair left by the marks names.
+each posting list links its nodes to one leader per list and size band, each node only
+to the leader that it shares most with, so a round compares no more pairs than there
+are nodes; rounds end when they join little. What is left are pairs of nodes of
+different components, as one row each, however many shingles they share: where the
+marks tell sets apart, a pair is made at the least shared shingle that both nodes' few
+least shingles name. Of these, one and then up to 16 likely pairs of each two components
+are compared before all that are still apart, since one link joins two components. New
+links join the components known by then, not the graph from its start. Sets are made
+from the texts for each step, only those that a pair left by the marks names.
 
 Nulls and empty texts: n_shingles 0, linked with nothing, component_id = id. Equal
 texts are one node, whatever their ids. Rows that share an id are each reported; a
@@ -53,6 +57,7 @@ LEAST_GAIN = 20
 SMALL_ROWS = 500_000
 MARK_BITS = 1024
 MARKS = [f"m{k}" for k in range(MARK_BITS // 64)]
+LEAST_TOKENS = 8
 
 
 def _node(s: np.ndarray) -> int:
@@ -69,12 +74,34 @@ def marks_of(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(place, minlength=MARK_BITS).astype(np.uint8) & 1).view(np.int64)
 
 
-def marks_allow(percent: int, other: str = "_b") -> Column:
-    """The marks, and those with the suffix, differ in no more places than two linked sets of sizes n and other can."""
+def marks_differ(other: str = "_b") -> Column:
+    """Number of places in which the marks differ from those with the suffix."""
     differ = F.lit(0)
     for m in MARKS:
         differ = differ + F.bit_count(F.col(m).bitwiseXOR(F.col(m + other)))
-    return differ * (100 + percent) <= (F.col("n") + F.col("other")) * (100 - percent)
+    return differ
+
+
+def marks_allow(percent: int, other: str = "_b") -> Column:
+    """The marks, and those with the suffix, differ in no more places than two linked sets of sizes n and other can."""
+    return marks_differ(other) * (100 + percent) <= (F.col("n") + F.col("other")) * (100 - percent)
+
+
+def marks_tell(percent: int) -> Column:
+    """Sets of sizes n and other are so small that the marks of unlike ones differ in many more places than linked ones may."""
+    return (F.col("n") + F.col("other")) * (100 - percent) * 4 <= MARK_BITS * (100 + percent)
+
+
+def least_tokens(lists: DataFrame) -> DataFrame:
+    """(node, least): the least few tokens of each node, of those that count for every pair (level 1)."""
+    held = lists.filter("level = 1").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("least"))
+    return held.select("node", F.slice("least", 1, LEAST_TOKENS).alias("least"))
+
+
+def first_shared(other: str = "_b") -> Column:
+    """False if both nodes' least tokens name a shared one below this: that row makes the pair. True for the least shared one."""
+    named = F.array_min(F.array_intersect("least", f"least{other}"))
+    return F.coalesce(named >= F.col("token"), F.lit(True))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
@@ -323,13 +350,32 @@ def _verify(percent: int):
     return run
 
 
+def merged(joined: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component) after new links of nodes, and how many links joined two components.
+
+    Only components that a new link names are joined anew; a component is named by its
+    least node, so the least of those joined names the whole.
+    """
+    names = joined.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    apart = found.join(names, "u", "left").join(names.toDF("v", "cv"), "v", "left").select(
+        F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")
+    )
+    apart = cut_lineage(apart.filter("u != v").distinct(), "links")
+    new = apart.count()
+    if not new:
+        return joined, 0
+    changed = components(apart)
+    after = changed.select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    moved = joined.join(after, "component", "left").select("node", F.coalesce("_now", "component").alias("component"))
+    return cut_lineage(moved.union(changed).distinct(), "components"), new
+
+
 def links(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(keys, classes, edges): id, n and node of each row; least id of each node; verified links of nodes.
+    """(keys, classes, joined): id, n and node of each row; least id of each node; component of each linked node.
 
-    The edges connect all that the join links, without holding every link inside a
-    group that is already connected.
+    A component is named by its least node.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -361,13 +407,16 @@ def links(
         return rows.filter("n > 0").join(nodes, "node", "left_semi").select("node", "n", *MARKS).dropDuplicates(["node"])
 
     def verified(pairs: DataFrame, marked: bool) -> DataFrame:
-        """Linked pairs. Pairs go by their marks, then only sets that a pair left names are made and moved."""
+        """Linked pairs, repeats possible. Pairs go by their marks, then only sets that a pair left names are made and moved."""
 
         def named(pairs: DataFrame) -> DataFrame:
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             return F.broadcast(nodes) if few else nodes
 
-        few = pairs.count() <= SMALL_ROWS
+        many = pairs.count()
+        few, none = many <= SMALL_ROWS, pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("false")
+        if not many:
+            return none
         if not marked:
             own = marks_with(named(pairs))
             left = own.select(F.col("node").alias("a"), "n", *MARKS)
@@ -376,7 +425,10 @@ def links(
             )
             pairs = pairs.join(left, "a").join(right, "b").filter(marks_allow(percent)).select("a", "b")
             pairs = cut_lineage(pairs, "marked-pairs")
-            few = pairs.count() <= SMALL_ROWS
+            many = pairs.count()
+            few = many <= SMALL_ROWS
+            if not many:
+                return none
         holders = classes.join(named(pairs), "node", "left_semi").select(F.col("id").alias("holder")).distinct()
         texts = docs.join(F.broadcast(holders) if few else holders, F.col("id").eqNullSafe(F.col("holder")), "left_semi")
         sets = texts.mapInArrow(tidy(_set_rows(width)), "node long, shingles binary")
@@ -385,26 +437,29 @@ def links(
         left = left.join(F.broadcast(pairs.select("a").distinct()) if few else pairs.select("a").distinct(), "a", "left_semi")
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = right.join(F.broadcast(pairs) if few else pairs, "b").join(left.hint("merge"), "a")
-        return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "u long, v long").distinct()
+        return both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "u long, v long")
 
     def within(table: DataFrame, joined: DataFrame, node: str, comp: str) -> DataFrame:
         """The table with the component that each node is in by now."""
         named = joined.select(F.col("node").alias(node), F.col("component").alias("_now"))
         return table.join(named, node, "left").withColumn(comp, F.coalesce("_now", node)).drop("_now")
 
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b, shared, least) that share enough, the one of each b that shares most."""
+        most = F.max_by("a", F.struct("shared", "a")).alias("a")
+        return cut_lineage(pairs.filter("shared >= least").groupBy("b").agg(most).select("a", "b"), "pairs")
+
     alike = f"100 * least(n, other) >= {percent} * greatest(n, other)"
     pairs = listed.filter("token is null").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(
         F.sum("n").alias("shared"), F.first("need").alias("least")
-    ).filter("shared >= least").select("a", "b")
-    edges = cut_lineage(verified(cut_lineage(pairs, "pairs"), marked=False), "links")
+    )
+    joined = classes.select("node", F.col("node").alias("component")).filter("false")
+    joined, new = merged(joined, verified(best(pairs), marked=False))
+    total = new
     banded = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
-    new = total = edges.count()
-    while True:
-        joined = components(edges)
-        current = cut_lineage(within(banded, joined, "node", "comp"), "postings")
-        # What leaders don't find, the pairs below do: rounds end when they join little.
-        if new * LEAST_GAIN <= total:
-            break
+    current = cut_lineage(within(banded, joined, "node", "comp"), "postings")
+    # What leaders don't find, the pairs below do: rounds end when they join little.
+    while new * LEAST_GAIN > total:
         lead = current.groupBy("token", "band").agg(
             F.min(F.struct("comp", "node", "n", "need")).alias("lead"), F.max("comp").alias("last")
         ).filter("lead.comp < last").drop("last")
@@ -412,54 +467,64 @@ def links(
         met = met.withColumn("other", F.col("lead.n")).filter(alike)
         pairs = met.groupBy(F.col("lead.node").alias("a"), F.col("node").alias("b")).agg(
             F.count(F.lit(1)).alias("shared"), F.first(F.least("need", "lead.need")).alias("least")
-        ).filter("shared >= least").select("a", "b")
-        found = cut_lineage(verified(cut_lineage(pairs, "pairs"), marked=False), "links")
-        new = found.count()
+        )
+        joined, new = merged(joined, verified(best(pairs), marked=False))
         total += new
-        edges = edges.union(found)
+        if new:
+            current = cut_lineage(within(banded, joined, "node", "comp"), "postings")
     several = current.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    open_lists = current.join(several.select("token").hint("merge"), "token", "left_semi").drop("band", "comp")
+    open_lists = cut_lineage(
+        current.join(several.select("token").hint("merge"), "token", "left_semi").drop("band"), "open-lists"
+    )
+    if open_lists.isEmpty():
+        return keys, classes, joined
     marks = rows.filter("n > 0").select("node", *MARKS).dropDuplicates(["node"])
-    open_lists = cut_lineage(within(open_lists.join(marks.hint("merge"), "node"), joined, "node", "comp"), "open-lists")
-    right = open_lists.select(
+    marks = marks.join(least_tokens(open_lists).hint("merge"), "node", "left")
+    left = cut_lineage(open_lists.join(marks.hint("merge"), "node"), "marked-lists")
+    right = left.select(
         "token", F.col("node").alias("b"), F.col("n").alias("other"), F.col("level").alias("level_b"),
-        F.col("need").alias("need_b"), F.col("comp").alias("comp_b"), *[F.col(m).alias(f"{m}_b") for m in MARKS],
+        F.col("need").alias("need_b"), F.col("comp").alias("comp_b"), F.col("least").alias("least_b"),
+        *[F.col(m).alias(f"{m}_b") for m in MARKS],
     )
-    rest = open_lists.join(right.hint("merge"), "token").filter("comp < comp_b").filter(alike).filter(
-        marks_allow(percent)
-    ).withColumn("least", F.least("need", "need_b")).filter("level <= least and level_b <= least")
-    rest = rest.groupBy(F.col("node").alias("a"), "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"),
-        F.first("comp").alias("comp"), F.first("comp_b").alias("comp_b"),
-    ).filter("shared >= least").drop("least")
+    rest = left.join(right.hint("merge"), "token").filter("comp < comp_b").filter(alike).filter(
+        "level <= least(need, need_b) and level_b <= least(need, need_b)"
+    ).filter(marks_allow(percent)).filter(~marks_tell(percent) | first_shared())
+    rest = rest.select(
+        F.col("node").alias("a"), "b", "comp", "comp_b", F.least("need", "need_b").alias("asked"),
+        marks_tell(percent).alias("told"), (marks_differ() / (F.col("n") + F.col("other"))).alias("apart"),
+    ).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("asked", "told", "apart", "comp", "comp_b")]
+    ).filter("told or shared >= asked").drop("asked", "told", "shared")
     rest = cut_lineage(rest, "pairs")
     # One link joins two components: likely pairs of each two come first, then all pairs still apart.
     for slots in (1, 16, None):
+        if rest.isEmpty():
+            break
         step = rest
         if slots:
-            likely = F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair")
+            likely = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")
             slot = F.pmod(F.xxhash64("a", "b"), F.lit(slots))
             step = rest.groupBy("comp", "comp_b", slot.alias("slot")).agg(likely).select("pair.a", "pair.b")
             step = cut_lineage(step, "likely-pairs")
             rest = rest.join(step, ["a", "b"], "left_anti")
-        edges = edges.union(cut_lineage(verified(step.select("a", "b"), marked=True), "links"))
+        joined, new = merged(joined, verified(step.select("a", "b"), marked=True))
         if slots:
-            joined = components(edges)
-            rest = within(within(rest, joined, "a", "comp"), joined, "b", "comp_b").filter("comp != comp_b")
+            if new:
+                rest = within(within(rest, joined, "a", "comp"), joined, "b", "comp_b").filter("comp != comp_b")
             rest = cut_lineage(
                 rest.withColumn("low", F.least("comp", "comp_b")).withColumn("comp_b", F.greatest("comp", "comp_b"))
                 .withColumn("comp", F.col("low")).drop("low"),
                 "pairs",
             )
-    return keys, classes, edges
+    return keys, classes, joined
 
 
 def _grouped(documents: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, n, node, component, component_id) of every row; component is the least node reachable by links."""
-    keys, classes, edges = links(documents, id_col, text_col, width, percent)
+    keys, classes, joined = links(documents, id_col, text_col, width, percent)
     named = classes.select("node", "id")
-    if edges is not None:
-        joined = named.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if joined is not None:
+        joined = named.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
         named = joined.join(least, "component").select("node", "component", "component_id")
     else:
