@@ -633,3 +633,39 @@ def test_copies_of_texts_that_share_an_id(spark):
     chain = [(7, one), (None, near), (8, far)]
     found = jaccard_join.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {7: 7, None: 7, 8: 7}
+
+
+@pytest.mark.parametrize("tiles", [1, 2, 5, 6])
+def test_vector_dedup_deals_two_copies_a_round(tiles, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_dedup, "TILE", 64)
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", 0)
+    monkeypatch.setattr(vector_dedup, "ROUND_BYTES", 0)
+    n = 64 * tiles
+    plans = {8: vector_dedup.Plan(8, n, 0.95)}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array(np.ones(n, np.int64)), pa.array(RNG.normal(size=(n, 8)).tolist(), pa.list_(pa.float32()))], ["node", "w", "v"]
+    )
+    met = {}
+    for meeting in vector_dedup._rounds(plans):
+        out = pa.Table.from_batches(vector_dedup._deal(plans, meeting)(iter([batch])))
+        assert out.num_rows <= 2 * n and out.column("v").type == pa.list_(pa.float32())
+        for left, right, home, node in zip(*(out.column(c).to_pylist() for c in ("left", "right", "home", "node"))):
+            assert home in (left, right)
+            met.setdefault(frozenset((left, right)), []).append(node)
+    assert plans[8].tiles == tiles and len(met) == tiles * (tiles + 1) // 2
+    of = {node: tile for pair, nodes in met.items() if len(pair) == 1 for node in nodes for tile in pair}
+    assert len(of) == n and all(sorted(nodes) == sorted(k for k in of if of[k] in pair) for pair, nodes in met.items())
+
+
+def test_vector_dedup_of_single_precision_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "TILE", 16)
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", 0)
+    monkeypatch.setattr(vector_dedup, "ROUND_BYTES", 0)
+    base = RNG.normal(size=(6, 40))
+    rows = [(k, (base[k % 6] + RNG.normal(size=40) * 0.15).astype(np.float32).tolist()) for k in range(70)]
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    want = {k: (sum(unit[k] @ unit[o] >= 0.95 for o in unit if o != k), g) for k, g in groups(unit, lambda a, b: a @ b >= 0.95).items()}
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want

@@ -1,20 +1,19 @@
-"""Near duplicates of vectors by a subspace pigeonhole join.
+"""Near duplicates of vectors by comparing tiles of them, whole pairs only where a part is near.
 
 Vectors are scaled to length 1 and rotated by a Hadamard transform after fixed
 pseudorandom sign changes, then split into blocks of ``block_dims`` components. Unit
-vectors with cosine c lie sqrt(2 - 2c) apart, so if the cosine reaches the threshold,
-the squared distance in at least one block is within that block's proportional share
-of 2 - 2c. Each block is range-joined on a grid whose cells are as wide as the block's
-radius: a pair within the radius lies in the same or in neighbouring cells. Candidates
-are verified by their cosine in double precision, and a pair is counted in the first
-block that finds it.
-
-Equal vectors are one row with a multiplicity and a number of its own. The rows of a
-cell, and the guests that its neighbours send, are cut into tiles by hash; a task holds
-two tiles and tests the pairs between them. Tasks return link counts and a spanning
-forest of their links, folded in as they are found, never pairs. Every pair of a cell is
-still tested once, and each row travels once for every tile of its cell; cells of many
-rows get larger tiles, up to ``TILE_BYTES``.
+vectors with cosine c lie sqrt(2 - 2c) apart, and no farther in any part of their
+components. The rotation spreads a difference evenly, so the first few blocks already
+tell most pairs apart: a pair is a candidate if it is within that distance there.
+Candidates are verified by their cosine in double precision.
+
+Equal vectors are one row with a multiplicity and a number of its own. Rows are cut into
+tiles by a hash of their number; a task holds two tiles, tests every pair between them
+and returns link counts and a spanning forest of its links, folded in as they are found,
+never pairs. Each two tiles meet once. A row travels once for each tile, in the type it
+came in; tiles lying d apart meet in round d, several rounds at once where they are small,
+and the shuffle of a round is removed before the next, so the disk holds about two copies
+of the vectors beside the tables whatever their number.
 
 Vectors are compared with those of the same length. Vectors that are null, empty, zero
 or hold null or non-finite components link with nothing. Rows without an id are not
@@ -25,6 +24,8 @@ vector that comes first by its name is kept. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,11 +36,15 @@ from weft.session import cut_lineage
 
 BLOCK_DIMS = 8
 TILE = 4096
-TILE_BYTES = 8 << 20
+TILE_BYTES = 32 << 20
+#: Bytes that the rounds of one shuffle may move together; a round of more has its own.
+ROUND_BYTES = 256 << 20
+ROTATED_ROWS = 1 << 14
 CHUNK = 1 << 17
-SLACK = 1e-9
-#: Sums of ten products of numbers of at most 2 err by less than this in single precision.
-SLACK_SINGLE = 1e-5
+# Rows of each side whose products a task holds at once.
+ROWS, COLUMNS = 1024, 4096
+#: Sums of products err by less than this in single precision, for each product.
+SLACK_SINGLE = 1e-6
 
 
 def rotated(vectors: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -71,31 +76,32 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Plan:
-    """How vectors of one length are cut: blocks, grid components, radius and squared budget of a block."""
-
-    def __init__(self, dims: int, size: int, threshold: float):
-        width = max(BLOCK_DIMS, 1 << max(0, int(np.ceil(np.log2(dims)))))
-        self.blocks, self.budget = width // BLOCK_DIMS, (2 - 2 * threshold) * BLOCK_DIMS / width
-        self.radius = float(np.sqrt(self.budget + SLACK)) if self.budget > 1e-12 else 1e-3
-        self.grid = int(np.clip(round(np.log(max(2, size) / 2000) / np.log(5)), 1, min(4, BLOCK_DIMS)))
-        self.most = max(TILE, TILE_BYTES // (8 * width))
-
-    def tiles(self, n: int) -> int:
-        return -(-n // min(self.most, max(TILE, n // 16)))
-
-
-def _visits(y: np.ndarray, plan: Plan):
-    """(block, cell, rows, whether it is their own) of the cells that rotated vectors go to: their own and, as guests, the half of the neighbouring ones within reach."""
-    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * plan.grid, indexing="ij"), axis=-1).reshape(-1, plan.grid)
-    middle = len(steps) // 2
-    for j in range(plan.blocks):
-        place = y[:, j * BLOCK_DIMS : j * BLOCK_DIMS + plan.grid] / plan.radius
-        at = np.floor(place).astype(np.int64)
-        for s, step in enumerate(steps[: middle + 1]):
-            # Parts of a radius to the nearest place of that cell.
-            away = np.where(step > 0, at + 1 - place, np.where(step < 0, place - at, 0.0))
-            near = np.flatnonzero((away * away).sum(axis=1) <= 1 + SLACK)
-            yield j, _cell(at[near] + step), near, s == middle
+    """How vectors of one length are compared: tiles, components of the first test and its squared distance."""
+
+    def __init__(self, dims: int, size: int, threshold: float, cores: int = 1):
+        self.width = max(BLOCK_DIMS, 1 << max(0, int(np.ceil(np.log2(dims)))))
+        self.budget = 2 - 2 * threshold
+        # Components in which two vectors without relation lie at about twice the distance.
+        blocks = int(np.ceil(np.clip(2 * self.budget, 0.0, 1.0) * self.width / BLOCK_DIMS))
+        self.first = BLOCK_DIMS * max(1, blocks)
+        most = max(TILE, TILE_BYTES // (8 * self.width))
+        # No more rows than a task may hold, and a task for each core where there are enough.
+        few = int(np.ceil(np.sqrt(2 * cores)))
+        self.tiles = max(1, -(-size // most), min(few, -(-size // TILE)))
+        self.rounds = [(d, size * (self.width * 8 + 64) * (2 if 0 < 2 * d != self.tiles else 1)) for d in range(self.tiles // 2 + 1)]
+
+
+def _rounds(plans: dict) -> list[dict]:
+    """The distances of the tiles that meet in each shuffle, by length."""
+    out, held = [], 0
+    for dims, plan in plans.items():
+        for d, size in plan.rounds:
+            if not out or held + size > ROUND_BYTES:
+                out.append({})
+                held = 0
+            held += size
+            out[-1].setdefault(dims, []).append(d)
+    return out
 
 
 def _by_length(batch: pa.RecordBatch):
@@ -105,122 +111,102 @@ def _by_length(batch: pa.RecordBatch):
         yield dims, batch.filter(pa.array(lengths == dims))
 
 
-def _deal(plans: dict, tiles: dict):
-    """Task: each rotated vector to the pairs of tiles, of all cells that it visits, which its own tile is in.
-
-    Pair (i, i) is home tile i with itself and the first guest tile, (i, j) two home tiles, and from
-    j = number of home tiles on, home tile i and a further guest tile.
-    """
+def _deal(plans: dict, meeting: dict):
+    """Task: each vector to the pairs of tiles of this round that its own tile is in."""
 
     def run(batches):
         for batch in batches:
             for dims, rows in _by_length(batch):
-                plan = plans[dims]
-                y = rotated(_matrix(rows.column("v")))
-                own = (mix64(rows.column("node").to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32), y.ravel())
-                piece = max(1, TILE_BYTES // (8 * y.shape[1]))
-                for j, cell, near, home in _visits(y, plan):
-                    cut = np.array([tiles.get((dims, j, c), (0, 0)) for c in cell.tolist()], np.int64).reshape(-1, 2)
-                    mine = own[near] % np.maximum(1, cut[:, 0 if home else 1])
-                    # A row of a home tile meets each home tile and each guest tile but the first, a guest each home tile.
-                    copies = cut[:, 0] + (np.maximum(0, cut[:, 1] - 1) if home else 0)
-                    ends = np.cumsum(copies)
-                    for at in range(0, int(ends[-1]) if len(ends) else 0, piece):
-                        place = np.arange(at, min(at + piece, int(ends[-1])))
-                        row = np.searchsorted(ends, place, side="right")
-                        other, tile, n = place - (ends - copies)[row], mine[row], cut[row, 0]
-                        if home:
-                            # Further guest tiles are numbered n + 1, n + 2, ...; their pairs have the home tile first.
-                            left, right = np.minimum(tile, other), np.maximum(tile, other) + (other >= n)
-                        else:
-                            left, right = other, np.where(tile == 0, other, n + tile)
-                        k = near[row]
+                m = plans[dims].tiles
+                own = ((mix64(rows.column("node").to_numpy().view(np.uint64)) >> np.uint64(1)) % np.uint64(m)).astype(np.int64)
+                for d in meeting.get(dims, ()):
+                    for left, right in ((own, (own + d) % m), ((own - d) % m, own))[: 2 if d else 1]:
+                        # Half the circle apart, tiles would meet twice.
+                        met = np.flatnonzero((left < d) | (2 * d != m) | (d == 0))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(np.full(len(k), dims, np.int32)), pa.array(np.full(len(k), j, np.int32)), pa.array(cell[row]),
-                                pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)),
-                                pa.array((tile if home else np.full(len(k), -1)).astype(np.int32)),
-                                rows.column("node").take(pa.array(k)), rows.column("w").take(pa.array(k)), lists.take(pa.array(k)),
+                                pa.array(np.full(len(met), dims, np.int32)), pa.array(left[met].astype(np.int32)), pa.array(right[met].astype(np.int32)),
+                                pa.array(own[met].astype(np.int32)), *[rows.column(c).take(pa.array(met)) for c in ("node", "w", "v")],
                             ],
-                            names=["dims", "block", "cell", "left", "right", "home", "node", "w", "y"],
+                            names=["dims", "left", "right", "home", "node", "w", "v"],
                         )
 
     return run
 
 
-def _cell(at: np.ndarray) -> np.ndarray:
-    """One number of a grid place; components stay within +-2**14 of 0."""
-    out = np.zeros(len(at), np.int64)
-    for k in range(at.shape[1]):
-        out = out * (1 << 15) + at[:, k] + (1 << 14)
+def _turned(group: pa.Table, order: np.ndarray) -> np.ndarray:
+    """Rotated vectors of a group's rows in that order."""
+    if "y" in group.column_names:
+        return _matrix(group.column("y"))[order]
+    column = group.column("v").combine_chunks()
+    out = None
+    for at in range(0, len(order), ROTATED_ROWS):
+        part = rotated(_matrix(column.take(pa.array(order[at : at + ROTATED_ROWS]))))
+        if out is None:
+            out = np.empty((len(order), part.shape[1]))
+        out[at : at + len(part)] = part
     return out
 
 
-def _cells(plans: dict):
-    """Task: how many rows and guests each cell has."""
-
-    def run(batches):
-        for batch in batches:
-            for dims, rows in _by_length(batch):
-                for j, cell, _, home in _visits(rotated(_matrix(rows.column("v"))), plans[dims]):
-                    cell, n = np.unique(cell, return_counts=True)
-                    zero, n = np.zeros(len(cell), np.int64), n.astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(cell), dims, np.int32)), pa.array(np.full(len(cell), j, np.int32)), pa.array(cell),
-                            pa.array(n if home else zero), pa.array(zero if home else n),
-                        ],
-                        names=["dims", "block", "cell", "n", "guests"],
-                    )
-
-    return run
+def _near(mine: np.ndarray, theirs: np.ndarray, most: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the products that are at most ``most``; few are, so eight are passed over at a time."""
+    found = mine @ theirs <= most
+    pad = -found.shape[1] % 8
+    if pad:
+        found = np.pad(found, ((0, 0), (0, pad)))
+    words = np.flatnonzero(found.reshape(-1).view(np.uint64))
+    hit, bit = np.nonzero(found.reshape(-1, 8)[words])
+    return np.divmod(words[hit] * 8 + bit, found.shape[1])
 
 
 def _join(plans: dict, threshold: float):
     """Task: links between the rows of two tiles."""
 
     def run(group: pa.Table) -> pa.Table:
-        j, tile, other = (group.column(c)[0].as_py() for c in ("block", "left", "right"))
-        budget = plans[group.column("dims")[0].as_py()].budget
+        tile, other = (group.column(c)[0].as_py() for c in ("left", "right"))
+        plan = plans[group.column("dims")[0].as_py()]
         nodes, home = group.column("node").to_numpy(), group.column("home").to_numpy()
         # The left tile first; paired with itself, a row meets only rows behind it, so each pair is met once.
         order = np.lexsort((nodes, home != tile))
         nodes, weight = nodes[order], group.column("w").to_numpy()[order]
-        y = _matrix(group.column("y"))[order]
+        y = _turned(group, order)
         left = int((home == tile).sum())
         links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-        sub = y[:, j * BLOCK_DIMS : (j + 1) * BLOCK_DIMS]
+        sub = y[:, : plan.first]
         square, one = (sub * sub).sum(axis=1)[:, None], np.ones((len(nodes), 1))
         # |a - b|^2 as one product, in single precision; what its error lets through is tested in double.
         mine = np.hstack([-2 * sub, square, one]).astype(np.float32)
         theirs = np.ascontiguousarray(np.hstack([sub, one, square]).astype(np.float32).T)
-        step = max(1, (1 << 21) // max(1, len(nodes)))
-        for at in range(0, left, step):
-            start = at if tile == other else left
-            if start == len(nodes):
-                break
-            near = mine[at : min(at + step, left)] @ theirs[:, start:] <= np.float32(budget + SLACK_SINGLE)
-            a, b = np.divmod(np.flatnonzero(near), len(nodes) - start)
-            a, b = a + at, b + start
-            behind = b > a
-            a, b = a[behind], b[behind]
-            for part in range(0, len(a), CHUNK):
-                p, q = a[part : part + CHUNK], b[part : part + CHUNK]
-                fresh = ((sub[p] - sub[q]) ** 2).sum(axis=1) <= budget + SLACK / 2
-                p, q = p[fresh], q[fresh]
-                for k in range(j):
-                    d = y[p, k * BLOCK_DIMS : (k + 1) * BLOCK_DIMS] - y[q, k * BLOCK_DIMS : (k + 1) * BLOCK_DIMS]
-                    later = (d * d).sum(axis=1) > budget + SLACK / 2
-                    p, q = p[later], q[later]
-                linked = (y[p] * y[q]).sum(axis=1) >= threshold
-                p, q = p[linked], q[linked]
-                np.add.at(links, p, weight[q])
-                np.add.at(links, q, weight[p])
-                p, q = label[p], label[q]
-                apart = p != q
-                if apart.any():
-                    label = local_components(len(nodes), p[apart], q[apart])[label]
+        most = np.float32(plan.budget + SLACK_SINGLE * (plan.first + 2))
+        waiting: list = []
+
+        def fold() -> None:
+            """Waiting links into the labels."""
+            nonlocal label
+            if waiting:
+                p, q = (np.concatenate(x) for x in zip(*waiting))
+                label = local_components(len(nodes), label[p], label[q])[label]
+                waiting.clear()
+
+        for at in range(0, left, ROWS):
+            first = at if tile == other else left
+            for start in range(first, len(nodes), COLUMNS):
+                a, b = _near(mine[at : min(at + ROWS, left)], theirs[:, start : start + COLUMNS], most)
+                a, b = a + at, b + start
+                behind = b > a
+                a, b = a[behind], b[behind]
+                for part in range(0, len(a), CHUNK):
+                    p, q = a[part : part + CHUNK], b[part : part + CHUNK]
+                    linked = (y[p] * y[q]).sum(axis=1) >= threshold
+                    p, q = p[linked], q[linked]
+                    np.add.at(links, p, weight[q])
+                    np.add.at(links, q, weight[p])
+                    apart = label[p] != label[q]
+                    if apart.any():
+                        waiting.append((p[apart], q[apart]))
+                        if sum(len(x) for x, _ in waiting) >= CHUNK // 4:
+                            fold()
+        fold()
         some = np.flatnonzero(links)
         return pa.table({"node": nodes[some], "links": links[some], "with": nodes[label[some]]})
 
@@ -234,30 +220,33 @@ def near_duplicates(
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     whole = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    # Kept in single precision where they came so; every task reads the same numbers from it.
+    held = F.col(vector_col) if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else v
     rows = cut_lineage(
-        vectors.select(F.col(id_col).cast("long").alias("id"), F.when(whole, v).alias("v")).withColumn(
-            "named", F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
+        vectors.select(F.col(id_col).cast("long").alias("id"), F.when(whole, held).alias("v"), F.when(whole, v).alias("_long")).select(
+            "id", "v",
+            F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.col("_long").cast("array<string>")), 256)).alias("named"),
         ),
         "vectors",
     )
     alone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     named = rows.filter("named is not null").groupBy("named").agg(F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("w"), F.min("id").alias("id"))
     # The number is written once; an id can stand for several vectors.
-    classes = cut_lineage(named.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = cut_lineage(named.withColumn("node", F.monotonically_increasing_id()), "classes", drop_shuffles=True)
     sizes = classes.groupBy(F.size("v").alias("dims")).count().collect()
     if not sizes:
         return alone.withColumn("kept", F.col("component_id").isNotNull())
-    plans = {r["dims"]: Plan(r["dims"], r["count"], threshold) for r in sizes}
-    counted = classes.select("v").mapInArrow(_cells(plans), "dims int, block int, cell long, n long, guests long")
-    # For each length at most blocks * (2 / radius + 2) ** grid cells, however many vectors there are.
-    counts = counted.groupBy("dims", "block", "cell").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests")).filter("n > 0").collect()
-    tiles = {(r["dims"], r["block"], r["cell"]): (plans[r["dims"]].tiles(r["n"]), plans[r["dims"]].tiles(r["guests"])) for r in counts}
-    dealt = classes.select("node", "w", "v").mapInArrow(
-        _deal(plans, tiles), "dims int, block int, cell long, left int, right int, home int, node long, w long, y array<double>"
-    )
-    found = cut_lineage(
-        dealt.groupBy("dims", "block", "cell", "left", "right").applyInArrow(_join(plans, threshold), "node long, links long, with long"), "links"
-    )
+    cores = spark.sparkContext.defaultParallelism
+    plans = {r["dims"]: Plan(r["dims"], r["count"], threshold, cores) for r in sizes}
+    kind = classes.schema["v"].dataType.simpleString()
+    parts = []
+    for meeting in _rounds(plans):
+        dealt = classes.select("node", "w", "v").mapInArrow(
+            _deal(plans, meeting), f"dims int, left int, right int, home int, node long, w long, v {kind}"
+        )
+        joined = dealt.groupBy("dims", "left", "right").applyInArrow(_join(plans, threshold), "node long, links long, with long")
+        parts.append(cut_lineage(joined, "links", drop_shuffles=True))
+    found = functools.reduce(DataFrame.unionAll, parts)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("u"), F.col("with").alias("v")))
     placed = classes.select("named", "id", "w", "node").join(links, "node", "left").join(joined, "node", "left").withColumn(
