@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weft.llm import byte_bpe, hamming_search, jaccard_join, katz, language, mixing, pseudonyms, sharding, toxicity, vector_dedup
 from weft.llm.common import held_out
 from weft.llm.graph import components
+from weft.llm.running import running_total
 
 RNG = np.random.default_rng(3)
 WORDS = [f"w{k}" for k in range(60)]
@@ -669,3 +670,13 @@ def test_vector_dedup_of_single_precision_by_rounds(spark, monkeypatch):
     want = {k: (sum(unit[k] @ unit[o] >= 0.95 for o in unit if o != k), g) for k, g in groups(unit, lambda a, b: a @ b >= 0.95).items()}
     got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
+
+
+def test_mixing_broadcasts_no_blocks_or_rows(spark):
+    rows = [(k, "a " * (k % 7) * 40, f"s{k % 3}" if k % 5 else None) for k in range(120)] + [(None, None, "s0"), (None, " ", None)]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=16)
+    for frame in (made.pieces(), made.taken(), running_total(spark.range(50), "id", F.col("id"), ["id"], F.lit(1), "n")):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    taken = made.taken().collect()
+    assert collections.Counter((r["id"], r["size"]) for r in taken) == collections.Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert all((r["taken"] == 0) == (r["size"] == 0) for r in taken if r["source"] != "s1") and all(r["taken"] <= 2 * r["size"] for r in taken)

@@ -83,7 +83,7 @@ class Mix:
     block_words: int
 
     def blocks_taken(self) -> DataFrame:
-        """(rank, block, times)."""
+        """(rank, block, times), about as many as there are blocks, though the plan's file is small."""
         return self.plan.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
     def pieces(self) -> DataFrame:
@@ -96,16 +96,17 @@ class Mix:
         begin = F.greatest(F.col("start"), F.col("block") * width)
         n_words = F.least(end, (F.col("block") + 1) * width) - begin
         held = held.withColumns({"from_word": begin - F.col("start"), "n_words": n_words})
-        return held.join(self.blocks_taken(), ["rank", "block"])
+        # The draws are a few rows that make one per slot: by their size alone they would be broadcast.
+        return held.join(self.blocks_taken().hint("merge"), ["rank", "block"])
 
     def taken(self) -> DataFrame:
         """(id, size, source, source_size, target, taken) of every row."""
         some = self.pieces().groupBy("rank", "start").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-        return self.rows.join(
-            some.withColumn("_some", F.lit(True)),
-            (self.rows["rank"] == some["rank"]) & (self.rows["start"] == some["start"]) & (self.rows["size"] > 0), "left",
-        ).select(
-            self.rows["id"], "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        # Rows without words share the place of the next row; they take no part in the join.
+        held = self.rows.filter("size > 0").join(some.hint("merge"), ["rank", "start"], "left")
+        empty = self.rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+        return held.unionByName(empty).select(
+            "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
 
 
@@ -135,7 +136,7 @@ def mix(
         [(s, int(n), k, float(t)) for k, ((s, n), t) in enumerate(zip(found, goal))],
         "source string, source_size long, rank long, target double",
     ).withColumnRenamed("source", "_source")
-    rows = sized.join(known, sized["source"].eqNullSafe(known["_source"])).drop("_source")
+    rows = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["_source"])).drop("_source")
     rows = cut_lineage(
         running_total(
             rows, "rank", spread(["id", "named"], partitions_of(spark)), [F.col("id").asc_nulls_last(), "named"],

@@ -18,7 +18,8 @@ def running_total(df: DataFrame, key: str, chunk: Column, order: list, value: Co
     starts = totals.select("_key", "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_key", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    return summed.join(starts, ["_key", "_chunk"]).withColumn(name, F.col("_start") + F.col("_inside")).drop(
+    # The rows lie by key and chunk already, and a merge needs no table in the driver.
+    return summed.join(starts.hint("merge"), ["_key", "_chunk"]).withColumn(name, F.col("_start") + F.col("_inside")).drop(
         "_key", "_chunk", "_value", "_start", "_inside"
     )
 
