@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from checks import queries
 from conftest import catalog_of, product
 from weft.functions.predicates import passes
-from weft.operators import filters
-from weft.operators.filters import ask_struct, candidate_counts, fold_ask, fold_catalog
+from weft.operators import filters, joins
+from weft.operators.filters import ask_struct, candidate_counts, fold_ask, fold_catalog, match_products
 from weft.operators.joins import join_by_category, measure
 from weft.operators.variants import product_variants
 
@@ -72,3 +72,23 @@ def test_order_violations_use_as_many_tasks_as_orders(spark, tmp_path, monkeypat
     rows = {r["query_id"]: r for r in found.collect()}
     assert len(rows) == 64 and sum(r["items"] for r in rows.values()) == 2 + sum(i % 70 < 64 for i in range(200))
     assert not rows[4]["unique_products"] and rows[61]["unique_products"]
+
+
+def test_keys_of_many_pairs_are_cut_on_both_sides(spark, monkeypatch):
+    """A hot key is copied a few times on either side, others not at all, and the pairs stay the same."""
+    monkeypatch.setattr(joins, "PAIRS_PER_CELL", 40)
+    products = [product(f"P{i}", i, brand="hot" if i % 3 else f"b{i}", price_inr=float(i)) for i in range(60)]
+    catalog = catalog_of(spark, products + [product("N", 60, brand=None)])
+    rows = [(i, None, "hot" if i % 2 else f"b{i}") for i in range(40)] + [(40, None, None)]
+    asks = spark.createDataFrame(rows, ASKS)
+    asks = asks.select("request_id", ask_struct(asks.columns).alias("ask"))
+    size = measure(asks)
+    pairs = match_products(asks, catalog, size=type(size)(size.rows, 1 << 40)).select("request_id", "product_id").collect()
+    brands = {p["product_id"]: p["brand"] for p in products} | {"N": None}
+    assert sorted(map(tuple, pairs)) == sorted((i, p) for i, _, b in rows for p in brands if b in (None, brands[p]))
+
+    keys = lambda values: spark.createDataFrame([(v,) for v in values], "_key string")
+    many = joins.cut_keys(keys(["a"] * 400 + ["b"] * 3 + ["c"]), keys(["a"] * 100 + ["b"] * 3 + ["d"]), 8).collect()
+    assert [(r["_key"], r["_asks"], r["_products"]) for r in many] == [("a", 8, 2)]
+    one = joins.cut_keys(keys(["a"] * 2), keys(["a"] * 1000), 8).collect()
+    assert [(r["_asks"], r["_products"]) for r in one] == [(1, 16)]
