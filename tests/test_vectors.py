@@ -245,3 +245,42 @@ def test_batches_multiply_alike_over_their_own_terms(monkeypatch):
     monkeypatch.setattr(reduction, "DENSE_SHARE", 0)
     assert reduction._own_terms(batch) is None
     assert np.allclose(near, reduction._project(batch, basis), atol=1e-12)
+
+
+@pytest.mark.parametrize("own", [None, "own"])
+def test_dense_chunks_beside_few_queries(spark, monkeypatch, own):
+    """Many chunks are read where they lie: the same hits, ties by id, and no chunk is dealt."""
+    rng = np.random.default_rng(5)
+    chunks, queries = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    chunks[50:150] = chunks[50]
+    chunks[7] = queries[3] = 0.0
+    order = rng.permutation(300)
+    c = spark.createDataFrame([(f"c{j}", chunks[j].tolist()) for j in order], "chunk_id string, vector array<float>").repartition(5)
+    q = spark.createDataFrame([(i, v.tolist(), i % 30) for i, v in enumerate(queries)], "query_id int, vector array<double>, own int")
+    dealt = as_found(nearest_chunks(q, c, 25, False, own_n=own, blocks=Blocks(3, 5)).collect())
+    monkeypatch.setattr(nearest, "MOST_CHUNKS_PER_BLOCK", 100)
+    monkeypatch.setattr(nearest, "CHUNK_TILE", 33)
+    monkeypatch.setattr(nearest, "QUERY_TILE", 7)
+    monkeypatch.setattr(nearest, "ROWS_PASSED_ON", 40)
+    found = nearest_chunks(q, c, 25, False, own_n=own)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    assert as_found(found.collect()) == dealt
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 100)
+    many = nearest_chunks(q, c, 25, False, own_n=own)
+    assert "CoGroup" in many._jdf.queryExecution().executedPlan().toString()
+    assert as_found(many.collect()) == dealt
+
+
+def test_products_with_the_basis_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(*r,) for r in sparse_rows(rng, 200, 4000, 0.5)] + [(sorted(rng.choice(4000, 300, replace=False).tolist()), [0.5] * 300)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["ids", "weights"]
+    )
+    basis = rng.normal(size=(4000, 5))
+    whole = reduction._project(batch, basis)
+    monkeypatch.setattr(reduction, "ENTRIES_AT_ONCE", 40)
+    parts = list(reduction._pieces(batch))
+    assert sum(p.num_rows for p in parts) == 201 and all(p.num_rows == 1 or len(reduction._rows(p)[1]) <= 40 for p in parts)
+    assert np.allclose(reduction._project(batch, basis), whole)
+    assert np.allclose(whole, [np.asarray(w) @ basis[i] if i else np.zeros(5) for i, w in rows])
