@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import catalog_of, product
-from weft.plans.ingest import attribute_store, given_store, product_chunks
+from weft.operators.reduction import components_from
+from weft.operators.terms import weigh
+from weft.plans.ingest import attribute_store, build_store, given_store, product_chunks
 from weft.plans.search import given_requests, search
 from weft.sources.store import Store, StoreWriter, load_store, manifests, write_store
 
@@ -72,3 +74,27 @@ def test_given_vectors(spark, tmp_path):
         given_requests(requests.withColumn("raw_query", F.lit("unasked")), store, vectors)
     with pytest.raises(ValueError, match="give those"):
         given_requests(requests, store, None)
+
+
+def test_reduced_vectors_are_not_stored(spark, tmp_path):
+    """A dense store holds term rows; its vectors are those of the components, also in a copy of the store."""
+    import numpy as np
+
+    names = [f"{a} {b} {c}" for a in ("slim", "wide") for b in ("denim", "silk", "wool") for c in ("blue", "red", "green")]
+    products = catalog(spark, names + names[:2]).withColumn("product_id", F.when(F.col("ordinal") < 18, F.col("product_id")).otherwise("PRD3"))
+    folder = str(tmp_path / "dense")
+    store = build_store(products, folder, dense=True, length=6)
+    assert store.dense and "vector" not in store.texts.columns and "ids" not in store.chunks.columns
+    assert store.chunks.columns == [*product_chunks(products).columns, "vector"]
+    components = components_from(store.components)
+    rows = {r["chunk_id"]: r for r in weigh(product_chunks(products), "chunk_id", "text", store.vocabulary).collect()}
+    found = store.chunks.collect()
+    assert sorted(r["chunk_id"] for r in found) == sorted(r[0] for r in product_chunks(products).select("chunk_id").collect())
+    for r in found:
+        own = rows[r["chunk_id"]]
+        want = np.asarray(own["weights"]) @ components[own["ids"]]
+        assert np.allclose(r["vector"], want / np.linalg.norm(want), atol=1e-5)
+    log = spark.createDataFrame([(1, "blue jeans"), (2, "blue silk jeans for men")], "query_id long, raw_query string")
+    write_store(store, str(tmp_path / "copy"))
+    answers = [search(log, s).items_by_search().select("query_id", "rank", "product_id", "hybrid_score") for s in (store, load_store(spark, str(tmp_path / "copy")))]
+    assert sorted(answers[0].collect()) == sorted(answers[1].collect()) != []

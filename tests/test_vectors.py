@@ -284,3 +284,18 @@ def test_products_with_the_basis_in_pieces(monkeypatch):
     assert sum(p.num_rows for p in parts) == 201 and all(p.num_rows == 1 or len(reduction._rows(p)[1]) <= 40 for p in parts)
     assert np.allclose(reduction._project(batch, basis), whole)
     assert np.allclose(whole, [np.asarray(w) @ basis[i] if i else np.zeros(5) for i, w in rows])
+
+
+def test_rows_keep_their_weights_beside_them(spark, monkeypatch):
+    """``weigh_rows`` is the join with ``weigh``: repeated keys share their weights, rows without a key join nothing."""
+    texts = ["blue jeans", "blue shirt", "red jeans for men", None, "", "denim"]
+    rows = [(f"k{i % 23}" if i % 11 else None, i, texts[i % 6], (i, f"m{i}")) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, n int, t string, meta struct<a:int,b:string>").repartition(4)
+    vocabulary = fit_vocabulary(df, "k", "t")
+    monkeypatch.setattr(term_module, "BATCH_ROWS", 7)
+    made = term_module.weigh_rows(df, "k", "t", vocabulary)
+    assert made.columns == ["k", "n", "t", "meta", "ids", "weights", "first"]
+    joined = df.join(weigh(df, "k", "t", vocabulary), "k")
+    assert sorted(map(repr, made.drop("first").collect())) == sorted(map(repr, joined.collect()))
+    firsts = [r["k"] for r in made.filter("first").collect()]
+    assert sorted(firsts) == sorted({r[0] for r in rows if r[0] is not None})
