@@ -299,3 +299,19 @@ def test_rows_keep_their_weights_beside_them(spark, monkeypatch):
     assert sorted(map(repr, made.drop("first").collect())) == sorted(map(repr, joined.collect()))
     firsts = [r["k"] for r in made.filter("first").collect()]
     assert sorted(firsts) == sorted({r[0] for r in rows if r[0] is not None})
+
+
+def test_the_reduction_leaves_no_sums_on_disk(spark):
+    """Passes over few rows take one task, and neither shuffles nor tables of the sums stay."""
+    import glob
+
+    from weft.session import checkpoint_folder
+
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame(sparse_rows(rng, 60, 30, 0.5), "ids array<int>, weights array<double>").repartition(6)
+    sums = f"{checkpoint_folder(spark).removeprefix('file:')}/weft/gram-*"
+    before = set(glob.glob(sums))
+    made = fit_reduction(rows, 30, 60, length=4, iterations=20)
+    dense = np.array([np.bincount(r["ids"], r["weights"], 30) if r["ids"] else np.zeros(30) for r in rows.collect()])
+    assert np.allclose(np.abs(made.T @ np.linalg.svd(dense)[2][:4].T), np.eye(4), atol=1e-4)
+    assert set(glob.glob(sums)) <= before
